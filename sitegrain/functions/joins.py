@@ -1,0 +1,27 @@
+"""Joins on keys that may be very unevenly used."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 8
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str, spread_by: str, salts: int = SALTS
+) -> DataFrame:
+    """Join where one key may hold a large share of ``left``'s rows.
+
+    Each key's left rows go to ``salts`` partitions by ``spread_by``; the right
+    side, at most one row per key, is repeated once per salt.  Nothing is
+    dropped or capped, and a small right side is still broadcast by the
+    planner's own size check.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    return (
+        left.withColumn("_salt", salt)
+        .join(right.withColumn("_salt", every), [*on, "_salt"], how)
+        .drop("_salt")
+    )

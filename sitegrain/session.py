@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "*", app: str = "sitegrain") -> SparkSession:
@@ -36,3 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back as a table.
+
+    For results several branches read: the work is done once, survives lost
+    executors, and the readers prune columns.
+    """
+    path = f"{shared_dir(df.sparkSession)}/sitegrain-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores where the input comes in fewer splits than cores.
+
+    Large inputs have more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegrain.session import spread
+
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -89,7 +91,11 @@ PAGES_AUG = f"""SELECT page_id,
  CASE WHEN page_id % 15 = 4 THEN 'noindex' WHEN page_id % 15 = 5 THEN 'max-snippet:5' ELSE NULL END AS x_robots_tag,
  CAST(50 + page_id % 400 AS INT) AS elapsed_ms,
  CAST(length(html) AS BIGINT) AS byte_size,
- replace(replace(html, '</head>', concat({_HEAD}, '</head>')), '</article>', concat({_BODY}, '</article>')) AS html
+ replace(replace(replace(replace(replace(html,
+  '<h1>', CASE WHEN page_id % 23 = 5 THEN '<h0>' ELSE '<h1>' END),
+  '<html lang=', CASE WHEN page_id % 21 = 2 THEN '<html data-lang=' ELSE '<html lang=' END),
+  '<title>', CASE WHEN page_id % 22 = 8 THEN '<title>A headline that goes on and on before it comes to its point: ' ELSE '<title>' END),
+  '</head>', concat({_HEAD}, '</head>')), '</article>', concat({_BODY}, '</article>')) AS html
 FROM pages"""
 
 # A site whose pages link to each other as a binary tree, five hosts.
@@ -149,7 +155,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _derived(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
     # A private view, gone as soon as the statement is resolved.
     view = f"sitegrain_{name}_{uuid.uuid4().hex}"
-    table(spark, sf_dir, name).createOrReplaceTempView(view)
+    source = table(spark, sf_dir, name)
+    if name in ("pages", "documents"):
+        source = spread(source, source.columns[0])
+    source.createOrReplaceTempView(view)
     try:
         return spark.sql(sql.replace(f"FROM {name}", f"FROM {view}"))
     finally:
@@ -157,7 +166,7 @@ def _derived(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
 def pages_aug(spark: SparkSession, sf_dir: str) -> DataFrame:
