@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,25 @@ def staged(df: DataFrame, keep: Sequence[str], cols: dict[str, Column]) -> DataF
     return df.select(*keep, F.inline(F.array(row)))
 
 
+def remembered(fn: Callable) -> Callable:
+    """Keep the columns a function builds, per running JVM.
+
+    A column names its inputs and is bound to data only when selected, so one
+    built for a fixed set of input names serves every query.  Building is what
+    costs: each node is a call to the JVM.
+    """
+    kept: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = fn(*args)
+        return kept[key]
+
+    return wrapper
+
+
 def let(value: Column, fn) -> Column:
     """fn(value) with ``value`` evaluated once and named once.
 

@@ -14,11 +14,10 @@ from sitegrain.constants import (
     STRUCTURAL_TAGS,
 )
 from sitegrain.functions import urls
-from sitegrain.functions.columns import blank, last, non_empty, staged
+from sitegrain.functions.columns import blank, last, non_empty, remembered, staged
 from sitegrain.functions.text import collapse, strip, word_count
 from sitegrain.operators.tokens import (
     attribute,
-    attributes,
     has_attribute,
     text_between,
     tokenised,
@@ -42,6 +41,7 @@ _TAGS = {
     "has_article": ["article"],
     "nodes": STRUCTURAL_TAGS,
 }
+_READ = ["a", "html", "img", "link", "meta", "script", "source"]
 _NEED_TEXT = {"title", "headings", "blocks", "links", "text_length"}
 PARTS = [p for p in _TAGS if p != "nodes"]
 
@@ -52,7 +52,7 @@ def _starts(events: Column, *tags: str) -> Column:
 
 def _with_attributes(events: Column) -> Column:
     return F.transform(
-        events, lambda e: F.struct(e["line"].alias("line"), attributes(e["body"]).alias("a"))
+        events, lambda e: F.struct(e["line"].alias("line"), e["attrs"].alias("a"))
     )
 
 
@@ -74,7 +74,7 @@ def _adjacent(seq: Column, opens, closes) -> Column:
         seq,
         lambda e, i: F.struct(
             e["pos"].alias("pos"), e["kind"].alias("kind"), e["tag"].alias("tag"),
-            e["line"].alias("line"), e["body"].alias("body"),
+            e["line"].alias("line"), e["attrs"].alias("attrs"),
             F.get(seq, i + 1).alias("next"),
         ),
     )
@@ -207,8 +207,8 @@ def _link_sequence(events: Column) -> Column:
         F.filter(events, lambda e: e["tag"] == "a"),
         lambda e: F.struct(
             e["pos"].alias("pos"), e["kind"].alias("kind"), e["tag"].alias("tag"),
-            e["line"].alias("line"), e["body"].alias("body"),
-            F.when(e["kind"] == "start", attribute(attributes(e["body"]), "href")).alias("href"),
+            e["line"].alias("line"), e["attrs"].alias("attrs"),
+            F.when(e["kind"] == "start", attribute(e["attrs"], "href")).alias("href"),
         ),
     )
 
@@ -227,7 +227,7 @@ def _links(seq: Column, texts: Column, base: dict[str, Column]) -> Column:
         pairs,
         lambda e, i: F.struct(
             (i + 1).alias("ord"),
-            attributes(e["body"]).alias("a"),
+            e["attrs"].alias("a"),
             collapse(text_between(texts, e["pos"], e["next"]["pos"])).alias("text"),
             e["line"].alias("line"),
         ),
@@ -293,19 +293,57 @@ def _jsonld(events: Column) -> Column:
         events,
         lambda e: (e["kind"] == "raw")
         & (e["tag"] == "script")
-        & e["body"].rlike(r"(?i)^script[^>]*application/ld\+json"),
+        & (F.lower(attribute(e["attrs"], "type")) == "application/ld+json"),
     )
-    read = F.transform(
+    return F.transform(
         scripts,
-        lambda e: F.struct(
-            attribute(attributes(F.regexp_extract(e["body"], r"^[^>]*>", 0)), "type").alias("type"),
-            strip(
-                F.regexp_extract(e["body"], r"(?is)^script\b[^>]*>(.*)</script\s*>$", 1)
-            ).alias("body"),
-        ),
+        lambda e: strip(F.regexp_extract(e["body"], r"(?is)^script\b[^>]*>(.*)</script\s*>$", 1)),
     )
-    exact = F.filter(read, lambda s: F.lower(s["type"]) == "application/ld+json")
-    return F.transform(exact, lambda s: s["body"])
+
+
+@remembered
+def _sequence(name: str) -> Column:
+    """What pairing looks one element ahead in; computed before it is read."""
+    ev = F.col("events")
+    if name == "title":
+        return F.filter(ev, lambda e: e["tag"] == "title")
+    if name == "p":
+        return _paragraph_sequence(ev)
+    if name == "a":
+        return _link_sequence(ev)
+    return _level_sequence(ev, name)
+
+
+@remembered
+def _all_blocks(paragraphs: bool) -> Column:
+    spans = F.flatten(F.array(*[_level_spans(F.col("seq_" + t), t) for t in HEADING_TAGS]))
+    if paragraphs:
+        spans = F.concat(spans, _paragraph_spans(F.col("seq_p")))
+    return _with_text(spans, F.col("texts"))
+
+
+@remembered
+def _part(name: str) -> Column:
+    """The column of one extract, over events, texts and sequences."""
+    ev, texts, base = F.col("events"), F.col("texts"), urls.base()
+    if name == "nodes":
+        from sitegrain.operators.outline import fold_nodes
+
+        return fold_nodes(ev)
+    return {
+        "title": lambda: _title(F.col("seq_title"), texts),
+        "lang": lambda: attribute(last(_starts(ev, "html"))["attrs"], "lang"),
+        "metas": lambda: _metas(ev),
+        "canonical": lambda: _canonical(ev, base),
+        "images": lambda: _images(ev, base),
+        "picture_sources": lambda: _picture_sources(ev),
+        "links": lambda: _links(F.col("seq_a"), texts, base),
+        "jsonld": lambda: _jsonld(ev),
+        "text_length": lambda: visible_length(texts),
+        "has_article": lambda: F.exists(ev, lambda e: (e["tag"] == "article") & (e["kind"] == "start")),
+        "headings": lambda: _headings(F.col("blocks_all")),
+        "blocks": lambda: _blocks(F.col("blocks_all")),
+    }[name]()
 
 
 def extract(pages: DataFrame, parts: Iterable[str] | None = None) -> DataFrame:
@@ -314,67 +352,25 @@ def extract(pages: DataFrame, parts: Iterable[str] | None = None) -> DataFrame:
     Other columns of ``pages`` are carried along.  ``url`` is the final URL.
     """
     parts = list(PARTS if parts is None else parts)
-    tags = sorted({t for p in parts for t in _TAGS[p]})
+    tags = {t for p in parts for t in _TAGS[p]}
+    read = (tags & set(_READ)) | (set(STRUCTURAL_TAGS) if "nodes" in parts else set())
     need_text = bool(_NEED_TEXT & set(parts))
-    df = tokenised(pages, tags, texts=need_text)
+    df = tokenised(pages, tags, texts=need_text, read=read)
     carried = [c for c in df.columns if c not in ("events", "texts")]
-    ev, texts, base = F.col("events"), F.col("texts"), urls.base()
+    late = [p for p in ("headings", "blocks") if p in parts]
 
-    # Pairing looks one element ahead in these sequences, so they are computed
-    # once, before the lambdas that read them.
-    seqs: dict[str, Column] = {}
-    wants_blocks = {"headings", "blocks"} & set(parts)
-    if "title" in parts:
-        seqs["seq_title"] = F.filter(ev, lambda e: e["tag"] == "title")
-    if wants_blocks:
-        seqs |= {"seq_" + t: _level_sequence(ev, t) for t in HEADING_TAGS}
-    if "blocks" in parts:
-        seqs["seq_p"] = _paragraph_sequence(ev)
-    if "links" in parts:
-        seqs["seq_a"] = _link_sequence(ev)
-    kept = [*carried, "events"] + (["texts"] if need_text else [])
+    seqs = [t for p, t in (("title", "title"), ("blocks", "p"), ("links", "a")) if p in parts]
+    seqs += HEADING_TAGS if late else []
     if seqs:
-        df = staged(df, kept, seqs)
-
-    cols: dict[str, Column] = {}
-    if "title" in parts:
-        cols["title"] = _title(F.col("seq_title"), texts)
-    if "lang" in parts:
-        cols["lang"] = attribute(attributes(last(_starts(ev, "html"))["body"]), "lang")
-    if "metas" in parts:
-        cols["metas"] = _metas(ev)
-    if "canonical" in parts:
-        cols["canonical"] = _canonical(ev, base)
-    if wants_blocks:
-        spans = F.flatten(F.array(*[_level_spans(F.col("seq_" + t), t) for t in HEADING_TAGS]))
-        if "blocks" in parts:
-            spans = F.concat(spans, _paragraph_spans(F.col("seq_p")))
-        cols["blocks_all"] = _with_text(spans, texts)
-    if "images" in parts:
-        cols["images"] = _images(ev, base)
-    if "picture_sources" in parts:
-        cols["picture_sources"] = _picture_sources(ev)
-    if "links" in parts:
-        cols["links"] = _links(F.col("seq_a"), texts, base)
-    if "jsonld" in parts:
-        cols["jsonld"] = _jsonld(ev)
-    if "text_length" in parts:
-        cols["text_length"] = visible_length(texts)
-    if "has_article" in parts:
-        cols["has_article"] = F.exists(ev, lambda e: (e["tag"] == "article") & (e["kind"] == "start"))
-    if "nodes" in parts:
-        from sitegrain.operators.outline import fold_nodes
+        kept = [*carried, "events"] + (["texts"] if need_text else [])
+        df = staged(df, kept, {"seq_" + s: _sequence(s) for s in seqs})
 
-        cols["nodes"] = fold_nodes(ev)
+    cols = {p: _part(p) for p in parts if p not in late}
+    if late:
+        cols["blocks_all"] = _all_blocks("blocks" in parts)
     df = staged(df, carried, cols)
-
-    if wants_blocks:
-        extra: dict[str, Column] = {}
-        if "headings" in parts:
-            extra["headings"] = _headings(F.col("blocks_all"))
-        if "blocks" in parts:
-            extra["blocks"] = _blocks(F.col("blocks_all"))
-        df = staged(df, [c for c in df.columns if c != "blocks_all"], extra)
+    if late:
+        df = staged(df, [c for c in df.columns if c != "blocks_all"], {p: _part(p) for p in late})
     return df
 
 

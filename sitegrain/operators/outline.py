@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitegrain import constants as K
 from sitegrain.functions.columns import last, let
 from sitegrain.functions.text import collapse
-from sitegrain.operators.tokens import attribute, attributes
+from sitegrain.operators.tokens import attribute
 
 _STACK = "array<struct<ord:int,tag:string>>"
 _OUT = "array<struct<ord:int,parent:int,depth:int,pos:int>>"
@@ -76,7 +76,7 @@ def fold_nodes(events: Column) -> Column:
     starts = F.filter(turns, lambda e: (e["kind"] == "start") & e["tag"].isin(K.STRUCTURAL_TAGS))
     read = F.transform(
         starts,
-        lambda e: F.struct(e["tag"].alias("tag"), e["line"].alias("line"), attributes(e["body"]).alias("a")),
+        lambda e: F.struct(e["tag"].alias("tag"), e["line"].alias("line"), e["attrs"].alias("a")),
     )
     return F.zip_with(
         placed, read,

@@ -10,7 +10,7 @@ from sitegrain.functions import urls
 from sitegrain.functions.columns import blank, let
 from sitegrain.functions.joins import salted_join
 from sitegrain.functions.sizes import display_size, human_size
-from sitegrain.operators.rules import RULES, each, finding, joined, once, rule
+from sitegrain.operators.rules import each, finding, found_by, joined, once, rule
 
 # --- targets: distinct URLs per page, page-local ----------------------------
 
@@ -212,7 +212,7 @@ STATIC_LINK_RULES = ["link.mixed-content-image", "link.insecure-http"]
 
 def probe_findings(probed: DataFrame, rule_ids: list[str]) -> DataFrame:
     """Adds the findings array of probe rules to checked_links / measured_assets rows."""
-    return probed.withColumn("probe_findings", F.concat(*[RULES[i].find(RULES[i]) for i in rule_ids]))
+    return probed.withColumn("probe_findings", F.concat(*[found_by(i) for i in rule_ids]))
 
 
 # --- statistics -------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitegrain import constants as K
 from sitegrain.functions import urls
-from sitegrain.functions.columns import blank, let, staged
+from sitegrain.functions.columns import blank, let, remembered, staged
 from sitegrain.functions.text import strip
 from sitegrain.operators.extract import PARTS, extract, meta_value
 
@@ -436,6 +436,16 @@ def _insecure_link(r):
     return _insecure("links", "href", r)
 
 
+@remembered
+def found_by(rule_id: str) -> Column:
+    return RULES[rule_id].find(RULES[rule_id])
+
+
+@remembered
+def fact(name: str) -> Column:
+    return FACTS[name][1]()
+
+
 # --- evaluation -------------------------------------------------------------
 
 
@@ -455,9 +465,9 @@ def evaluated(pages: DataFrame, packs: dict[str, list[str]], also: Iterable[str]
     facts += [f for f in also if f in FACTS and f not in facts]
     df = extract(pages, parts)
     if facts:
-        df = staged(df, df.columns, {f: FACTS[f][1]() for f in facts})
+        df = staged(df, df.columns, {f: fact(f) for f in facts})
     found = {
-        name: F.concat(*[RULES[i].find(RULES[i]) for i in rules]) if rules else none()
+        name: F.concat(*[found_by(i) for i in rules]) if rules else none()
         for name, rules in packs.items()
     }
     return staged(df, df.columns, found)

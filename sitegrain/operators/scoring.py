@@ -9,7 +9,7 @@ from sitegrain import constants as K
 from sitegrain.functions.columns import staged
 from sitegrain.operators.extract import extract
 from sitegrain.operators.rules import (
-    FACTS, PACKS, RULES, Rule, finding, needs_of, once, rule,
+    PACKS, Rule, fact, finding, found_by, needs_of, once, rule,
 )
 from sitegrain.sources.responses import is_auditable
 
@@ -95,10 +95,10 @@ def audit_markup(responses: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     parts += [p for p in also if p not in parts]
     df = responses.withColumn("ok", F.coalesce(is_auditable(), F.lit(False)))
     df = extract(df.withColumn("html", F.when(F.col("ok"), F.col("html"))), parts)
-    df = staged(df, df.columns, {f: FACTS[f][1]() for f in facts})
-    found = {"f_" + m: F.concat(*[RULES[i].find(RULES[i]) for i in PACKS[m]]) for m in MARKUP_PACKS}
-    found["f_http"] = F.concat(*[RULES[i].find(RULES[i]) for i in PACKS["http"]])
-    found["static_links"] = F.concat(*[RULES[i].find(RULES[i]) for i in extra])
+    df = staged(df, df.columns, {f: fact(f) for f in facts})
+    found = {"f_" + m: F.concat(*[found_by(i) for i in PACKS[m]]) for m in MARKUP_PACKS}
+    found["f_http"] = F.concat(*[found_by(i) for i in PACKS["http"]])
+    found["static_links"] = F.concat(*[found_by(i) for i in extra])
     df = staged(df, df.columns, found)
     # An unauditable page has one pack, fixed at 0 whatever its weights.
     http = F.array(_pack("http", F.col("f_http"), F.lit(0.0)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.constants import QUIET_TAGS, VOID_TAGS
 from sitegrain.functions import urls
-from sitegrain.functions.columns import staged
+from sitegrain.functions.columns import remembered, staged
 from sitegrain.functions.text import strip, unescape
 
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -68,8 +68,13 @@ def raw_tokens(html: Column) -> Column:
     return F.regexp_extract_all(_marked(html), F.lit(token_pattern(_MARK)), F.lit(0))
 
 
-def _events(raw: Column, tags: Iterable[str] | None) -> Column:
-    """Tag events in order: struct(pos, kind start|end|raw, tag, line, body)."""
+@remembered
+def _events(tags: tuple[str, ...] | None, read: tuple[str, ...]) -> Column:
+    """Tag events in order: struct(pos, kind start|end|raw, tag, line, body, attrs).
+
+    Attributes are parsed once, here, and only for the tags in ``read``.
+    """
+    raw = F.col("raw")
 
     def cut(t: Column, i: Column) -> Column:
         at = F.instr(t, _CLOSE)
@@ -101,6 +106,14 @@ def _events(raw: Column, tags: Iterable[str] | None) -> Column:
             F.when(e["kind"] == "end", F.lit("")).otherwise(unmarked(e["body"])).alias("body"),
         )
 
+    def with_attributes(e: Column) -> Column:
+        wanted = (e["kind"] != "end") & e["tag"].isin(*read) if read else F.lit(False)
+        opening = F.when(e["kind"] == "raw", F.regexp_extract(e["body"], r"^[^>]*>", 0)).otherwise(e["body"])
+        return F.struct(
+            *[e[f].alias(f) for f in ("pos", "kind", "tag", "line", "body")],
+            F.when(wanted, attributes(opening)).alias("attrs"),
+        )
+
     def split_self_closed(e: Column) -> Column:
         closed = (
             (e["kind"] == "start")
@@ -111,19 +124,22 @@ def _events(raw: Column, tags: Iterable[str] | None) -> Column:
         end = F.struct(
             e["pos"].alias("pos"), F.lit("end").alias("kind"), e["tag"].alias("tag"),
             e["line"].alias("line"), F.lit("").alias("body"),
+            F.lit(None).cast("array<struct<name:string,value:string>>").alias("attrs"),
         )
         return F.when(closed, F.array(e, end)).otherwise(F.array(e))
 
     markup = F.filter(F.transform(raw, cut), lambda c: c["rest"].rlike(r"^(?:/\s*)?[a-zA-Z]"))
     kept = F.transform(markup, named)
     if tags is not None:
-        kept = F.filter(kept, lambda e: e["tag"].isin(sorted(tags)))
-    return F.flatten(F.transform(F.transform(kept, final), split_self_closed))
+        kept = F.filter(kept, lambda e: e["tag"].isin(*tags))
+    whole = F.transform(F.transform(kept, final), with_attributes)
+    return F.flatten(F.transform(whole, split_self_closed))
 
 
-def _quiet_spans(events: Column) -> Column:
+@remembered
+def _quiet_spans() -> Column:
     """Token ranges inside noscript, template or an unclosed script or style."""
-    turns = F.filter(events, lambda e: e["tag"].isin(QUIET_TAGS) & (e["kind"] != "raw"))
+    turns = F.filter("events", lambda e: e["tag"].isin(QUIET_TAGS) & (e["kind"] != "raw"))
     span_type = "array<struct<lo:int,hi:int>>"
     none = F.array().cast(span_type)
     zero = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("lo"), none.alias("spans"))
@@ -149,8 +165,10 @@ def _quiet_spans(events: Column) -> Column:
     return F.when(F.size(turns) == 0, none).otherwise(F.aggregate(turns, zero, step, finish))
 
 
-def _visible(raw: Column, spans: Column) -> Column:
+@remembered
+def _visible() -> Column:
     """Per token its visible text, decoded; '' for markup and hidden text."""
+    raw, spans = F.col("raw"), F.col("spans")
 
     def one(t: Column, i: Column) -> Column:
         text = F.when(~t.startswith("<"), unescape(t)).when(
@@ -162,31 +180,32 @@ def _visible(raw: Column, spans: Column) -> Column:
     return F.transform(raw, one)
 
 
+@remembered
+def _raw_and_base() -> dict[str, Column]:
+    return {"raw": raw_tokens(F.col("html")), **urls.base_parts(F.col("url"))}
+
+
 def tokenised(
-    pages: DataFrame, tags: Iterable[str] | None = None, texts: bool = True
+    pages: DataFrame,
+    tags: Iterable[str] | None = None,
+    texts: bool = True,
+    read: Iterable[str] = (),
 ) -> DataFrame:
     """pages(page_id, url, html, ...) → the same rows with ``events``, the
     ``base_*`` URL parts and, if asked for, ``texts`` in place of html.
 
     ``tags`` names the elements an audit needs; others are dropped early.
+    ``read`` names those whose attributes are parsed.
     """
-    wanted = None if tags is None else set(tags) | set(QUIET_TAGS)
+    wanted = None if tags is None else tuple(sorted({*tags, *QUIET_TAGS}))
     carried = [c for c in pages.columns if c != "html"]
-    df = staged(
-        pages, carried, {"raw": raw_tokens(F.col("html")), **urls.base_parts(F.col("url"))}
-    )
+    df = staged(pages, carried, _raw_and_base())
     carried += urls.BASE_COLUMNS
-    df = staged(df, [*carried, "raw"], {"events": _events(F.col("raw"), wanted)})
+    df = staged(df, [*carried, "raw"], {"events": _events(wanted, tuple(sorted(read)))})
     if not texts:
         return df.select(*carried, "events")
-    df = staged(
-        df, [*carried, "raw", "events"], {"spans": _quiet_spans(F.col("events"))}
-    )
-    return staged(
-        df,
-        [*carried, "events"],
-        {"texts": _visible(F.col("raw"), F.col("spans"))},
-    )
+    df = staged(df, [*carried, "raw", "events"], {"spans": _quiet_spans()})
+    return staged(df, [*carried, "events"], {"texts": _visible()})
 
 
 def text_between(texts: Column, start: Column, end: Column) -> Column:

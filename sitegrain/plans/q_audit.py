@@ -177,8 +177,8 @@ _probe_rule("asset_oversized", _assets, "image.oversized", OVERSIZED, ["image"],
 _probe_rule("asset_unreachable", _assets, "image.unreachable", UNFETCHED, ["image"], ASSET_CTES)
 
 
-@query("asset_stats", with_extracts("""SELECT src.page_id, CAST(count(byte_size) AS INT) AS images_measured, CAST(count(f.src) - count(byte_size) AS INT) AS size_unknown,
- CAST(greatest((SELECT count(*) FROM at_ WHERE at_.page_id = src.page_id) - 60, 0) AS INT) AS not_checked, CAST(count_if(byte_size > 2621440) AS INT) AS over_limit, CAST(coalesce(sum(byte_size), 0) AS BIGINT) AS total_bytes
+@query("asset_stats", with_extracts("""SELECT src.page_id, CAST(count(f.byte_size) AS INT) AS images_measured, CAST(count(f.src) - count(f.byte_size) AS INT) AS size_unknown,
+ CAST(greatest((SELECT count(*) FROM at_ WHERE at_.page_id = src.page_id) - 60, 0) AS INT) AS not_checked, CAST(count_if(f.byte_size > 2621440) AS INT) AS over_limit, CAST(coalesce(sum(f.byte_size), 0) AS BIGINT) AS total_bytes
  FROM src LEFT JOIN found_asset f ON f.page_id = src.page_id GROUP BY src.page_id""", ["image"], extra=ASSET_CTES))
 def _(spark, sf):
     return P.asset_stats(_assets(spark, sf))
@@ -221,7 +221,7 @@ _probe_rule("link_unreachable", _links, "link.unreachable", UNREACHABLE, ["link"
 
 @query("link_stats", with_extracts(f"""SELECT src.page_id, {_count('link')} AS links_found, CAST(count(f.url) AS INT) AS unique_checked,
  CAST(greatest((SELECT count(*) FROM lt0 WHERE lt0.page_id = src.page_id) - 40, 0) AS INT) AS not_checked,
- CAST(count_if(status >= 400) AS INT) AS broken, CAST(count_if(f.url IS NOT NULL AND status IS NULL) AS INT) AS unreachable, CAST(count_if(status < 400) AS INT) AS ok
+ CAST(count_if(f.status >= 400) AS INT) AS broken, CAST(count_if(f.url IS NOT NULL AND f.status IS NULL) AS INT) AS unreachable, CAST(count_if(f.status < 400) AS INT) AS ok
  FROM src LEFT JOIN found_link f ON f.page_id = src.page_id GROUP BY src.page_id""", ["link"], extra=LINK_CTES))
 def _(spark, sf):
     links = materialised(extract(audit_pages(spark, sf), ["links"]).select("page_id", "links"))
