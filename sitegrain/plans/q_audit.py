@@ -178,7 +178,7 @@ _probe_rule("asset_unreachable", _assets, "image.unreachable", UNFETCHED, ["imag
 
 
 @query("asset_stats", with_extracts("""SELECT src.page_id, CAST(count(f.byte_size) AS INT) AS images_measured, CAST(count(f.src) - count(f.byte_size) AS INT) AS size_unknown,
- CAST(greatest((SELECT count(*) FROM at_ WHERE at_.page_id = src.page_id) - 60, 0) AS INT) AS not_checked, CAST(count_if(f.byte_size > 2621440) AS INT) AS over_limit, CAST(coalesce(sum(f.byte_size), 0) AS BIGINT) AS total_bytes
+ CAST(greatest((SELECT count(*) FROM at_ WHERE at_.page_id = src.page_id) - 60, 0) AS INT) AS not_checked, CAST(count(*) FILTER (WHERE f.byte_size > 2621440) AS INT) AS over_limit, CAST(coalesce(sum(f.byte_size), 0) AS BIGINT) AS total_bytes
  FROM src LEFT JOIN found_asset f ON f.page_id = src.page_id GROUP BY src.page_id""", ["image"], extra=ASSET_CTES))
 def _(spark, sf):
     return P.asset_stats(_assets(spark, sf))
@@ -306,7 +306,7 @@ def _(spark, sf):
     return C.severity_counts(C.findings_table(full_audit(spark, sf)), "module")
 
 
-@query("serious_count", over_findings("SELECT aug.page_id, CAST(count_if(severity IN ('critical', 'high')) AS INT) AS serious FROM aug LEFT JOIN fa USING (page_id) GROUP BY 1"))
+@query("serious_count", over_findings("SELECT aug.page_id, CAST(count(*) FILTER (WHERE severity IN ('critical', 'high')) AS INT) AS serious FROM aug LEFT JOIN fa USING (page_id) GROUP BY 1"))
 def _(spark, sf):
     f = C.all_findings(F.col("packs"))
     return full_audit(spark, sf).select("page_id", F.size(F.filter(f, lambda x: x["severity"].isin("critical", "high"))).alias("serious"))
