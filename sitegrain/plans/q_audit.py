@@ -252,7 +252,7 @@ def full_audit(spark, sf):
     assets = P.probe_findings(assets, P.ASSET_RULES)
     weights = P.asset_stats(assets)
     df = C.with_probes(audited, links, assets)
-    return df.join(weights.select("page_id", "images_measured", "total_bytes", "over_limit"), "page_id", "left")
+    return df.join(weights.select("page_id", "images_measured", "size_unknown", "total_bytes", "over_limit"), "page_id", "left")
 
 
 _MARKUP = [i for i in SELECTS]

@@ -152,12 +152,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derived(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+def derived_from(source: DataFrame, sql: str, name: str) -> DataFrame:
+    """``sql`` with its ``FROM name`` bound to ``source``."""
     # A private view, gone as soon as the statement is resolved.
+    spark = source.sparkSession
     view = f"sitegrain_{name}_{uuid.uuid4().hex}"
-    source = table(spark, sf_dir, name)
-    if name in ("pages", "documents"):
-        source = spread(source, source.columns[0])
     source.createOrReplaceTempView(view)
     try:
         return spark.sql(sql.replace(f"FROM {name}", f"FROM {view}"))
@@ -165,6 +164,13 @@ def _derived(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame
         spark.catalog.dropTempView(view)
 
 
+def _derived(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    source = table(spark, sf_dir, name)
+    if name in ("pages", "documents"):
+        source = spread(source, source.columns[0])
+    return derived_from(source, sql, name)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"), "page_id")
 
