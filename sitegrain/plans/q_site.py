@@ -242,7 +242,7 @@ def _(spark, sf):
 _NORM = O.collapse("lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))").replace("\\p{Z}", "\\p{{Z}}")
 # A brief made from the page: some paragraphs left out, some worded otherwise,
 # one the page does not have.
-_BRIEF_TEXT = "CASE WHEN (ord + page_id) % 5 = 1 THEN concat(text, ' in other words') WHEN (ord + page_id) % 7 = 2 THEN 'Something else altogether' ELSE upper(text) END"
+_BRIEF_TEXT = "CASE WHEN (ord + page_id) % 5 = 1 THEN concat(text, ' in other words') WHEN (ord + page_id) % 7 = 2 THEN 'Something else altogether' ELSE concat('* ', text, ' !') END"
 
 
 @query("content_match", with_extracts("""SELECT pg.page_id, CAST(n_brief AS INT) AS n_brief, CAST(matched AS INT) AS matched, CAST(changed AS INT) AS changed, CAST(nb - changed AS INT) AS missing, CAST(np - changed AS INT) AS extra,
@@ -263,7 +263,7 @@ def _(spark, sf):
         F.filter(paras, lambda b: key(b) % 5 != 0),
         lambda b: F.when(key(b) % 5 == 1, F.concat(b["text"], F.lit(" in other words")))
         .when(key(b) % 7 == 2, F.lit("Something else altogether"))
-        .otherwise(F.upper(b["text"])),
+        .otherwise(F.concat(F.lit("* "), b["text"], F.lit(" !"))),
     )
     own = F.array(F.concat(F.lit("Warranty for page "), F.col("page_id").cast("string")))
     return N.content_match(pages, df.select("page_id", F.concat(brief, own).alias("texts")))
@@ -364,20 +364,20 @@ def _(spark, sf):
     return n(csv, "n_csv").join(n(js, "n_json"), "module").join(n(md, "n_markdown"), "module")
 
 
-@query("write_scan", _LOG + "SELECT scan_id, count(*) AS n_findings, count(DISTINCT page_no) AS n_pages FROM lg GROUP BY 1")
+# The store is laid out by scan; here a scan is one day's run over all sites.
+@query("write_scan", f"SELECT scan_id, count(*) AS n_findings, count(DISTINCT (site_id, page_no)) AS n_pages FROM (SELECT *, CAST(date_diff('day', DATE '2000-01-01', scan_day) AS BIGINT) AS scan_id FROM ({X.SCAN_LOG})) GROUP BY 1")
 def _(spark, sf):
-    log = X.scan_log(spark, sf).withColumn("scan_id", H.scan_id(F.col("site_id"), F.col("scan_day")))
+    day = F.datediff("scan_day", F.lit("2000-01-01").cast("date")).cast("bigint")
+    log = X.scan_log(spark, sf).withColumn("scan_id", day)
     path = _fresh(spark, "store")
     tables = {
-        "scans": H.scans(log).select("scan_id", "url", "created_at"),
-        "pages": log.select("scan_id", "page_no").distinct(),
-        "findings": log.select("scan_id", "page_no", "module", "rule", "severity"),
+        "scans": log.groupBy("scan_id").agg(F.min("ts").alias("created_at")),
+        "pages": log.select("scan_id", "site_id", "page_no").distinct(),
+        "findings": log.select("scan_id", "site_id", "page_no", "module", "rule", "severity"),
     }
-    # Few files per scan: its rows meet before they are written.
-    tables["findings"] = tables["findings"].repartition("scan_id", F.pmod(F.xxhash64("page_no", "rule"), F.lit(4)))
     sinks.write_scan(tables, path)
     # Writing the newest scan again replaces it and leaves the others alone.
-    newest = H.scans(log).orderBy(F.desc("created_at"), "scan_id").limit(1).select("scan_id")
+    newest = log.agg(F.max("scan_id").alias("scan_id"))
     sinks.write_scan({"findings": tables["findings"].join(newest, "scan_id", "left_semi")}, path)
     f = spark.read.parquet(f"{path}/findings").groupBy("scan_id").agg(F.count("*").alias("n_findings"))
     p = spark.read.parquet(f"{path}/pages").groupBy("scan_id").agg(F.count("*").alias("n_pages"))

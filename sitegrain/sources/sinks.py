@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.functions.columns import non_empty
 from sitegrain.operators.scoring import all_findings, counts_of, overall
 
 FORMATS = ["csv", "json", "markdown"]
@@ -15,7 +16,7 @@ def result_json(audited: DataFrame) -> DataFrame:
     found = all_findings(F.col("packs"))
     body = F.struct(
         F.col("requested_url").alias("url"), F.col("url").alias("final_url"), "status", "elapsed_ms", "byte_size",
-        F.coalesce(F.col("title"), F.lit("(no title)")).alias("page_title"),
+        F.coalesce(non_empty(F.col("title")), F.lit("(no title)")).alias("page_title"),
         overall(F.col("packs")).alias("overall_score"), counts_of(found).alias("counts"), "packs",
     )
     return audited.select("page_id", F.to_json(body).alias("result"))
@@ -44,10 +45,14 @@ def export_findings(findings: DataFrame, path: str, fmt: str, scan_status: str)
 
 
 def write_scan(tables: dict[str, DataFrame], path: str) -> None:
-    """scans, pages, findings with a scan_id column; writing a scan again replaces it."""
+    """scans, pages, findings with a scan_id column; writing a scan again replaces it.
+
+    The rebalance brings a scan's rows together, so it has few files, and
+    splits a scan that is much larger than the others.
+    """
     for name, df in tables.items():
         (
-            df.write.mode("overwrite")
+            df.hint("rebalance", "scan_id").write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("scan_id")
             .parquet(f"{path}/{name}")
