@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain import constants as K
 from sitegrain.functions import urls
-from sitegrain.functions.columns import blank, let
+from sitegrain.functions.columns import blank, let, remembered
 from sitegrain.functions.joins import salted_join
 from sitegrain.functions.sizes import display_size, human_size
 from sitegrain.operators.rules import each, finding, found_by, joined, once, rule
@@ -109,16 +109,21 @@ def _probed(pages: DataFrame, targets: Column, side: DataFrame, fields: list[str
     )
 
 
+@remembered
+def _targets(column: str, limit: int) -> Column:
+    return link_targets(F.col(column), limit) if column == "links" else asset_targets(F.col(column), limit)
+
+
 def checked_links(pages: DataFrame, status: DataFrame, limit: int = K.MAX_LINKS) -> DataFrame:
     """pages(page_id, links) ⟕ status(url, status)."""
-    return _probed(pages, link_targets(F.col("links"), limit), status.select("url", "status"), ["status"])
+    return _probed(pages, _targets("links", limit), status.select("url", "status"), ["status"])
 
 
 def measured_assets(pages: DataFrame, sizes: DataFrame, limit: int = K.MAX_IMAGES) -> DataFrame:
     """pages(page_id, images) ⟕ sizes(src, byte_size, content_type, error, at_least)."""
     side = sizes.select(F.col("src").alias("url"), "byte_size", "content_type", "error", "at_least")
     return _probed(
-        pages, asset_targets(F.col("images"), limit), side,
+        pages, _targets("images", limit), side,
         ["byte_size", "content_type", "error", "at_least"],
     )
 

@@ -30,7 +30,8 @@ def duplicate_values(values: DataFrame, column: str) -> DataFrame:
 
 def content_hashes(texts: DataFrame) -> DataFrame:
     """(source, parts array<string>) → one row per source and distinct text."""
-    hashed = F.array_distinct(F.transform("parts", lambda t: F.sha2(F.lower(collapse(t)), 256)))
+    plain = F.filter(F.transform("parts", lambda t: F.lower(collapse(t))), lambda t: t != "")
+    hashed = F.array_distinct(F.transform(plain, lambda t: F.sha2(t, 256)))
     return texts.select("source", F.explode(hashed).alias("digest"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
-from sitegrain.functions.columns import blank, first, last, let, non_empty, staged
+from sitegrain.functions.columns import blank, first, last, let, non_empty, remembered, staged
 from sitegrain.functions.jsonld import CONTEXT, node, node_if
 from sitegrain.functions.text import strip
 from sitegrain.operators.extract import extract, meta_value
@@ -90,12 +90,11 @@ def question_nodes(pairs: Column) -> Column:
     )
 
 
-def page_values(pages: DataFrame) -> DataFrame:
-    """The single values the builders read."""
-    df = extract(pages, PARTS)
+@remembered
+def _value_columns() -> dict[str, Column]:
     metas = F.col("metas")
     prop = lambda n: meta_value(metas, "property", n)
-    cols = {
+    return {
         "page_url": F.coalesce(F.col("canonical.resolved"), F.col("url")),
         "site": site_name(prop("og:site_name"), F.col("title"), F.col("base_host")),
         "logo": find_logo(F.col("images")),
@@ -107,7 +106,12 @@ def page_values(pages: DataFrame) -> DataFrame:
         "declared": existing_types(F.col("jsonld")),
         "faq": faq_pairs(F.col("blocks")),
     }
-    return staged(df, ["page_id", "url", "base_origin", "title", "lang", "has_article", "text_length"], cols)
+
+
+def page_values(pages: DataFrame) -> DataFrame:
+    """The single values the builders read."""
+    kept = ["page_id", "url", "base_origin", "title", "lang", "has_article", "text_length"]
+    return staged(extract(pages, PARTS), kept, _value_columns())
 
 
 def _id(of: Column, tail: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.constants import ADDRESS_FIELDS, SCHEMA_TYPES, SPACE_CLASS
-from sitegrain.functions.columns import blank, first, last, let, non_empty, staged
+from sitegrain.functions.columns import blank, first, last, let, non_empty, remembered, staged
 from sitegrain.functions.jsonld import node, node_if
 from sitegrain.functions.text import collapse, strip, word_count
 from sitegrain.operators.extract import extract
@@ -114,6 +114,7 @@ def is_step(line: Column) -> Column:
     return line.rlike(STEP_LINE)
 
 
+@remembered
 def detect_type() -> Column:
     """The type a text most resembles, cautiously."""
     src = F.col("source")
@@ -363,6 +364,11 @@ BUILDERS = {
 }
 
 
+@remembered
+def built(kind: str) -> Column:
+    return BUILDERS[kind]()
+
+
 def generate(texts: DataFrame, schema_type: str = "auto", html: bool = True) -> DataFrame:
     """(doc_id, content) → doc_id, schema_type, json_ld ('' if none), warnings, notes."""
     df = prepared(texts, html)
@@ -378,10 +384,10 @@ def generate(texts: DataFrame, schema_type: str = "auto", html: bool = True) ->
     if auto:
         # Only the branch of the detected type is evaluated.
         made = F.lit(None).cast("struct<json:string,warnings:array<string>,notes:array<string>>")
-        for name, build in BUILDERS.items():
-            made = F.when(F.col("kind") == name, build()).otherwise(made)
+        for name in BUILDERS:
+            made = F.when(F.col("kind") == name, built(name)).otherwise(made)
     else:
-        made = BUILDERS[schema_type]()
+        made = built(schema_type)
     empty = F.array(F.lit("Nothing to work with."))
     none = F.array().cast("array<string>")
     df = staged(df, ["doc_id", "kind", "empty_input"], {"made": F.when(~F.col("empty_input"), made)})

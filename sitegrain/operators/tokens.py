@@ -46,7 +46,9 @@ ATTRIBUTE = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:'[^']*'|"[^"]*"|[^>\s"'][^>\s]*)?)
 
 def _marked(html: Column) -> Column:
     """Every '<' followed by its line number between two control characters."""
-    plain = F.translate(F.coalesce(html, F.lit("")), _OPEN + _CLOSE, "��")
+    # The two marks themselves are replaced where a page holds them.
+    own = html.rlike("[\x01\x02]")
+    plain = F.when(own, F.translate(html, _OPEN + _CLOSE, "��")).otherwise(F.coalesce(html, F.lit("")))
     lines = F.split(plain, "\n")
     return F.array_join(
         F.transform(

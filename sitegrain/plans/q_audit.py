@@ -153,7 +153,7 @@ _image_column("img_short_name", "short_name", urls.short_name, O.short_name("src
 
 
 def _assets(spark, sf):
-    images = extract(audit_pages(spark, sf), ["images"]).select("page_id", "images")
+    images = materialised(extract(audit_pages(spark, sf), ["images"]).select("page_id", "images"))
     return P.measured_assets(images, asset_sizes(images))
 
 
@@ -203,7 +203,7 @@ def _(spark, sf):
 
 
 def _links(spark, sf):
-    links = extract(audit_pages(spark, sf), ["links"]).select("page_id", "links")
+    links = materialised(extract(audit_pages(spark, sf), ["links"]).select("page_id", "links"))
     return P.checked_links(links, link_status(links))
 
 

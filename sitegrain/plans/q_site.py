@@ -144,15 +144,12 @@ _LB = O.lit("\n")
  SELECT DISTINCT concat('page:', page_id) AS source, sha256(lower(text)) AS digest FROM block WHERE tag = 'p'
  UNION SELECT concat('doc:', doc_id), sha256(lower(t)) FROM (SELECT doc_id, {O.collapse('t')} AS t FROM (SELECT doc_id, unnest(string_split(text, {_LB})) AS t FROM documents)) WHERE t <> '') GROUP BY 1 HAVING count(*) > 1""", ["block"], "pages"))
 def _(spark, sf):
-    from sitegrain.functions.text import collapse
-
     blocks = extract(X.pages(spark, sf), ["blocks"]).select(
         F.concat(F.lit("page:"), "page_id").alias("source"),
         F.transform(F.filter("blocks", lambda b: b["tag"] == "p"), lambda b: b["text"]).alias("parts"),
     )
-    docs = X.table(spark, sf, "documents").select(
-        F.concat(F.lit("doc:"), "doc_id").alias("source"),
-        F.filter(F.transform(F.split("text", "\n"), collapse), lambda t: t != "").alias("parts"),
+    docs = X.documents(spark, sf).select(
+        F.concat(F.lit("doc:"), "doc_id").alias("source"), F.split("text", "\n").alias("parts")
     )
     return N.duplicate_content(blocks.unionByName(docs))
 

@@ -175,6 +175,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages"), "page_id")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def pages_aug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark, sf_dir, PAGES_AUG, "pages")
 
