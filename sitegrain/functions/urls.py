@@ -98,7 +98,10 @@ def resolve(href: Column, base: dict[str, Column]) -> Column:
         here = F.concat(
             base["origin"],
             base["path"],
-            F.when(tail.startswith("?"), tail).otherwise(F.concat(base["query"], tail)),
+            # An empty query counts as none and leaves the page's own.
+            F.when(tail.rlike(r"^\?[^#]"), tail).otherwise(
+                F.concat(base["query"], F.regexp_replace(tail, r"^\?", ""))
+            ),
         )
         target = F.when(p.startswith("/"), p).otherwise(
             F.regexp_replace(F.concat(base["dir"], p), "/{2,}", "/")

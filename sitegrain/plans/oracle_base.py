@@ -88,7 +88,7 @@ def resolved(name: str, source: str, h: str = "h") -> str:
 {name}_e AS (SELECT *, CASE WHEN starts_with(p, '/') THEN p ELSE regexp_replace(concat(CASE WHEN bp = '' THEN '/' ELSE regexp_extract(bp, '^.*/') END, p), '/{{2,}}', '/', 'g') END AS tgt FROM {name}_d),
 {name}_f AS (SELECT *, list_reduce(string_split(tgt, '/'), lambda acc, s: CASE WHEN s = '..' THEN regexp_replace(acc, '/?[^/]*$', '') WHEN s = '.' THEN acc ELSE concat(acc, '/', s) END, '') AS w FROM {name}_e),
 {name}_g AS (SELECT *, CASE WHEN NOT contains(tgt, '/.') THEN tgt ELSE regexp_replace(concat(w, CASE WHEN regexp_matches(tgt, '/\\.\\.?$') AND NOT ends_with(w, '/') THEN '/' ELSE '' END), '^/+', '/') END AS dots FROM {name}_f),
-{name}_h AS (SELECT *, CASE WHEN starts_with(rel, '//') THEN concat(bs, ':', rel) WHEN p = '' THEN concat(bo, bp, CASE WHEN starts_with(tail, '?') THEN tail ELSE concat(bq, tail) END) ELSE concat(bo, dots, tail) END AS a0 FROM {name}_g),
+{name}_h AS (SELECT *, CASE WHEN starts_with(rel, '//') THEN concat(bs, ':', rel) WHEN p = '' THEN concat(bo, bp, CASE WHEN regexp_matches(tail, '^\\?[^#]') THEN tail ELSE concat(bq, regexp_replace(tail, '^\\?', '')) END) ELSE concat(bo, dots, tail) END AS a0 FROM {name}_g),
 {name} AS (SELECT * EXCLUDE (hh, bs, bo, bp, bq, own, rel, p, tail, tgt, w, dots, a0), CASE WHEN hh = '' THEN url WHEN own <> '' AND own <> bs THEN {h} ELSE {tidy} END AS abs FROM {name}_h)"""
 
 
