@@ -52,6 +52,44 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def fold_emitting(array: Column, state: dict[str, Column], step, out_type: str, chunk: int = 128) -> Column:
+    """Left fold that also emits rows: struct(state fields..., out).
+
+    ``step(acc, x)`` gives (new state fields, array of emitted rows).  Appending
+    to one growing array copies it every time, which is quadratic; here rows
+    gather per chunk and the chunks are joined at the end.
+    """
+    none = F.array().cast(out_type)
+
+    def packed(fields: dict[str, Column], **more: Column) -> Column:
+        return F.struct(*[c.alias(n) for n, c in {**fields, **more}.items()])
+
+    def carried(acc: Column) -> dict[str, Column]:
+        return {n: acc[n] for n in state}
+
+    def inner(acc: Column, x: Column) -> Column:
+        fields, emitted = step(acc, x)
+        return packed(fields, out=F.concat(acc["out"], emitted).cast(out_type))
+
+    def outer(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, packed(carried(acc), out=none), inner)
+        return let(
+            done, lambda d: packed(carried(d), outs=F.concat(acc["outs"], F.array(d["out"])))
+        )
+
+    def folded(a: Column) -> Column:
+        starts = F.when(
+            F.size(a) > 0, F.sequence(F.lit(0), ((F.size(a) - 1) / chunk).cast("int"))
+        ).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: F.slice(a, i * chunk + 1, F.lit(chunk)))
+        empty = packed(state, outs=F.array().cast(f"array<{out_type}>"))
+        return F.aggregate(
+            parts, empty, outer, lambda acc: packed(carried(acc), out=F.flatten(acc["outs"]))
+        )
+
+    return let(array, folded)
+
+
 def pick(array: Column, index: Column | int) -> Column:
     """Array element by 0-based index, NULL outside the bounds."""
     return F.get(array, index if isinstance(index, Column) else F.lit(index))

@@ -14,9 +14,9 @@ def salted_join(
     """Join where one key may hold a large share of ``left``'s rows.
 
     Each key's left rows go to ``salts`` partitions by ``spread_by``; the right
-    side, at most one row per key, is repeated once per salt.  Nothing is
-    dropped or capped, and a small right side is still broadcast by the
-    planner's own size check.
+    side, few rows per key, is repeated once per salt.  Nothing is dropped or
+    capped, and a small right side is still broadcast by the planner's own size
+    check.  For inner and left joins.
     """
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitegrain import constants as K
+from sitegrain.functions.joins import salted_join
 from sitegrain.operators.scoring import severity_rank, weight
 
 
@@ -118,7 +119,7 @@ def scan_compare(log: DataFrame) -> DataFrame:
             "site_id", "period", F.col("then_day").alias("scan_day"), F.lit(0).alias("now"), F.lit(1).alias("before")
         )
     )
-    marked = seen.join(marks, ["site_id", "scan_day"])
+    marked = salted_join(seen, marks, ["site_id", "scan_day"], "inner", "page_no")
     per_finding = marked.groupBy("site_id", "period", "page_no", "rule").agg(
         F.max("now").alias("now"), F.max("before").alias("before")
     )

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain import constants as K
-from sitegrain.functions.columns import last, let
+from sitegrain.functions.columns import fold_emitting, last, let
 from sitegrain.functions.text import collapse
 from sitegrain.operators.tokens import attribute
 
 _STACK = "array<struct<ord:int,tag:string>>"
-_OUT = "array<struct<ord:int,parent:int,depth:int,pos:int>>"
+_OUT = "array<struct<ord:int,parent:int,depth:int>>"
 
 
 def fold_nodes(events: Column) -> Column:
@@ -32,47 +32,37 @@ def fold_nodes(events: Column) -> Column:
             F.exists(stack, lambda s: s["tag"] == tag), F.slice(stack, F.lit(1), depth.cast("int"))
         ).otherwise(stack)
 
-    def step(acc: Column, e: Column) -> Column:
+    def step(acc: Column, e: Column) -> tuple[dict[str, Column], Column]:
         # ``block``: the element the text capture last opened, '' once closed;
         # only an open paragraph there is closed implicitly.
-        implied = (e["kind"] == "start") & (acc["block"] == "p") & e["tag"].isin(K.CLOSES_PARAGRAPH)
-        base = F.when(implied, cut_to(acc["stack"], F.lit("p"))).otherwise(acc["stack"])
-
-        def opened(stack: Column) -> Column:
-            n = acc["n"] + 1
-            top = last(stack)
+        is_start = e["kind"] == "start"
+        structural = e["tag"].isin(K.STRUCTURAL_TAGS)
+        implied = is_start & (acc["block"] == "p") & e["tag"].isin(K.CLOSES_PARAGRAPH)
+        cut = F.when(implied, F.lit("p")).otherwise(F.when(~is_start, e["tag"]))
+        stack = let(cut, lambda t: F.when(t.isNull(), acc["stack"]).otherwise(cut_to(acc["stack"], t)))
+        opens = is_start & structural
+        n = acc["n"] + 1
+        pushed = F.array(F.struct(n.alias("ord"), e["tag"].alias("tag")))
+
+        def placed(s: Column) -> Column:
             node = F.struct(
-                n.alias("ord"), F.coalesce(top["ord"], F.lit(0)).alias("parent"),
-                F.size(stack).alias("depth"), e["pos"].alias("pos"),
+                n.alias("ord"), F.coalesce(last(s)["ord"], F.lit(0)).alias("parent"), F.size(s).alias("depth")
             )
-            keeps = e["tag"].isin(K.VOID_TAGS)
-            pushed = F.concat(stack, F.array(F.struct(n.alias("ord"), e["tag"].alias("tag"))))
-            structural = e["tag"].isin(K.STRUCTURAL_TAGS)
-            is_start = e["kind"] == "start"
-            text_block = e["tag"].isin("p", *K.HEADING_TAGS)
             return F.struct(
-                F.when(is_start & structural, n).otherwise(acc["n"]).alias("n"),
-                F.when(is_start & text_block, e["tag"])
-                .when(implied | (~is_start & (acc["block"] == e["tag"])), F.lit(""))
-                .otherwise(acc["block"])
-                .alias("block"),
-                F.when(is_start, F.when(structural & ~keeps, pushed).otherwise(stack))
-                .otherwise(cut_to(stack, e["tag"]))
-                .cast(_STACK)
-                .alias("stack"),
-                F.when(is_start & structural, F.concat(acc["out"], F.array(node)))
-                .otherwise(acc["out"])
-                .cast(_OUT)
-                .alias("out"),
+                F.when(opens & ~e["tag"].isin(K.VOID_TAGS), F.concat(s, pushed)).otherwise(s).cast(_STACK).alias("stack"),
+                F.when(opens, F.array(node)).otherwise(F.array().cast(_OUT)).cast(_OUT).alias("node"),
             )
 
-        return let(base, opened)
+        block = (
+            F.when(is_start & e["tag"].isin("p", *K.HEADING_TAGS), e["tag"])
+            .when(implied | (~is_start & (acc["block"] == e["tag"])), F.lit(""))
+            .otherwise(acc["block"])
+        )
+        now = let(stack, placed)
+        return {"n": F.when(opens, n).otherwise(acc["n"]), "block": block, "stack": now["stack"]}, now["node"]
 
-    zero = F.struct(
-        F.lit(0).alias("n"), F.lit("").alias("block"),
-        F.array().cast(_STACK).alias("stack"), F.array().cast(_OUT).alias("out"),
-    )
-    placed = F.aggregate(turns, zero, step, lambda acc: acc["out"])
+    zero = {"n": F.lit(0), "block": F.lit(""), "stack": F.array().cast(_STACK)}
+    placed = let(fold_emitting(turns, zero, step, _OUT), lambda end: end["out"])
     starts = F.filter(turns, lambda e: (e["kind"] == "start") & e["tag"].isin(K.STRUCTURAL_TAGS))
     read = F.transform(
         starts,

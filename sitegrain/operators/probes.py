@@ -233,18 +233,22 @@ def link_stats(probed: DataFrame) -> DataFrame:
     )
 
 
-def asset_stats(probed: DataFrame, limit: int = K.ASSET_LIMIT_BYTES) -> DataFrame:
+def asset_stat_columns(limit: int = K.ASSET_LIMIT_BYTES) -> dict[str, Column]:
     n = lambda p: F.size(F.filter("found", p))
-    return probed.select(
-        "page_id",
-        n(lambda x: x["byte_size"].isNotNull()).alias("images_measured"),
-        n(lambda x: x["byte_size"].isNull()).alias("size_unknown"),
-        "not_checked",
-        n(lambda x: x["byte_size"] > limit).alias("over_limit"),
-        F.aggregate(
-            "found", F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["byte_size"], F.lit(0))
-        ).alias("total_bytes"),
+    weight = F.aggregate(
+        "found", F.lit(0).cast("bigint"), lambda acc, x: acc + F.coalesce(x["byte_size"], F.lit(0))
     )
+    return {
+        "images_measured": n(lambda x: x["byte_size"].isNotNull()),
+        "size_unknown": n(lambda x: x["byte_size"].isNull()),
+        "over_limit": n(lambda x: x["byte_size"] > limit),
+        "total_bytes": weight,
+    }
+
+
+def asset_stats(probed: DataFrame, limit: int = K.ASSET_LIMIT_BYTES) -> DataFrame:
+    stats = [c.alias(name) for name, c in asset_stat_columns(limit).items()]
+    return probed.select("page_id", "not_checked", *stats)
 
 
 def asset_report(probed: DataFrame, limit: int = K.ASSET_LIMIT_BYTES) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain import constants as K
-from sitegrain.functions.columns import staged
+from sitegrain.functions.columns import let, staged
 from sitegrain.operators.extract import extract
 from sitegrain.operators.rules import (
     PACKS, Rule, fact, finding, found_by, needs_of, once, rule,
@@ -63,13 +63,17 @@ def score_band(score: Column) -> Column:
 
 def sorted_findings(findings: Column) -> Column:
     """Most severe first, then by rule, then in emission order."""
-    keyed = F.transform(
-        findings,
-        lambda f, i: F.struct(
-            severity_rank(f["severity"]).alias("rank"), f["rule"].alias("rule"), i.alias("i"),
-        ),
-    )
-    return F.transform(F.array_sort(keyed), lambda k: F.get(findings, k["i"]))
+
+    def ordered(found: Column) -> Column:
+        keyed = F.transform(
+            found,
+            lambda f, i: F.struct(
+                severity_rank(f["severity"]).alias("rank"), f["rule"].alias("rule"), i.alias("i")
+            ),
+        )
+        return F.transform(F.array_sort(keyed), lambda k: F.get(found, k["i"]))
+
+    return let(findings, ordered)
 
 
 def _pack(module: str, findings: Column, score: Column) -> Column:
@@ -107,13 +111,16 @@ def audit_markup(responses: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     return df.drop(*[c for c in found if c != "static_links"])
 
 
-def with_probes(audited: DataFrame, links: DataFrame, assets: DataFrame) -> DataFrame:
+def with_probes(
+    audited: DataFrame, links: DataFrame, assets: DataFrame, also: tuple[str, ...] = ()
+) -> DataFrame:
     """Add the asset and link packs to audited pages.
 
     ``audited`` should be a table (see ``materialised``): three branches read
-    it.  links / assets come from ``probe_findings`` and have a row per page.
+    it.  links / assets come from ``probe_findings`` and have a row per page;
+    ``also`` names columns of assets to keep.
     """
-    a = assets.select("page_id", F.col("probe_findings").alias("f_assets"))
+    a = assets.select("page_id", F.col("probe_findings").alias("f_assets"), *also)
     k = links.select("page_id", F.col("probe_findings").alias("f_links"))
     df = audited.join(a, "page_id", "left").join(k, "page_id", "left")
     f_links = F.concat("static_links", F.col("f_links"))

@@ -82,7 +82,7 @@ def link_degrees(pages: DataFrame) -> DataFrame:
     base = pages.select(
         "page_id", here.alias("url"), F.size(F.array_except(targets, F.array(here))).alias("out_degree")
     )
-    return base.join(came, "url", "left").select(
+    return salted_join(base, came, ["url"], "left", "page_id").select(
         "page_id", "url", "out_degree", F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
         F.col("in_degree").isNull().alias("is_orphan"),
     )
@@ -186,7 +186,7 @@ def qa_checklist(audited: DataFrame, findings: Column, sitemap: DataFrame) -> Da
     """audited(page_id, url, headings, ...) → one row per page and the share passed."""
     names = F.array_distinct(F.transform(findings, lambda f: f["rule"]))
     listed = sitemap.select("url").distinct().withColumn("_listed", F.lit(True))
-    df = audited.withColumn("_rules", names).join(listed, "url", "left")
+    df = salted_join(audited.withColumn("_rules", names), listed, ["url"], "left", "page_id")
     items = {
         item: ~F.arrays_overlap("_rules", F.array(*[F.lit(r) for r in rules]))
         for item, rules in ITEM_RULES.items()

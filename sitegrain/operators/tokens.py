@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from sitegrain.constants import QUIET_TAGS, VOID_TAGS
 from sitegrain.functions import urls
-from sitegrain.functions.columns import remembered, staged
+from sitegrain.functions.columns import fold_emitting, let, remembered, staged
 from sitegrain.functions.text import strip, unescape
 
-_OPEN, _CLOSE = "\x01", "\x02"
+_OPEN, _CLOSE, _OFF, _STRAY = "\x01", "\x02", "\x03", "\x04"
 _MARK = r"\x01\d+\x02"
 
 # The bound keeps Java's matcher from recursing once per quoted attribute; the
@@ -28,14 +28,14 @@ _MARK = r"\x01\d+\x02"
 _TAG_TAIL = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,64}>"""
 
 
-def token_pattern(mark: str = "") -> str:
+def token_pattern(mark: str = "", off: str = "") -> str:
     lt = "<" + mark
     return (
         rf"(?is){lt}!--.*?-->"
         rf"|{lt}script\b[^>]*>.*?{lt}/script\s*>"
         rf"|{lt}style\b[^>]*>.*?{lt}/style\s*>"
-        rf"|{lt}[a-z/!?]{_TAG_TAIL}"
-        rf"|{lt}[a-z/!?][^>]*>"
+        rf"|{lt}{off}[a-z/!?]{_TAG_TAIL}"
+        rf"|{lt}{off}[a-z/!?][^>]*>"
         rf"|{lt}"
         r"|[^<]+"
     )
@@ -47,10 +47,10 @@ ATTRIBUTE = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:'[^']*'|"[^"]*"|[^>\s"'][^>\s]*)?)
 def _marked(html: Column) -> Column:
     """Every '<' followed by its line number between two control characters."""
     # The two marks themselves are replaced where a page holds them.
-    own = html.rlike("[\x01\x02]")
-    plain = F.when(own, F.translate(html, _OPEN + _CLOSE, "��")).otherwise(F.coalesce(html, F.lit("")))
+    own = html.rlike("[\x01-\x04]")
+    plain = F.when(own, F.translate(html, _OPEN + _CLOSE + _OFF + _STRAY, "�" * 4)).otherwise(F.coalesce(html, F.lit("")))
     lines = F.split(plain, "\n")
-    return F.array_join(
+    text = F.array_join(
         F.transform(
             lines,
             lambda l, i: F.replace(
@@ -59,15 +59,46 @@ def _marked(html: Column) -> Column:
         ),
         "\n",
     )
+    for opener, closer in (("!--", "--"), ("script", "/script"), ("style", "/style")):
+        text = let(text, _disarming(opener, closer))
+    return let(text, _tail_disarmed)
+
+
+def _tail_disarmed(text: Column) -> Column:
+    """Past the last '>' no '<' can open a tag; it is not tried there either."""
+    tail = F.substring_index(text, ">", -1)
+    return F.concat(
+        F.left(text, F.length(text) - F.length(tail)),
+        F.replace(tail, F.lit(_CLOSE), F.lit(_CLOSE + _STRAY)),
+    )
+
+
+def _disarming(opener: str, closer: str):
+    """Openers past the last closer get a mark that stops them from being tried.
+
+    They cannot match there; without the mark each would search to the end of
+    the page, which is quadratic on a page with many.
+    """
+    last_end = rf"(?is)^.*{closer}>" if opener == "!--" else rf"(?is)^.*\x02{closer}\s*>"
+
+    def apply(text: Column) -> Column:
+        def cut(n: Column) -> Column:
+            tail = F.substr(text, n + 1)
+            return F.concat(F.left(text, n), F.regexp_replace(tail, rf"(?i)\x02{opener}", f"\x02\x03{opener}"))
+
+        done = let(F.length(F.regexp_extract(text, last_end, 0)), cut)
+        return F.when(text.rlike(rf"(?i)\x02{opener}"), done).otherwise(text)
+
+    return apply
 
 
 def unmarked(c: Column) -> Column:
-    return F.when(F.contains(c, F.lit(_OPEN)), F.regexp_replace(c, _MARK, "")).otherwise(c)
+    return F.when(c.rlike("[\x01-\x04]"), F.regexp_replace(c, _MARK + "|[\x03\x04]", "")).otherwise(c)
 
 
 def raw_tokens(html: Column) -> Column:
     """array<string> of marked tokens; they re-concatenate to the page."""
-    return F.regexp_extract_all(_marked(html), F.lit(token_pattern(_MARK)), F.lit(0))
+    return F.regexp_extract_all(_marked(html), F.lit(token_pattern(_MARK, r"\x03?")), F.lit(0))
 
 
 @remembered
@@ -83,7 +114,7 @@ def _events(tags: tuple[str, ...] | None, read: tuple[str, ...]) -> Column:
         return F.struct(
             i.alias("pos"),
             F.substring(t, 3, 12).alias("head"),
-            F.when(t.startswith("<"), F.substr(t, at + 1)).alias("rest"),
+            F.when(t.startswith("<"), F.ltrim(F.substr(t, at + 1), F.lit(_OFF))).alias("rest"),
         )
 
     def named(c: Column) -> Column:
@@ -144,42 +175,53 @@ def _quiet_spans() -> Column:
     turns = F.filter("events", lambda e: e["tag"].isin(QUIET_TAGS) & (e["kind"] != "raw"))
     span_type = "array<struct<lo:int,hi:int>>"
     none = F.array().cast(span_type)
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("lo"), none.alias("spans"))
 
-    def step(acc: Column, e: Column) -> Column:
+    def step(acc: Column, e: Column) -> tuple[dict[str, Column], Column]:
         up = e["kind"] == "start"
         depth = F.when(up, acc["depth"] + 1).otherwise(F.greatest(acc["depth"] - 1, F.lit(0)))
-        closes = ~up & (acc["depth"] == 1)
-        span = F.struct(acc["lo"].alias("lo"), e["pos"].alias("hi"))
-        return F.struct(
-            depth.alias("depth"),
-            F.when(up & (acc["depth"] == 0), e["pos"]).otherwise(acc["lo"]).alias("lo"),
-            F.when(closes, F.concat(acc["spans"], F.array(span)))
-            .otherwise(acc["spans"])
-            .cast(span_type)
-            .alias("spans"),
-        )
+        lo = F.when(up & (acc["depth"] == 0), e["pos"]).otherwise(acc["lo"])
+        span = F.array(F.struct(acc["lo"].alias("lo"), e["pos"].alias("hi")))
+        return {"depth": depth, "lo": lo}, F.when(~up & (acc["depth"] == 1), span).otherwise(none)
 
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.struct(acc["lo"].alias("lo"), F.lit(2147483647).alias("hi")))
-        return F.when(acc["depth"] > 0, F.concat(acc["spans"], rest)).otherwise(acc["spans"])
+    def closed(end: Column) -> Column:
+        rest = F.array(F.struct(end["lo"].alias("lo"), F.lit(2147483647).alias("hi")))
+        return F.when(end["depth"] > 0, F.concat(end["out"], rest)).otherwise(end["out"])
 
-    return F.when(F.size(turns) == 0, none).otherwise(F.aggregate(turns, zero, step, finish))
+    walked = fold_emitting(turns, {"depth": F.lit(0), "lo": F.lit(-1)}, step, span_type)
+    return F.when(F.size(turns) == 0, none).otherwise(let(walked, closed))
 
 
 @remembered
 def _visible() -> Column:
-    """Per token its visible text, decoded; '' for markup and hidden text."""
+    """Per token its visible text, decoded; '' for markup and hidden text.
+
+    Hidden ranges are cut out by slicing, so their number does not matter.
+    """
     raw, spans = F.col("raw"), F.col("spans")
 
-    def one(t: Column, i: Column) -> Column:
-        text = F.when(~t.startswith("<"), unescape(t)).when(
+    def one(t: Column) -> Column:
+        plain = F.replace(t, F.lit(_STRAY), F.lit(""))
+        text = F.when(~t.startswith("<"), let(plain, unescape)).when(
             t.rlike(r"^<\x01\d+\x02$"), F.lit("<")
         )
-        hidden = F.exists(spans, lambda s: (i > s["lo"]) & (i < s["hi"]))
-        return F.when(hidden, F.lit("")).otherwise(F.coalesce(text, F.lit("")))
+        return F.coalesce(text, F.lit(""))
 
-    return F.transform(raw, one)
+    def resume(s: Column) -> Column:
+        """Where text is visible again after a span."""
+        return F.when(s.isNotNull(), F.greatest(F.least(s["hi"], F.size(raw)), s["lo"] + 1))
+
+    def masked(t: Column) -> Column:
+        def part(s: Column, k: Column) -> Column:
+            start = F.coalesce(resume(F.get(spans, k - 1)), F.lit(0))
+            shown = F.slice(t, start + 1, F.greatest(s["lo"] + 1 - start, F.lit(0)))
+            return F.concat(shown, F.array_repeat(F.lit(""), resume(s) - s["lo"] - 1))
+
+        rest = F.slice(t, resume(F.try_element_at(spans, F.lit(-1))) + 1, F.size(t))
+        return F.concat(F.flatten(F.transform(spans, part)), rest)
+
+    return let(
+        F.transform(raw, one), lambda t: F.when(F.size(spans) == 0, t).otherwise(masked(t))
+    )
 
 
 @remembered
@@ -252,7 +294,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     df = staged(pages, ["page_id"], {"raw": raw_tokens(F.col("html"))})
     df = df.select("page_id", F.posexplode("raw").alias("pos", "token"))
     t = F.col("token")
-    rest = F.regexp_replace(t, r"^<\x01\d+\x02", "")
+    rest = F.regexp_replace(t, r"^<\x01\d+\x02\x03?", "")
     stray = t.rlike(r"^<\x01\d+\x02$")
     kind = (
         F.when(~t.startswith("<") | stray, F.lit("text"))

@@ -248,11 +248,9 @@ def full_audit(spark, sf):
     )
     ok = audited.filter("ok")
     links = P.probe_findings(P.checked_links(ok, link_status(ok)), P.LINK_PROBE_RULES)
-    assets = P.measured_assets(ok, asset_sizes(ok))
-    assets = P.probe_findings(assets, P.ASSET_RULES)
-    weights = P.asset_stats(assets)
-    df = C.with_probes(audited, links, assets)
-    return df.join(weights.select("page_id", "images_measured", "size_unknown", "total_bytes", "over_limit"), "page_id", "left")
+    stats = P.asset_stat_columns()
+    assets = P.probe_findings(P.measured_assets(ok, asset_sizes(ok)), P.ASSET_RULES).withColumns(stats)
+    return C.with_probes(audited, links, assets, tuple(stats))
 
 
 _MARKUP = [i for i in SELECTS]
@@ -293,11 +291,8 @@ def _(spark, sf):
 # emission order decides, which the per-rule queries cover.
 @query("sorted_findings", over_findings("SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY rk, rule) AS INT) AS position, severity, rule FROM fa JOIN wt USING (severity)"))
 def _(spark, sf):
-    df = full_audit(spark, sf).select("page_id", C.all_findings(F.col("packs")).alias("f"))
-    from sitegrain.functions.columns import staged
-
-    df = staged(df, ["page_id"], {"f": F.col("f")})
-    df = df.select("page_id", F.posexplode(C.sorted_findings(F.col("f"))).alias("p", "x"))
+    found = C.sorted_findings(C.all_findings(F.col("packs")))
+    df = full_audit(spark, sf).select("page_id", F.posexplode(found).alias("p", "x"))
     return df.select("page_id", (F.col("p") + 1).alias("position"), F.col("x.severity").alias("severity"), F.col("x.rule").alias("rule"))
 
 
