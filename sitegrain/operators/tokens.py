@@ -69,7 +69,7 @@ def _tail_disarmed(text: Column) -> Column:
     tail = F.substring_index(text, ">", -1)
     return F.concat(
         F.left(text, F.length(text) - F.length(tail)),
-        F.replace(tail, F.lit(_CLOSE), F.lit(_CLOSE + _STRAY)),
+        F.regexp_replace(tail, r"\x02([a-zA-Z/!?])", "\x02\x04$1"),
     )
 
 

@@ -155,7 +155,9 @@ def _(spark, sf):
 
 
 def _site(spark, sf):
-    return extract(X.site_pages(spark, sf), ["links"])
+    # Two branches read it, so the extraction is written once.
+    df = extract(X.site_pages(spark, sf), ["links"])
+    return materialised(df.select("page_id", "url", "base_url", "base_host", "links"))
 
 
 _EDGES = f"""
@@ -181,7 +183,7 @@ def _(spark, sf):
 @query("page_depth", with_extracts("SELECT s.page_id, s.url, CAST(d.depth AS INT) AS depth FROM src s LEFT JOIN (SELECT dst, min(depth) AS depth FROM dp GROUP BY 1) d ON d.dst = s.url", ["link"], "site",
        _EDGES + ", e3 AS MATERIALIZED (SELECT DISTINCT ed2.src, dst FROM ed2), dp AS (SELECT * FROM dpr)").replace("WITH ", "WITH RECURSIVE ", 1).replace("dp AS (SELECT * FROM dpr)", "dp AS (SELECT url AS dst, 0 AS depth FROM src WHERE ends_with(url, '/p0') UNION SELECT e3.dst, dp.depth + 1 FROM dp JOIN e3 ON e3.src = dp.dst WHERE dp.depth < 10)"))
 def _(spark, sf):
-    pages = materialised(_site(spark, sf))
+    pages = _site(spark, sf)
     edges = N.internal_edges(pages)
     depth = N.page_depth(edges, pages.filter(F.col("url").endswith("/p0")).select("url"))
     return pages.select("page_id", "url").join(depth, "url", "left")

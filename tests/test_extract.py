@@ -129,3 +129,50 @@ def test_tokens_lose_nothing(spark):
     )
     assert joined.join(pages, "page_id").filter("back <> html").count() == 0
     assert joined.count() == pages.count()
+
+
+def test_tokens_as_the_plain_pattern_gives_them(spark):
+    """The marks that carry lines and stop hopeless searches change no token."""
+    import re
+
+    from sitegrain.operators.tokens import token_pattern
+
+    rnd = random.Random(11)
+    bits = [
+        "<!--", "-->", "<script>", "</script >", "<style a='", "</STYLE>", "<", ">", '"', "'", "\n", "text ", "<p>",
+        "</p>", "<a href=x", "<!doctype>", "/>", "\x01", "<?x", "--", "&amp;",
+    ]
+    htmls = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(htmls)), "page_id bigint, html string")
+    got = {}
+    for r in tokens(df).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append((r.token, r.line))
+    pattern = re.compile(token_pattern())
+    for i, html in enumerate(htmls):
+        html = html.replace("\x01", "�")
+        want = [(m.group(), html.count("\n", 0, m.start()) + 1) for m in pattern.finditer(html)]
+        assert [t for t, _ in got.get(i, [])] == [t for t, _ in want], html
+        for (t, line), (_, at) in zip(got.get(i, []), want):
+            assert line == (at if t.startswith("<") else None)
+
+
+def test_large_broken_pages_finish(page):
+    """Each of these was quadratic in an earlier form."""
+    many = 3000
+    rows = page(
+        "<script>" * many + "<!--" * many,
+        "<noscript>a</noscript>" * many + "<h1>b</h1>",
+        "<a <b " * many,
+        "<div><p>x" * many,
+        parts=["text_length", "headings", "blocks", "nodes"],
+    )
+    assert [h.text for h in rows[1].headings] == ["b"]
+    assert rows[1].text_length == 1
+    assert len(rows[3].nodes) == 2 * many
+
+
+def test_extraction_is_one_narrow_stage(spark):
+    """No shuffle, no Python, and only the columns that are read."""
+    plan = extract(spark.read.parquet(f"{SF}/pages.parquet"), ["title", "links"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "Python" not in plan and "ArrowEval" not in plan
