@@ -18,10 +18,8 @@ from sitegrain.functions.columns import blank, last, non_empty, remembered, stag
 from sitegrain.functions.text import collapse, strip, word_count
 from sitegrain.operators.tokens import (
     attribute,
-    has_attribute,
     text_between,
     tokenised,
-    unmarked,
     visible_length,
 )
 
@@ -56,14 +54,6 @@ def _with_attributes(events: Column) -> Column:
     )
 
 
-def _numbered(array: Column, fields: list[str]) -> Column:
-    """Add ``ord``, 1-based document order."""
-    return F.transform(
-        array,
-        lambda x, i: F.struct((i + 1).alias("ord"), *[x[f].alias(f) for f in fields]),
-    )
-
-
 def _adjacent(seq: Column, opens, closes) -> Column:
     """Starts whose very next element in ``seq`` ends them.
 
@@ -91,10 +81,6 @@ def _title(seq: Column, texts: Column) -> Column:
     return F.when(hit.isNotNull(), collapse(text_between(texts, hit["pos"], hit["next"]["pos"])))
 
 
-def _block_type(extra: str = "") -> str:
-    return f"array<struct<pos:int,tag:string,line:int,stop:int{extra}>>"
-
-
 def _spans_of(pairs: Column) -> Column:
     return F.transform(
         pairs,
@@ -374,9 +360,6 @@ def extract(pages: DataFrame, parts: Iterable[str] | None = None) -> DataFrame:
     return df
 
 
-__all__ = ["PARTS", "extract", "has_attribute", "unmarked"]
-
-
 def meta_value(metas: Column, key: str, name: str) -> Column:
     """``content`` of the first meta whose ``key`` attribute is ``name``, any case.
 

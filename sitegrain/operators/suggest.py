@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls
-from sitegrain.functions.columns import blank, first, last, let, non_empty, remembered, staged
+from sitegrain.functions.columns import first, last, let, non_empty, remembered, staged
 from sitegrain.functions.jsonld import CONTEXT, node, node_if
 from sitegrain.functions.text import strip
 from sitegrain.operators.extract import extract, meta_value
@@ -209,5 +209,3 @@ def suggest_graph(values: DataFrame) -> DataFrame:
         F.array_join(notes, " ").alias("notes"), graph.alias("json_ld"),
     )
 
-
-__all__ = ["blank", "breadcrumbs", "faq_pairs", "page_values", "suggest_graph"]

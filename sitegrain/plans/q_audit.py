@@ -20,7 +20,6 @@ from sitegrain.plans.q_extract import audit_pages
 from sitegrain.plans.registry import query
 from sitegrain.session import materialised
 from sitegrain.sources import fixtures as X
-from sitegrain.sources import responses as S
 
 # --- side tables, derived from the URLs the pages use -----------------------
 

@@ -38,8 +38,7 @@ def _(spark, sf):
         ).alias("headers"),
     )
     return S.load_responses(raw).select(
-        "page_id", "url", "status", "content_type", "is_html",
-        F.try_element_at("headers", F.lit("x-robots-tag")).alias("x_robots_tag"),
+        "page_id", "url", "status", "content_type", "is_html", "x_robots_tag",
         F.size("headers").alias("n_headers"),
     )
 

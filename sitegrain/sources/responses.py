@@ -12,18 +12,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from sitegrain.constants import BLOCKED_SCHEMES, MAX_URL_LENGTH
-from sitegrain.functions.columns import staged
+from sitegrain.functions.columns import last, staged
 from sitegrain.functions.text import strip
 from sitegrain.functions.urls import authority
 
 
+def lower_keys(headers: Column) -> Column:
+    """Header map with lower-cased names; a name given twice holds the last value."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    value = lambda n: last(F.filter(entries, lambda e: F.lower(e["key"]) == n))["value"]
+    return F.map_from_arrays(names, F.transform(names, value))
+
+
 def load_responses(raw: DataFrame) -> DataFrame:
-    """Lower-cased header keys, content type and whether the body is HTML."""
-    headers = F.transform_keys("headers", lambda k, v: F.lower(k))
-    df = raw.withColumn("headers", headers)
+    """Lower-cased header keys, content type, robots header and whether the body is HTML."""
+    df = raw.withColumn("headers", lower_keys(F.col("headers")))
     ctype = F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit(""))
-    return df.withColumn("content_type", ctype).withColumn(
-        "is_html", F.contains(F.lower("content_type"), F.lit("html"))
+    return df.withColumns(
+        {
+            "content_type": ctype,
+            "x_robots_tag": F.try_element_at("headers", F.lit("x-robots-tag")),
+            "is_html": F.contains(F.lower(ctype), F.lit("html")),
+        }
     )
 
 

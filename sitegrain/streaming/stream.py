@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +76,3 @@ def run_update(stream: DataFrame, name: str, keys: list[str], value: str) -> Dat
     q.awaitTermination()
     rows = spark.read.parquet(f"{out}/table")
     return rows.groupBy(*keys).agg(F.max_by(value, "version").alias(value))
-
-
-Source = Callable[[], DataFrame]

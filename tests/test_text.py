@@ -10,7 +10,7 @@ from sitegrain.functions.sizes import human_size
 from sitegrain.operators import textgen as T
 from sitegrain.operators.inventory import existing_types
 from sitegrain.operators.suggest import breadcrumbs
-from sitegrain.sources.responses import decode_responses
+from sitegrain.sources.responses import decode_responses, load_responses
 
 BASES = ["https://a.test", "https://a.test/x/y?q=1#f", "http://a.test/x//y/", "https://a.test:8080/é/ü"]
 REFS = [
@@ -140,3 +140,10 @@ def test_breadcrumbs_from_path(spark):
 def test_types_at_any_depth(spark):
     df = spark.createDataFrame([(['{"@type":"A","x":[{"y":{"@type":["B","A"]}}],"s":"\\"@type\\": \\"no\\""}', "{bad"],)], "j array<string>")
     assert df.select(existing_types(F.col("j")).alias("t")).first().t == ["A", "B", "(unparseable)"]
+
+
+def test_headers_in_any_case(spark):
+    df = spark.sql("SELECT map('Content-Type', 'Text/HTML', 'X-Robots-Tag', 'none', 'content-TYPE', 'text/html; charset=x') AS headers")
+    r = load_responses(df).first()
+    assert (r.content_type, r.x_robots_tag, r.is_html) == ("text/html; charset=x", "none", True)
+    assert sorted(r.headers) == ["content-type", "x-robots-tag"]
