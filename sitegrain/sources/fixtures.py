@@ -103,7 +103,7 @@ _K = "CAST((page_id - page_id % 5) / 5 AS BIGINT)"
 SITE_PAGES = f"""SELECT page_id,
  concat('https://site', CAST(page_id % 5 AS STRING), '.example.net/p', CAST({_K} AS STRING)) AS url,
  replace(html, '</article>', concat(
-  '<a href="/p', CAST({_K} * 2 + 1 AS STRING), '#s">left</a>',
+  CASE WHEN page_id % 11 = 7 THEN '' ELSE concat('<a href="/p', CAST({_K} * 2 + 1 AS STRING), '#s">left</a>') END,
   '<a href="/p', CAST({_K} * 2 + 2 AS STRING), '">right</a><a href="/p0">home</a>',
   CASE WHEN page_id % 11 = 3 THEN '<a href="/p1">one</a>' ELSE '' END, '</article>')) AS html
 FROM pages"""
