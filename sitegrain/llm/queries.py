@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import packing, pieces, repetition, simhash, topk, urlfilter
+from sitegrain.llm import packing, pieces, repetition, simhash, topk, toxicity, urlfilter
+from sitegrain.llm.common import ship
 
 QUERIES = {}
 ORACLE = {}
@@ -20,6 +21,7 @@ def _query(fn):
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -57,6 +59,16 @@ FROM parts LEFT JOIN fits USING (n)
 """
 
 
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third of ids is held out from training."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    docs = _table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, _table(spark, sf_dir, "labels").filter(fold != 1))
+    rows = docs.select("doc_id", "text", F.coalesce(fold == 1, F.lit(False)).alias("held_out"))
+    return toxicity.scored(rows, machine, keep_text=False)
+
+
 @_query
 def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the repetition rules for every document."""
