@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import packing, pieces, repetition, simhash, topk, toxicity, urlfilter
+from sitegrain.llm import linedup, lmscore, mainhtml, packing, pieces, repetition, simhash, topk, toxicity, urlfilter
 from sitegrain.llm.common import ship
 
 QUERIES = {}
@@ -59,6 +59,14 @@ FROM parts LEFT JOIN fits USING (n)
 """
 
 
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's worded lines and the numbers of the lines it loses."""
+    found = linedup.line_verdicts(_table(spark, sf_dir, "documents"))
+    doc = F.when(F.col("d") < linedup.LAST, F.col("d")).alias("doc_id")
+    return found.select(doc, "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 @_query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a third of ids is held out from training."""
@@ -75,12 +83,26 @@ def op5_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.rated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's masked pseudo-likelihood under a model of all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return lmscore.scored(docs, lmscore.train(docs))
+
+
 @_query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 4,096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), value=packing.IDS_CRC32)
 
 
+@_query
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return mainhtml.extracted(pages, mainhtml.train(pages))
+
+
 @_query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""

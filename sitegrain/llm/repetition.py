@@ -154,8 +154,8 @@ def _line_counts(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def rated(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """``df`` without its text, with counts and verdict for each row.
+def rated(df: DataFrame, text: str = "text", rules: Rules = Rules(), keep_text: bool = False) -> DataFrame:
+    """``df`` (without its text unless asked for) with counts and verdict for each row.
 
     Added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     longest_repeat (words), base_failed, kept.
@@ -163,7 +163,7 @@ def rated(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFram
     added = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("longest_repeat", T.LongType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
     names = {a for a, _ in added}
     kept = [c for c in df.columns if c not in names]
-    out_cols = [c for c in kept if c != text]
+    out_cols = kept if keep_text else [c for c in kept if c != text]
     schema = T.StructType([df.schema[c] for c in out_cols] + [T.StructField(a, t) for a, t in added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
