@@ -9,15 +9,18 @@ Equal sets are one class. Words are ordered by rarity: a table of word counts
 of fixed size, hashed, summed over all documents, ranks them (any order that
 is the same everywhere gives right results; counts make it selective). Classes
 that are similar share a word within their first n - ceil(share * n) + 1 words,
-so these prefixes are joined word by word under the length filter and the
-positional filter, and what remains is verified on whole sets. A prefix word
-of up to ``short_list`` lines gives its pairs. The list of a commoner one is
-first compared with its earliest line alone, and only lines that this leaves
-unresolved meet the whole list: near copies of one passage cost a pair each.
-
-Lines without a word stay. Rows that agree in doc_id and text are one document.
-Null ids come last in the order; null text has no lines and stays null. Extra
-columns are passed through.
+so these prefixes are dealt by word (32 bits of it: what that mixes up is found
+out later), and every list of lines gives its pairs under the length and the
+positional filter. A list longer than ``short_list`` first gives only pairs
+with its first line; lines which that leaves unresolved then meet the whole
+list, so near copies of one passage cost a pair each. Pairs are verified on
+whole sets; of the sets only those are moved whose bit is set in a table of
+the ids wanted, of bounded size.
+
+Lines without a word stay. Rows that agree in doc_id and text are one document;
+documents that share a doc_id only are equally early, neither removes lines
+of the other. Null ids come last in the order; null text has no lines and stays
+null. Extra columns are passed through.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.common import as_text, bounds, chunked, hashed_words, mixed, utf8
-from sitegrain.session import shared_dir
+from sitegrain.session import materialised, shared_dir
 
 #: Cells of the count table: fixed, whatever the vocabulary.
 CELLS = 1 << 18
@@ -76,6 +79,19 @@ def word_table(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, lines): each line's different words, by rank, then digest."""
+    key = (line.astype(np.uint64) << np.uint64(44)) | (rank[_cells(h)] << np.uint64(32)) | (h >> np.uint64(32))
+    order = np.argsort(key)
+    key, h = key[order], h[order]
+    if len(key) and ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+        again = np.lexsort((h, key))
+        key, h = key[again], h[again]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+    return h[fresh], (key[fresh] >> np.uint64(44)).astype(np.int64)
+
+
 def line_sets(texts: list[str | None], rank: np.ndarray):
     """Worded lines of texts: (text number, line number, set size, two digests, words in order, starts)."""
     data = [utf8(t) for t in texts]
@@ -86,15 +102,14 @@ def line_sets(texts: list[str | None], rank: np.ndarray):
     breaks = np.flatnonzero(np.frombuffer(buf, np.uint8) == 10)
     line = np.searchsorted(breaks, starts)  # over the whole buffer
     used, local = np.unique(line, return_inverse=True)
-    key = (local.astype(np.uint64) << np.uint64(44)) | (rank[_cells(h)] << np.uint64(32)) | (h >> np.uint64(32))
-    order = np.argsort(key)
-    key, h = key[order], h[order]
-    if len(key) and ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
-        again = np.lexsort((h, key))
-        key, h = key[again], h[again]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
-    h, of = h[fresh], (key[fresh] >> np.uint64(44)).astype(np.int64)
+    if len(used) >> 20:  # more lines than the sort key has room for
+        order = np.lexsort((h, rank[_cells(h)], local))
+        h, of = h[order], local[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+        h, of = h[fresh], of[fresh]
+    else:
+        h, of = _ordered(h, local, rank)
     n = np.bincount(of, minlength=len(used))
     at = bounds(n)
     first = np.zeros(0, np.uint64)
@@ -149,23 +164,90 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _pairs(a: DataFrame, b: DataFrame, how: Similarity, ordered: bool) -> DataFrame:
-    """Candidate pairs of two posting tables: same word, other class, length and positional filter."""
-    x, y = a.alias("x"), b.alias("y")
-    n1, n2 = F.col("x.n"), F.col("y.n")
-    reach = 1 + F.least(n1 - F.col("x.i") - 1, n2 - F.col("y.i") - 1)
-    test = (F.col("x.h1") != F.col("y.h1")) & how.length_ok(n1, n2) & how.overlap_ok(reach, n1, n2)
-    if ordered:
-        test = test & (F.col("x.id") < F.col("y.id"))
-    return x.join(y, (F.col("x.word") == F.col("y.word")) & test).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+def pairs_of_lists(word, id_, n, i, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (left, right places) of lists sorted by (word, id), and which rows lie in long lists.
+
+    A long list gives pairs with its first row only.
+    """
+    start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    size = np.diff(np.append(start, len(word)))
+    of = np.repeat(size, size)
+    long = of > how.short_list
+    left, right = [], []
+
+    def test(x, y):
+        reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
+        ok = how.length_ok(n[x], n[y]) & how.overlap_ok(reach, n[x], n[y]) & (id_[x] != id_[y])
+        left.append(x[ok])
+        right.append(y[ok])
+
+    rows = np.flatnonzero((of > 1) & ~long)
+    for k in range(1, how.short_list):
+        rows = rows[rows + k < len(word)]
+        rows = rows[word[rows] == word[rows + k]]
+        if not len(rows):
+            break
+        test(rows, rows + k)
+    head = np.repeat(start, size)
+    rows = np.flatnonzero(long & (head != np.arange(len(word))))
+    test(head[rows], rows)
+    return np.concatenate(left or [rows[:0]]), np.concatenate(right or [rows[:0]]), long
+
+
+def listed(sets: DataFrame, how: Similarity) -> DataFrame:
+    """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places in long lists."""
+    prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
+    posts = sets.select("id", "n", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            word, id_, n, i = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i"))
+            left, right, long = pairs_of_lists(word, id_, n, i, how)
+            yield pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])}).drop_duplicates()
+            if long.any():
+                yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long]})
+
+        for b in batches:
+            held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+            done = int(np.searchsorted(held["word"].to_numpy(), held["word"].iloc[-1])) if len(held) else 0
+            if done:
+                for out in found(held.iloc[:done]):
+                    yield _shaped(out)
+                held = held.iloc[done:]
+        if held is not None and len(held):
+            for out in found(held):
+                yield _shaped(out)
+
+    return posts.repartition("word").sortWithinPartitions("word", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int")
+
+
+def _shaped(x: pd.DataFrame) -> pd.DataFrame:
+    return x.reindex(columns=["head", "a", "b", "word", "n", "i"]).astype({"head": "boolean", "a": "Int64", "b": "Int64", "word": "Int32", "n": "Int32", "i": "Int32"})
+
+
+#: Slots of the table of wanted ids, 64 ids' bits each: at most this many, whatever is wanted.
+MOST_SLOTS = 1 << 19
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs whose whole sets are similar, with their classes."""
-    side = lambda k: sets.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "h1", "h2", "words")])
-    both = pairs.distinct().join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
+    """Pairs whose whole sets are similar, with their classes.
+
+    The wanted sets are picked by a bit table first: with more ids than bits it
+    lets more sets pass, never fewer.
+    """
+    pairs = materialised(pairs.distinct())
+    slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(6, (pairs.count() // 4).bit_length()))
+    slot = F.expr(f"pmod(shiftright(xxhash64(id), 6), {slots}L)")
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    wanted = ids.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))
+    picked = sets.withColumn("slot", slot).join(F.broadcast(wanted), "slot").filter(F.col("bits").bitwiseAND(bit) != 0)  # at most MOST_SLOTS rows
+    side = lambda k: picked.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "h1", "h2", "words")])
+    both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
     common = F.size(F.array_intersect("words_a", "words_b"))
-    return both.filter(how.overlap_ok(common, F.col("n_a"), F.col("n_b"))).select("h1_a", "h2_a", "h1_b", "h2_b", "a", "b")
+    return both.filter(how.overlap_ok(common, F.col("n_a"), F.col("n_b"))).select("a", "b", "h1_a", "h2_a", "h1_b", "h2_b")
 
 
 def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
@@ -176,28 +258,27 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     counts = word_table(df.select("text"))
     rank = np.minimum(64 * np.log2(counts + 1), 4095).astype(np.uint64)
     lines = _written(worded_lines(df, rank).withColumn("id", F.monotonically_increasing_id()))
-    sets = lines.filter("words IS NOT NULL")
-    place = F.struct("d", "t", "line")
+    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "words")
+    # (doc_id, line) as one number, so that its least is a plain hash aggregate.
+    place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
+    place = place.cast("decimal(38,0)")
     classes = lines.filter("line >= 0").groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
-    posts = sets.select("id", "n", "h1", "d", F.posexplode(prefix).alias("i", "word"))
-    lists = posts.groupBy("word").agg(F.count("*").alias("size"), F.min(F.struct("d", "id", "n", "i", "h1")).alias("head")).filter("size > 1")
-    posts = _written(posts.join(lists, "word").select("word", "id", "n", "i", "h1", "size", "head"))
-    short, long = posts.filter(F.col("size") <= how.short_list), posts.filter(F.col("size") > how.short_list)
-    heads = long.select("word", "id", "n", "i", "h1", "head")
-    reach = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("head.n") - F.col("head.i") - 1)
-    with_head = heads.filter((F.col("h1") != F.col("head.h1")) & how.length_ok(F.col("n"), F.col("head.n")) & how.overlap_ok(reach, F.col("n"), F.col("head.n")))
-    with_head = with_head.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b"))
-    removed_by_head = _removed(_verified(with_head, sets, how), classes)
-    removed_by_head = _written(removed_by_head)
-    # Rows of removed classes and second rows of the head's class need no further partner.
-    still = long.filter(F.col("h1") != F.col("head.h1")).join(removed_by_head.select("h1").distinct(), "h1", "left_anti")
-    rest = _pairs(still.select("word", "id", "n", "i", "h1"), long.select("word", "id", "n", "i", "h1"), how, False)
-    near = short.select("word", "id", "n", "i", "h1")
-    removed = removed_by_head.union(_removed(_verified(_pairs(near, near, how, True).union(rest), sets, how), classes)).distinct()
+    found = materialised(listed(sets, how))
+    verified = _verified(found.filter("head").select("a", "b"), sets, how)
+    by_head = materialised(_ranked(verified, classes))
+    # Lines of removed classes, and further rows of a class, need no other partner.
+    over = by_head.filter("a_gone").select(F.col("a").alias("id")).union(by_head.filter("b_gone OR same").select(F.col("b").alias("id"))).distinct()
+    places = found.filter("word IS NOT NULL").select("word", F.col("a").alias("id"), "n", "i")
+    still = places.join(over, "id", "left_anti").alias("x")
+    y = places.alias("y")
+    reach = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
+    test = (F.col("x.id") != F.col("y.id")) & how.length_ok(F.col("x.n"), F.col("y.n")) & how.overlap_ok(reach, F.col("x.n"), F.col("y.n"))
+    rest = still.join(y, (F.col("x.word") == F.col("y.word")) & test).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    others = _ranked(_verified(found.filter("NOT head").select("a", "b").union(rest), sets, how), classes)
+    removed = _gone(by_head).union(_gone(others)).distinct()
     judged = (
-        lines.drop("words", "id", "n").join(classes, ["h1", "h2"], "left").join(removed.withColumn("gone", F.lit(True)), ["h1", "h2"], "left")
-        .withColumn("out", (F.col("line") >= 0) & (F.col("gone").isNotNull() | (place != F.col("first"))))
+        lines.select("d", "t", "line", "h1", "h2").join(classes.join(removed.withColumn("gone", F.lit(True)), ["h1", "h2"], "left"), ["h1", "h2"], "left")
+        .withColumn("out", (F.col("line") >= 0) & (F.col("gone").isNotNull() | (place > F.col("first"))))
     )
     return judged.groupBy("d", "t").agg(
         F.size(F.collect_set(F.when(F.col("line") >= 0, F.col("line")))).cast("long").alias("n_lines"),
@@ -205,12 +286,17 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     )
 
 
-def _removed(links: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h1, h2) of the later class of each link."""
+def _ranked(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links with which of the two is gone, or that both are one class."""
     side = lambda k: classes.select(*[F.col(c).alias(f"{c}_{k}") for c in ("h1", "h2", "first")])
+    same = (F.col("h1_a") == F.col("h1_b")) & (F.col("h2_a") == F.col("h2_b"))
     placed = links.join(side("a"), ["h1_a", "h2_a"]).join(side("b"), ["h1_b", "h2_b"])
-    later = F.col("first_a") > F.col("first_b")
-    return placed.select(F.when(later, F.col("h1_a")).otherwise(F.col("h1_b")).alias("h1"), F.when(later, F.col("h2_a")).otherwise(F.col("h2_b")).alias("h2")).distinct()
+    return placed.select("a", "b", "h1_a", "h2_a", "h1_b", "h2_b", same.alias("same"), (F.col("first_a") > F.col("first_b")).alias("a_gone"), (F.col("first_b") > F.col("first_a")).alias("b_gone"))
+
+
+def _gone(links: DataFrame) -> DataFrame:
+    pick = lambda k: links.filter(f"{k}_gone").select(F.col(f"h1_{k}").alias("h1"), F.col(f"h2_{k}").alias("h2"))
+    return pick("a").union(pick("b"))
 
 
 def without_repeated_lines(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
