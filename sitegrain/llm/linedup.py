@@ -8,12 +8,13 @@ one document count too. So the first of equal or similar lines stays.
 Equal sets are one class. Words are ordered by rarity: a table of word counts
 of fixed size, hashed, summed over all documents, ranks them (any order that
 is the same everywhere gives right results; counts make it selective). Classes
-that are similar share a word within their first n - ceil(share * n) + 1 words,
-so these prefixes are dealt by word (32 bits of it: what that mixes up is found
+that are similar, but not equal, share two words within their first
+n - ceil(share * n) + 2 words, so these prefixes are dealt by word (32 bits of it: what that mixes up is found
 out later), and every list of lines gives its pairs under the length and the
-positional filter. A list longer than ``short_list`` first gives only pairs
-with its first line; lines which that leaves unresolved then meet the whole
-list, so near copies of one passage cost a pair each. Pairs are verified on
+positional filter, of which those met twice are candidates. A list longer than
+``short_list`` first gives only pairs with its first line; lines which that
+leaves unresolved then meet the whole list, so near copies of one passage cost
+a pair each. Pairs are verified on
 whole sets; of the sets only those are moved whose bit is set in a table of
 the ids wanted, of bounded size.
 
@@ -46,8 +47,10 @@ class Similarity:
     """Jaccard bound as a fraction, for exact integer tests."""
 
     over: int = 4
-    under: int = 5
+    under: int = 5  # at 1/2 or more, sets that are similar but not equal share two words at least
     short_list: int = 64
+    #: Prefixes are longer by shared - 1 words, and candidates share as many words of them.
+    shared: int = 2
 
     def overlap_ok(self, common, n1, n2):
         return common * (self.over + self.under) >= self.over * (n1 + n2)
@@ -176,7 +179,7 @@ def pairs_of_lists(word, id_, n, i, how: Similarity) -> tuple[np.ndarray, np.nda
     left, right = [], []
 
     def test(x, y):
-        reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
+        reach = how.shared + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
         ok = how.length_ok(n[x], n[y]) & how.overlap_ok(reach, n[x], n[y]) & (id_[x] != id_[y])
         left.append(x[ok])
         right.append(y[ok])
@@ -196,7 +199,7 @@ def pairs_of_lists(word, id_, n, i, how: Similarity) -> tuple[np.ndarray, np.nda
 
 def listed(sets: DataFrame, how: Similarity) -> DataFrame:
     """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places in long lists."""
-    prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
+    prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + {how.shared})")
     posts = sets.select("id", "n", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +208,7 @@ def listed(sets: DataFrame, how: Similarity) -> DataFrame:
         def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
             word, id_, n, i = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i"))
             left, right, long = pairs_of_lists(word, id_, n, i, how)
-            yield pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])}).drop_duplicates()
+            yield pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])})
             if long.any():
                 yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long]})
 
@@ -271,10 +274,11 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     places = found.filter("word IS NOT NULL").select("word", F.col("a").alias("id"), "n", "i")
     still = places.join(over, "id", "left_anti").alias("x")
     y = places.alias("y")
-    reach = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
+    reach = how.shared + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
     test = (F.col("x.id") != F.col("y.id")) & how.length_ok(F.col("x.n"), F.col("y.n")) & how.overlap_ok(reach, F.col("x.n"), F.col("y.n"))
     rest = still.join(y, (F.col("x.word") == F.col("y.word")) & test).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    others = _ranked(_verified(found.filter("NOT head").select("a", "b").union(rest), sets, how), classes)
+    often = found.filter("NOT head").select("a", "b").union(rest).groupBy("a", "b").count().filter(F.col("count") >= how.shared)
+    others = _ranked(_verified(often.select("a", "b"), sets, how), classes)
     removed = _gone(by_head).union(_gone(others)).distinct()
     judged = (
         lines.select("d", "t", "line", "h1", "h2").join(classes.join(removed.withColumn("gone", F.lit(True)), ["h1", "h2"], "left"), ["h1", "h2"], "left")
