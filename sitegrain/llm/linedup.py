@@ -8,13 +8,14 @@ one document count too. So the first of equal or similar lines stays.
 Equal sets are one class. Words are ordered by rarity: a table of word counts
 of fixed size, hashed, summed over all documents, ranks them (any order that
 is the same everywhere gives right results; counts make it selective). Classes
-that are similar, but not equal, share two words within their first
-n - ceil(share * n) + 2 words, so these prefixes are dealt by word (32 bits of it: what that mixes up is found
+that are similar share a word within their first n - ceil(share * n) + 1 words,
+so these prefixes are dealt by word (32 bits of it: what that mixes up is found
 out later), and every list of lines gives its pairs under the length and the
-positional filter, of which those met twice are candidates. A list longer than
-``short_list`` first gives only pairs with its first line; lines which that
-leaves unresolved then meet the whole list, so near copies of one passage cost
-a pair each. Pairs are verified on
+positional filter and one of bits: each set has 64 parities of its words, and two
+sets differ in at least as many words as parities, so most pairs that share but
+a word go at once. A list longer than ``short_list`` first gives only pairs
+with its first line; lines which that leaves unresolved then meet the whole
+list, so near copies of one passage cost a pair each. Pairs are verified on
 whole sets; of the sets only those are moved whose bit is set in a table of
 the ids wanted, of bounded size.
 
@@ -47,14 +48,15 @@ class Similarity:
     """Jaccard bound as a fraction, for exact integer tests."""
 
     over: int = 4
-    under: int = 5  # at 1/2 or more, sets that are similar but not equal share two words at least
+    under: int = 5
     short_list: int = 64
-    #: Prefixes are longer by shared - 1 words, and candidates share as many words of them.
-    shared: int = 2
 
     def overlap_ok(self, common, n1, n2):
         return common * (self.over + self.under) >= self.over * (n1 + n2)
 
+    def bits_ok(self, differing, n1, n2):
+        return (n1 + n2 - differing) * (self.over + self.under) >= 2 * self.over * (n1 + n2)
+
     def length_ok(self, n1, n2):
         return (self.under * n1 >= self.over * n2) & (self.under * n2 >= self.over * n1)
 
@@ -96,7 +98,7 @@ def _ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndar
 
 
 def line_sets(texts: list[str | None], rank: np.ndarray):
-    """Worded lines of texts: (text number, line number, set size, two digests, words in order, starts)."""
+    """Worded lines of texts: (text number, line number, set size, two digests, parities, words in order, starts)."""
     data = [utf8(t) for t in texts]
     size = np.array([len(d) + 1 for d in data], np.int64)
     text_at = bounds(size)
@@ -125,11 +127,12 @@ def line_sets(texts: list[str | None], rank: np.ndarray):
     text = np.searchsorted(text_at, line_start, "right") - 1
     # Lines before a text: the breaks in front of its start.
     number = used - np.searchsorted(breaks, text_at[:-1])[text]
-    return text, number, n, first.view(np.int64), second.view(np.int64), h.view(np.int64), at
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), at[:-1]) if len(used) else first
+    return text, number, n, first.view(np.int64), second.view(np.int64), bits.view(np.int64), h.view(np.int64), at
 
 
 def worded_lines(df: DataFrame, rank: np.ndarray) -> DataFrame:
-    """One row for each worded line, (d, t, line, n, h1, h2, words); words only where new to the task.
+    """One row for each worded line, (d, t, line, n, h1, h2, bits, words); words only where new to the task.
 
     Texts without such a line give one row with line -1.
     """
@@ -141,7 +144,7 @@ def worded_lines(df: DataFrame, rank: np.ndarray) -> DataFrame:
             data = [as_text(t) for t in b["text"]]
             ids, digests = b["d"].to_numpy(np.int64), b["t"].to_numpy(np.int64)
             for lo, hi in chunked(data):
-                text, number, n, h1, h2, words, at = line_sets(data[lo:hi], table.value)
+                text, number, n, h1, h2, bits, words, at = line_sets(data[lo:hi], table.value)
                 new = [not (x in seen or seen.add(x)) for x in h1.tolist()]
                 parts = [words[a:z] if f else None for f, a, z in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 bare = np.setdiff1d(np.arange(hi - lo), text)
@@ -150,12 +153,12 @@ def worded_lines(df: DataFrame, rank: np.ndarray) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "d": ids[text], "t": digests[text], "line": number.astype(np.int32), "n": np.concatenate([n, zero]).astype(np.int32),
-                        "h1": np.concatenate([h1, zero]), "h2": np.concatenate([h2, zero]), "words": pd.Series([*parts, *[None] * len(bare)], dtype=object),
+                        "h1": np.concatenate([h1, zero]), "h2": np.concatenate([h2, zero]), "bits": np.concatenate([bits, zero]), "words": pd.Series([*parts, *[None] * len(bare)], dtype=object),
                     }
                 )
 
     keyed = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("t"), "text")
-    return keyed.mapInPandas(run, "d long, t long, line int, n int, h1 long, h2 long, words array<long>")
+    return keyed.mapInPandas(run, "d long, t long, line int, n int, h1 long, h2 long, bits long, words array<long>")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def pairs_of_lists(word, id_, n, i, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of_lists(word, id_, n, i, bits, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (left, right places) of lists sorted by (word, id), and which rows lie in long lists.
 
     A long list gives pairs with its first row only.
@@ -179,8 +182,9 @@ def pairs_of_lists(word, id_, n, i, how: Similarity) -> tuple[np.ndarray, np.nda
     left, right = [], []
 
     def test(x, y):
-        reach = how.shared + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
+        reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
         ok = how.length_ok(n[x], n[y]) & how.overlap_ok(reach, n[x], n[y]) & (id_[x] != id_[y])
+        ok &= how.bits_ok(np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64), n[x], n[y])
         left.append(x[ok])
         right.append(y[ok])
 
@@ -199,18 +203,18 @@ def pairs_of_lists(word, id_, n, i, how: Similarity) -> tuple[np.ndarray, np.nda
 
 def listed(sets: DataFrame, how: Similarity) -> DataFrame:
     """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places in long lists."""
-    prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + {how.shared})")
-    posts = sets.select("id", "n", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i")
+    prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
+    posts = sets.select("id", "n", "bits", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i", "bits")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
         def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            word, id_, n, i = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i"))
-            left, right, long = pairs_of_lists(word, id_, n, i, how)
+            word, id_, n, i, bits = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i", "bits"))
+            left, right, long = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), how)
             yield pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])})
             if long.any():
-                yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long]})
+                yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long], "bits": bits[long]})
 
         for b in batches:
             held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
@@ -223,11 +227,11 @@ def listed(sets: DataFrame, how: Similarity) -> DataFrame:
             for out in found(held):
                 yield _shaped(out)
 
-    return posts.repartition("word").sortWithinPartitions("word", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int")
+    return posts.repartition("word").sortWithinPartitions("word", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int, bits long")
 
 
 def _shaped(x: pd.DataFrame) -> pd.DataFrame:
-    return x.reindex(columns=["head", "a", "b", "word", "n", "i"]).astype({"head": "boolean", "a": "Int64", "b": "Int64", "word": "Int32", "n": "Int32", "i": "Int32"})
+    return x.reindex(columns=["head", "a", "b", "word", "n", "i", "bits"]).astype({"head": "boolean", "a": "Int64", "b": "Int64", "word": "Int32", "n": "Int32", "i": "Int32", "bits": "Int64"})
 
 
 #: Slots of the table of wanted ids, 64 ids' bits each: at most this many, whatever is wanted.
@@ -245,8 +249,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, how: Similarity) -> DataFrame:
     slot = F.expr(f"pmod(shiftright(xxhash64(id), 6), {slots}L)")
     bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    wanted = ids.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits"))
-    picked = sets.withColumn("slot", slot).join(F.broadcast(wanted), "slot").filter(F.col("bits").bitwiseAND(bit) != 0)  # at most MOST_SLOTS rows
+    wanted = ids.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("mask"))
+    picked = sets.withColumn("slot", slot).join(F.broadcast(wanted), "slot").filter(F.col("mask").bitwiseAND(bit) != 0)  # at most MOST_SLOTS rows
     side = lambda k: picked.select(*[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "h1", "h2", "words")])
     both = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
     common = F.size(F.array_intersect("words_a", "words_b"))
@@ -261,7 +265,7 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     counts = word_table(df.select("text"))
     rank = np.minimum(64 * np.log2(counts + 1), 4095).astype(np.uint64)
     lines = _written(worded_lines(df, rank).withColumn("id", F.monotonically_increasing_id()))
-    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "words")
+    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "bits", "words")
     # (doc_id, line) as one number, so that its least is a plain hash aggregate.
     place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
     place = place.cast("decimal(38,0)")
@@ -271,14 +275,14 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     by_head = materialised(_ranked(verified, classes))
     # Lines of removed classes, and further rows of a class, need no other partner.
     over = by_head.filter("a_gone").select(F.col("a").alias("id")).union(by_head.filter("b_gone OR same").select(F.col("b").alias("id"))).distinct()
-    places = found.filter("word IS NOT NULL").select("word", F.col("a").alias("id"), "n", "i")
+    places = found.filter("word IS NOT NULL").select("word", F.col("a").alias("id"), "n", "i", "bits")
     still = places.join(over, "id", "left_anti").alias("x")
     y = places.alias("y")
-    reach = how.shared + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
+    reach = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
     test = (F.col("x.id") != F.col("y.id")) & how.length_ok(F.col("x.n"), F.col("y.n")) & how.overlap_ok(reach, F.col("x.n"), F.col("y.n"))
+    test = test & how.bits_ok(F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))), F.col("x.n"), F.col("y.n"))
     rest = still.join(y, (F.col("x.word") == F.col("y.word")) & test).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    often = found.filter("NOT head").select("a", "b").union(rest).groupBy("a", "b").count().filter(F.col("count") >= how.shared)
-    others = _ranked(_verified(often.select("a", "b"), sets, how), classes)
+    others = _ranked(_verified(found.filter("NOT head").select("a", "b").union(rest), sets, how), classes)
     removed = _gone(by_head).union(_gone(others)).distinct()
     judged = (
         lines.select("d", "t", "line", "h1", "h2").join(classes.join(removed.withColumn("gone", F.lit(True)), ["h1", "h2"], "left"), ["h1", "h2"], "left")
