@@ -11,7 +11,7 @@ is the same everywhere gives right results; counts make it selective). Classes
 that are similar share a word within their first n - ceil(share * n) + 1 words,
 so these prefixes are dealt by word (32 bits of it: what that mixes up is found
 out later), and every list of lines gives its pairs under the length and the
-positional filter and one of bits: each set has 64 parities of its words, and two
+positional filter and one of bits: each set has 64 or 128 parities of its words, and two
 sets differ in at least as many words as parities, so most pairs that share but
 a word go at once. A list longer than ``short_list`` first gives only pairs
 with its first line; lines which that leaves unresolved then meet the whole
@@ -40,6 +40,8 @@ from sitegrain.session import materialised, shared_dir
 
 #: Cells of the count table: fixed, whatever the vocabulary.
 CELLS = 1 << 18
+#: Sets of so many words and more have 128 parities, others 64.
+LONG_SET = 64
 LAST = 0x7FFFFFFFFFFFFFFF
 
 
@@ -98,7 +100,7 @@ def _ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndar
 
 
 def line_sets(texts: list[str | None], rank: np.ndarray):
-    """Worded lines of texts: (text number, line number, set size, two digests, parities, words in order, starts)."""
+    """Worded lines of texts: (text number, line number, set size, two digests, two words of parities, words in order, starts)."""
     data = [utf8(t) for t in texts]
     size = np.array([len(d) + 1 for d in data], np.int64)
     text_at = bounds(size)
@@ -119,20 +121,23 @@ def line_sets(texts: list[str | None], rank: np.ndarray):
     at = bounds(n)
     first = np.zeros(0, np.uint64)
     second = first
+    bits = more = first.view(np.int64)
     if len(used):
         with np.errstate(over="ignore"):
             first = np.add.reduceat(mixed(h), at[:-1])
             second = np.add.reduceat(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), at[:-1])
+        even = ((h >> np.uint64(6)) & np.uint64(1)).astype(bool) | (np.repeat(n, n) < LONG_SET)
+        bit = np.uint64(1) << (h & np.uint64(63))
+        bits, more = (np.bitwise_xor.reduceat(np.where(which, bit, np.uint64(0)), at[:-1]).view(np.int64) for which in (even, ~even))
     line_start = np.concatenate([[0], breaks + 1])[used]
     text = np.searchsorted(text_at, line_start, "right") - 1
     # Lines before a text: the breaks in front of its start.
     number = used - np.searchsorted(breaks, text_at[:-1])[text]
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), at[:-1]) if len(used) else first
-    return text, number, n, first.view(np.int64), second.view(np.int64), bits.view(np.int64), h.view(np.int64), at
+    return text, number, n, first.view(np.int64), second.view(np.int64), bits, more, h.view(np.int64), at
 
 
 def worded_lines(df: DataFrame, rank: np.ndarray) -> DataFrame:
-    """One row for each worded line, (d, t, line, n, h1, h2, bits, words); words only where new to the task.
+    """One row for each worded line, (d, t, line, n, h1, h2, bits, more, words); words only where new to the task.
 
     Texts without such a line give one row with line -1.
     """
@@ -144,7 +149,7 @@ def worded_lines(df: DataFrame, rank: np.ndarray) -> DataFrame:
             data = [as_text(t) for t in b["text"]]
             ids, digests = b["d"].to_numpy(np.int64), b["t"].to_numpy(np.int64)
             for lo, hi in chunked(data):
-                text, number, n, h1, h2, bits, words, at = line_sets(data[lo:hi], table.value)
+                text, number, n, h1, h2, bits, more, words, at = line_sets(data[lo:hi], table.value)
                 new = [not (x in seen or seen.add(x)) for x in h1.tolist()]
                 parts = [words[a:z] if f else None for f, a, z in zip(new, at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 bare = np.setdiff1d(np.arange(hi - lo), text)
@@ -153,12 +158,12 @@ def worded_lines(df: DataFrame, rank: np.ndarray) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "d": ids[text], "t": digests[text], "line": number.astype(np.int32), "n": np.concatenate([n, zero]).astype(np.int32),
-                        "h1": np.concatenate([h1, zero]), "h2": np.concatenate([h2, zero]), "bits": np.concatenate([bits, zero]), "words": pd.Series([*parts, *[None] * len(bare)], dtype=object),
+                        "h1": np.concatenate([h1, zero]), "h2": np.concatenate([h2, zero]), "bits": np.concatenate([bits, zero]), "more": np.concatenate([more, zero]), "words": pd.Series([*parts, *[None] * len(bare)], dtype=object),
                     }
                 )
 
     keyed = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("t"), "text")
-    return keyed.mapInPandas(run, "d long, t long, line int, n int, h1 long, h2 long, bits long, words array<long>")
+    return keyed.mapInPandas(run, "d long, t long, line int, n int, h1 long, h2 long, bits long, more long, words array<long>")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -170,7 +175,15 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def pairs_of_lists(word, id_, n, i, bits, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def differing(x, y) -> np.ndarray:
+    """Parities in which sets (bits, more, size) differ; of a long and a short set the folded ones."""
+    (b1, m1, n1), (b2, m2, n2) = x, y
+    one = np.bitwise_count((b1 ^ m1) ^ (b2 ^ m2)).astype(np.int64)
+    two = np.bitwise_count(b1 ^ b2).astype(np.int64) + np.bitwise_count(m1 ^ m2)
+    return np.where((n1 >= LONG_SET) & (n2 >= LONG_SET), two, one)
+
+
+def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (left, right places) of lists sorted by (word, id), and which rows lie in long lists.
 
     A long list gives pairs with its first row only.
@@ -184,7 +197,7 @@ def pairs_of_lists(word, id_, n, i, bits, how: Similarity) -> tuple[np.ndarray,
     def test(x, y):
         reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
         ok = how.length_ok(n[x], n[y]) & how.overlap_ok(reach, n[x], n[y]) & (id_[x] != id_[y])
-        ok &= how.bits_ok(np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64), n[x], n[y])
+        ok[ok] = how.bits_ok(differing(*((bits[at], more[at], n[at]) for at in (x[ok], y[ok]))), n[x[ok]], n[y[ok]])
         left.append(x[ok])
         right.append(y[ok])
 
@@ -204,17 +217,17 @@ def pairs_of_lists(word, id_, n, i, bits, how: Similarity) -> tuple[np.ndarray,
 def listed(sets: DataFrame, how: Similarity) -> DataFrame:
     """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places in long lists."""
     prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
-    posts = sets.select("id", "n", "bits", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i", "bits")
+    posts = sets.select("id", "n", "bits", "more", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i", "bits", "more")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
         def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            word, id_, n, i, bits = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i", "bits"))
-            left, right, long = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), how)
+            word, id_, n, i, bits, more = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i", "bits", "more"))
+            left, right, long = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), more.view(np.uint64), how)
             yield pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])})
             if long.any():
-                yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long], "bits": bits[long]})
+                yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long], "bits": bits[long], "more": more[long]})
 
         for b in batches:
             held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
@@ -227,11 +240,11 @@ def listed(sets: DataFrame, how: Similarity) -> DataFrame:
             for out in found(held):
                 yield _shaped(out)
 
-    return posts.repartition("word").sortWithinPartitions("word", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int, bits long")
+    return posts.repartition("word").sortWithinPartitions("word", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int, bits long, more long")
 
 
 def _shaped(x: pd.DataFrame) -> pd.DataFrame:
-    return x.reindex(columns=["head", "a", "b", "word", "n", "i", "bits"]).astype({"head": "boolean", "a": "Int64", "b": "Int64", "word": "Int32", "n": "Int32", "i": "Int32", "bits": "Int64"})
+    return x.reindex(columns=["head", "a", "b", "word", "n", "i", "bits", "more"]).astype({"head": "boolean", "a": "Int64", "b": "Int64", "word": "Int32", "n": "Int32", "i": "Int32", "bits": "Int64", "more": "Int64"})
 
 
 #: Slots of the table of wanted ids, 64 ids' bits each: at most this many, whatever is wanted.
@@ -265,7 +278,7 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     counts = word_table(df.select("text"))
     rank = np.minimum(64 * np.log2(counts + 1), 4095).astype(np.uint64)
     lines = _written(worded_lines(df, rank).withColumn("id", F.monotonically_increasing_id()))
-    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "bits", "words")
+    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "bits", "more", "words")
     # (doc_id, line) as one number, so that its least is a plain hash aggregate.
     place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
     place = place.cast("decimal(38,0)")
@@ -275,12 +288,14 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     by_head = materialised(_ranked(verified, classes))
     # Lines of removed classes, and further rows of a class, need no other partner.
     over = by_head.filter("a_gone").select(F.col("a").alias("id")).union(by_head.filter("b_gone OR same").select(F.col("b").alias("id"))).distinct()
-    places = found.filter("word IS NOT NULL").select("word", F.col("a").alias("id"), "n", "i", "bits")
+    places = found.filter("word IS NOT NULL").select("word", F.col("a").alias("id"), "n", "i", "bits", "more")
     still = places.join(over, "id", "left_anti").alias("x")
     y = places.alias("y")
     reach = 1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)
     test = (F.col("x.id") != F.col("y.id")) & how.length_ok(F.col("x.n"), F.col("y.n")) & how.overlap_ok(reach, F.col("x.n"), F.col("y.n"))
-    test = test & how.bits_ok(F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))), F.col("x.n"), F.col("y.n"))
+    one = F.expr("bit_count(x.bits ^ x.more ^ y.bits ^ y.more)")
+    two = F.expr("bit_count(x.bits ^ y.bits) + bit_count(x.more ^ y.more)")
+    test = test & how.bits_ok(F.when((F.col("x.n") >= LONG_SET) & (F.col("y.n") >= LONG_SET), two).otherwise(one), F.col("x.n"), F.col("y.n"))
     rest = still.join(y, (F.col("x.word") == F.col("y.word")) & test).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     others = _ranked(_verified(found.filter("NOT head").select("a", "b").union(rest), sets, how), classes)
     removed = _gone(by_head).union(_gone(others)).distinct()
