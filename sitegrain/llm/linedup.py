@@ -13,9 +13,10 @@ so these prefixes are dealt by word (32 bits of it: what that mixes up is found
 out later), and every list of lines gives its pairs under the length and the
 positional filter and one of bits: each set has 64 or 128 parities of its words, and two
 sets differ in at least as many words as parities, so most pairs that share but
-a word go at once. A list longer than ``short_list`` first gives only pairs
-with its first line; lines which that leaves unresolved then meet the whole
-list, so near copies of one passage cost a pair each. Pairs are verified on
+a word go at once. A list longer than ``short_list`` gives only pairs
+of heads: its first line, then the first that is no candidate of a head before
+it. Other lines which their heads leave unresolved then meet each other, so
+near copies of one passage cost about a pair each. Pairs are verified on
 whole sets; of the sets only those are moved whose bit is set in a table of
 the ids wanted, of bounded size.
 
@@ -184,9 +185,10 @@ def differing(x, y) -> np.ndarray:
 
 
 def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (left, right places) of lists sorted by (word, id), and which rows lie in long lists.
+    """Candidate pairs (left, right places) of lists sorted by (word, id); which rows lie in long lists, which are heads.
 
-    A long list gives pairs with its first row only.
+    In a long list the first row is a head, then the first that is no candidate
+    of a head so far; only heads give pairs, with all of the list.
     """
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     size = np.diff(np.append(start, len(word)))
@@ -208,14 +210,21 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
         if not len(rows):
             break
         test(rows, rows + k)
-    head = np.repeat(start, size)
-    rows = np.flatnonzero(long & (head != np.arange(len(word))))
-    test(head[rows], rows)
-    return np.concatenate(left or [rows[:0]]), np.concatenate(right or [rows[:0]]), long
+    head = np.zeros(len(word), bool)
+    for first, k in zip(start[size > how.short_list], size[size > how.short_list], strict=True):
+        here = np.arange(first, first + k)
+        free = np.ones(k, bool)
+        while free.any():
+            pivot = first + int(np.argmax(free))
+            head[pivot] = True
+            test(np.full(k, pivot), here)
+            free[right[-1] - first] = False
+            free[pivot - first] = False
+    return np.concatenate(left or [rows[:0]]), np.concatenate(right or [rows[:0]]), long, head
 
 
 def listed(sets: DataFrame, how: Similarity) -> DataFrame:
-    """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places in long lists."""
+    """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places of long lists that are no heads."""
     prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
     posts = sets.select("id", "n", "bits", "more", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i", "bits", "more")
 
@@ -224,8 +233,10 @@ def listed(sets: DataFrame, how: Similarity) -> DataFrame:
 
         def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
             word, id_, n, i, bits, more = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i", "bits", "more"))
-            left, right, long = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), more.view(np.uint64), how)
-            yield pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])})
+            left, right, long, head = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), more.view(np.uint64), how)
+            pairs = pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])})
+            yield pairs.drop_duplicates()
+            long &= ~head
             if long.any():
                 yield pd.DataFrame({"a": id_[long], "word": word[long], "n": n[long], "i": i[long], "bits": bits[long], "more": more[long]})
 

@@ -97,8 +97,8 @@ def by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     length = np.fromiter(map(len, units), np.int64, len(units))
     for n in np.unique(length[length >= 3]):
         at = np.flatnonzero(length == n)
-        for lo in range(0, len(at), 8192):
-            part = at[lo : lo + 8192]
+        for lo in range(0, len(at), 2048):
+            part = at[lo : lo + 2048]
             yield part, np.array([codes(units[i]) for i in part], np.int64)
 
 
@@ -178,7 +178,9 @@ def fit_units(positive: dict[str, int], negative: list[str], t: Training) -> Mac
     neg = pool[: 4 * len(pos) + 500]
     half = t.landmarks // 2
     marks = list(dict.fromkeys(pos[:half] + neg[:half]))  # the commonest positives first
-    tables = np.stack([table_of(m, t.decay) for m in marks], 1).astype(np.float32)
+    tables = np.empty((ALPHABET**3, len(marks)), np.float32)
+    for j, m in enumerate(marks):
+        tables[:, j] = table_of(m, t.decay)
     gram = kernel(marks, tables, t.decay)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector * (1 / np.sqrt(np.maximum(value, 1e-6))) * (value > 1e-6)
