@@ -24,18 +24,19 @@ def local_session(cpus: str = "*", app: str = "sitegrain") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the session names it.
+    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) a fresh one is set.
+    Only a local master, whose executors are the driver, gets a fresh one where
+    the session names none; a cluster without one is refused.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found
 
 
