@@ -354,7 +354,8 @@ def composed(paragraphs: list[list[str]], n: int, seed: int = 11) -> list[str]:
     out = []
     for _ in range(n):
         paras = [esc(p) for p in rng.choice(paragraphs)] or [esc(short(30))]
-        inner = [f"<h1>{' '.join(paras[0].split()[:8])}</h1>", *(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(p) for p in paras)]
+        paras = [" ".join(p.split()[: rng.randint(1, 12)]) if rng.random() < 0.2 else p for p in paras[: rng.randint(1, 12)]]
+        inner = [f"<h1>{' '.join(paras[0].split()[: rng.randint(1, 8)])}</h1>", *(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(p) for p in paras)]
         for w in rng.sample(list(bodies), rng.randint(0, 2)):
             inner.insert(rng.randint(1, len(inner)), part(w, bodies[w]()))
         wrap = rng.choice(["<article{}>{}</article>", "<main{}>{}</main>", '<div class="content"{}>{}</div>', '<div class="post-body"{}>{}</div>', '<div id="main"{}>{}</div>', "<div{}>{}</div>", "<article{}>{}"])

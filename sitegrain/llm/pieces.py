@@ -152,7 +152,7 @@ class Vocabulary:
         if not hasattr(self, "hashes"):
             self._hash_pieces()
         m = len(units)
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64)
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
         piece: dict[tuple[int, int], np.ndarray] = {}
         worth: dict[tuple[int, int], np.ndarray] = {}
         h = np.zeros((m, n), np.uint64)
@@ -207,7 +207,7 @@ class Vocabulary:
         for k, (p, _) in enumerate(entries):
             h = 0
             for c in p:
-                h = (h * int(_STEP) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+                h = (h * int(_STEP) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             hashes[k] = h
         by = np.argsort(hashes)
         self.hashes, self.longest = hashes[by], max(len(p) for p, _ in entries)
