@@ -35,7 +35,6 @@ MAX_LINKS = 40
 MAX_IMAGES = 60
 ASSET_LIMIT_BYTES = 2621440
 EXAMPLES_SHOWN = 5
-EXAMPLES_KEPT = 20
 
 # --- outline ----------------------------------------------------------------
 OUTLINE_MAX_NODES = 400

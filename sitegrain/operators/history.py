@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sitegrain import constants as K
-from sitegrain.functions.joins import salted_join
 from sitegrain.operators.scoring import severity_rank, weight
 
 
@@ -46,11 +45,13 @@ def scan_summary(log: DataFrame) -> DataFrame:
 
 def list_findings(
     findings: DataFrame, module: str | None = None, severity: str | None = None,
-    limit: int = 200, offset: int = 0,
+    limit: int = 200, offset: int = 0, scans: DataFrame | None = None,
 ) -> DataFrame:
-    """Filtered, most severe first, a page of them; limit 1 to 1000."""
+    """Filtered (``scans``: the scan_ids wanted), most severe first, a page of them; limit 1 to 1000."""
     if not 1 <= limit <= 1000 or offset < 0:
         raise ValueError("limit must be 1 to 1000 and offset not negative")
+    if scans is not None:
+        findings = findings.join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
     if module is not None:
         findings = findings.filter(F.col("module") == module)
     if severity is not None:
@@ -119,7 +120,7 @@ def scan_compare(log: DataFrame) -> DataFrame:
             "site_id", "period", F.col("then_day").alias("scan_day"), F.lit(0).alias("now"), F.lit(1).alias("before")
         )
     )
-    marked = salted_join(seen, marks, ["site_id", "scan_day"], "inner", "page_no")
+    marked = seen.join(marks, ["site_id", "scan_day"])
     per_finding = marked.groupBy("site_id", "period", "page_no", "rule").agg(
         F.max("now").alias("now"), F.max("before").alias("before")
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sitegrain import constants as K
 from sitegrain.functions import urls
 from sitegrain.functions.columns import blank, let, remembered
-from sitegrain.functions.joins import salted_join
 from sitegrain.functions.sizes import display_size, human_size
 from sitegrain.operators.rules import each, finding, found_by, joined, once, rule
 
@@ -53,7 +52,9 @@ def _distinct(array: Column, key: str, fields: list[str]) -> Column:
     return F.array_sort(let(keyed, paired))
 
 
-def _capped(targets: Column, limit: int) -> Column:
+def _capped(targets: Column, limit: int | None) -> Column:
+    if limit is None:
+        return F.struct(targets.alias("targets"), F.lit(0).alias("not_checked"))
     return let(
         targets,
         lambda t: F.struct(
@@ -63,14 +64,14 @@ def _capped(targets: Column, limit: int) -> Column:
     )
 
 
-def link_targets(links: Column, limit: int = K.MAX_LINKS) -> Column:
-    """struct(targets, not_checked): distinct web links, the first ``limit``."""
+def link_targets(links: Column, limit: int | None = None) -> Column:
+    """struct(targets, not_checked): distinct web links, all or the first ``limit``."""
     web = F.filter(links, lambda a: urls.is_web(a["href"]))
     return _capped(_distinct(web, "href", ["text", "line"]), limit)
 
 
-def asset_targets(images: Column, limit: int = K.MAX_IMAGES) -> Column:
-    """struct(targets, not_checked): distinct web images, the first ``limit``."""
+def asset_targets(images: Column, limit: int | None = None) -> Column:
+    """struct(targets, not_checked): distinct web images, all or the first ``limit``."""
     web = F.filter(
         images,
         lambda m: (m["src"].startswith("http://") | m["src"].startswith("https://"))
@@ -94,14 +95,13 @@ def resolve_status(probes: DataFrame) -> DataFrame:
 def _probed(pages: DataFrame, targets: Column, side: DataFrame, fields: list[str]) -> DataFrame:
     """page_id, found array<struct(ord, url, ..., fields)>, not_checked; one row per page.
 
-    A page has at most the capped number of targets, so the regrouping is
-    bounded; pages without targets are kept.
+    Regrouping is bounded by the page; pages without targets are kept.
     """
     t = pages.select("page_id", targets.alias("t"))
     rows = t.select("page_id", F.col("t.not_checked").alias("not_checked"), F.explode_outer("t.targets").alias("x"))
     rows = rows.select("page_id", "not_checked", "x.*")
     carried = [c for c in rows.columns if c not in ("page_id", "not_checked")]
-    hit = salted_join(rows, side, ["url"], "left", "page_id")
+    hit = rows.join(side, ["url"], "left")
     found = F.struct(*carried, *fields)
     return hit.groupBy("page_id").agg(
         F.first("not_checked").alias("not_checked"),
@@ -110,16 +110,16 @@ def _probed(pages: DataFrame, targets: Column, side: DataFrame, fields: list[str
 
 
 @remembered
-def _targets(column: str, limit: int) -> Column:
+def _targets(column: str, limit: int | None) -> Column:
     return link_targets(F.col(column), limit) if column == "links" else asset_targets(F.col(column), limit)
 
 
-def checked_links(pages: DataFrame, status: DataFrame, limit: int = K.MAX_LINKS) -> DataFrame:
+def checked_links(pages: DataFrame, status: DataFrame, limit: int | None = None) -> DataFrame:
     """pages(page_id, links) ⟕ status(url, status)."""
     return _probed(pages, _targets("links", limit), status.select("url", "status"), ["status"])
 
 
-def measured_assets(pages: DataFrame, sizes: DataFrame, limit: int = K.MAX_IMAGES) -> DataFrame:
+def measured_assets(pages: DataFrame, sizes: DataFrame, limit: int | None = None) -> DataFrame:
     """pages(page_id, images) ⟕ sizes(src, byte_size, content_type, error, at_least)."""
     side = sizes.select(F.col("src").alias("url"), "byte_size", "content_type", "error", "at_least")
     return _probed(
@@ -152,7 +152,7 @@ def _broken(r):
 
 
 def _listed(o: Column, field: str) -> Column:
-    return F.to_json(F.transform(F.slice(o, 1, K.EXAMPLES_KEPT), lambda x: x[field]))
+    return F.to_json(F.transform(o, lambda x: x[field]))
 
 
 @rule("link.unreachable", "links", "medium", "found", "{} links could not be reached",

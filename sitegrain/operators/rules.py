@@ -372,7 +372,7 @@ def _legacy(r):
     )
     return grouped(
         r, old, _NAMES,
-        candidates=lambda o: F.to_json(F.transform(F.slice(o, 1, K.EXAMPLES_KEPT), lambda m: m["src"])),
+        candidates=lambda o: F.to_json(F.transform(o, lambda m: m["src"])),
     )
 
 

@@ -84,6 +84,12 @@ def _pack(module: str, findings: Column, score: Column) -> Column:
 
 
 MARKUP_PACKS = ["seo", "images"]
+#: Packs with an input of their own; every other registered pack is markup's.
+OTHER_PACKS = {"http", "links", "assets"}
+
+
+def markup_packs() -> list[str]:
+    return MARKUP_PACKS + [p for p in PACKS if p not in OTHER_PACKS and p not in MARKUP_PACKS]
 
 
 def audit_markup(responses: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
@@ -93,20 +99,20 @@ def audit_markup(responses: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     response with ``ok``, ``packs`` (http alone, or seo and images) and the
     extracts in ``also``.  Markup of pages that are not audited is not read.
     """
-    rules = [i for m in MARKUP_PACKS for i in PACKS[m]]
+    rules = [i for m in markup_packs() for i in PACKS[m]]
     extra = ["link.mixed-content-image", "link.insecure-http"]
     parts, facts = needs_of([*rules, *extra])
     parts += [p for p in also if p not in parts]
     df = responses.withColumn("ok", F.coalesce(is_auditable(), F.lit(False)))
     df = extract(df.withColumn("html", F.when(F.col("ok"), F.col("html"))), parts)
     df = staged(df, df.columns, {f: fact(f) for f in facts})
-    found = {"f_" + m: F.concat(*[found_by(i) for i in PACKS[m]]) for m in MARKUP_PACKS}
+    found = {"f_" + m: F.concat(*[found_by(i) for i in PACKS[m]]) for m in markup_packs()}
     found["f_http"] = F.concat(*[found_by(i) for i in PACKS["http"]])
     found["static_links"] = F.concat(*[found_by(i) for i in extra])
     df = staged(df, df.columns, found)
     # An unauditable page has one pack, fixed at 0 whatever its weights.
     http = F.array(_pack("http", F.col("f_http"), F.lit(0.0)))
-    packs = F.array(*[_pack(m, F.col("f_" + m), pack_score(F.col("f_" + m))) for m in MARKUP_PACKS])
+    packs = F.array(*[_pack(m, F.col("f_" + m), pack_score(F.col("f_" + m))) for m in markup_packs()])
     df = df.withColumn("packs", F.when(F.col("ok"), packs).otherwise(http))
     return df.drop(*[c for c in found if c != "static_links"])
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain import constants as K
 from sitegrain.functions import urls
-from sitegrain.functions.joins import salted_join
 from sitegrain.functions.text import collapse
 from sitegrain.session import shared_dir
 
@@ -82,7 +82,7 @@ def link_degrees(pages: DataFrame) -> DataFrame:
     base = pages.select(
         "page_id", here.alias("url"), F.size(F.array_except(targets, F.array(here))).alias("out_degree")
     )
-    return salted_join(base, came, ["url"], "left", "page_id").select(
+    return base.join(came, ["url"], "left").select(
         "page_id", "url", "out_degree", F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
         F.col("in_degree").isNull().alias("is_orphan"),
     )
@@ -91,7 +91,7 @@ def link_degrees(pages: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame) -> DataFrame:
     """Edges between known pages: (page_id, target_page_id)."""
     known = pages.select(F.col("page_id").alias("target_page_id"), urls.without_fragment(F.col("base_url")).alias("dst"))
-    return salted_join(internal_edges(pages), known, ["dst"], "inner", "page_id").select("page_id", "target_page_id")
+    return internal_edges(pages).join(known, ["dst"]).select("page_id", "target_page_id")
 
 
 def orphan_pages(pages: DataFrame) -> DataFrame:
@@ -99,10 +99,10 @@ def orphan_pages(pages: DataFrame) -> DataFrame:
     return known.join(internal_edges(pages).select("dst").distinct(), "dst", "left_anti")
 
 
-def page_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataFrame:
+def page_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Clicks from the roots: edges(src, dst), roots(url) → (url, depth).
 
-    One join per level, at most ``max_depth``.  Edges are laid out by source
+    One join per level, until none is new (or ``max_depth``).  Edges are laid out by source
     once; each level is cut from its lineage with a reliable checkpoint.
     """
     spark = edges.sparkSession
@@ -111,7 +111,7 @@ def page_depth(edges: DataFrame, roots: DataFrame, max_depth: int = 10) -> DataF
     laid = edges.select("src", "dst").repartition(parts, "src").checkpoint()
     seen = roots.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         reached = (
             laid.join(front.select(F.col("url").alias("src")), "src", "left_semi")
             .select(F.col("dst").alias("url"))
@@ -152,12 +152,12 @@ def robots_blocked(pages: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = ranked.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     target = F.concat(urls.path(F.col("url")), urls.query(F.col("url")))
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), F.when(target == "", F.lit("/")).otherwise(target).alias("target"))
-    cut = salted_join(p, lengths, ["host"], "left", "page_id")
+    cut = p.join(lengths, ["host"], "left")
     fit = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.length("target"))
     pieces = cut.select(
         "page_id", "host", F.explode_outer(F.transform(fit, lambda n: F.left("target", n))).alias("prefix")
     )
-    hit = salted_join(pieces, ranked, ["host", "prefix"], "left", "page_id")
+    hit = pieces.join(ranked, ["host", "prefix"], "left")
     best = F.max(F.when(F.col("kind").isNotNull(), F.struct(F.length("prefix").alias("n"), "prefix", "kind")))
     return hit.groupBy("page_id").agg(best.alias("b")).select(
         "page_id", F.col("b.prefix").alias("rule"),
@@ -186,7 +186,7 @@ def qa_checklist(audited: DataFrame, findings: Column, sitemap: DataFrame) -> Da
     """audited(page_id, url, headings, ...) → one row per page and the share passed."""
     names = F.array_distinct(F.transform(findings, lambda f: f["rule"]))
     listed = sitemap.select("url").distinct().withColumn("_listed", F.lit(True))
-    df = salted_join(audited.withColumn("_rules", names), listed, ["url"], "left", "page_id")
+    df = audited.withColumn("_rules", names).join(listed, ["url"], "left")
     items = {
         item: ~F.arrays_overlap("_rules", F.array(*[F.lit(r) for r in rules]))
         for item, rules in ITEM_RULES.items()

@@ -23,18 +23,16 @@ from sitegrain.functions.text import strip, unescape
 _OPEN, _CLOSE, _OFF, _STRAY = "\x01", "\x02", "\x03", "\x04"
 _MARK = r"\x01\d+\x02"
 
-# The bound keeps Java's matcher from recursing once per quoted attribute; the
-# plain alternative behind it takes over where the bound ends.
-_TAG_TAIL = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,64}>"""
-
-
-def token_pattern(mark: str = "", off: str = "") -> str:
+def token_pattern(mark: str = "", off: str = "", many: str = "*+") -> str:
+    """``many``: possessive, so that Java's matcher does not recurse once per quoted
+    attribute; engines without it take the plain ``*``, which matches the same."""
     lt = "<" + mark
+    tail = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)""" + many + ">"
     return (
         rf"(?is){lt}!--.*?-->"
         rf"|{lt}script\b[^>]*>.*?{lt}/script\s*>"
         rf"|{lt}style\b[^>]*>.*?{lt}/style\s*>"
-        rf"|{lt}{off}[a-z/!?]{_TAG_TAIL}"
+        rf"|{lt}{off}[a-z/!?]{tail}"
         rf"|{lt}{off}[a-z/!?][^>]*>"
         rf"|{lt}"
         r"|[^<]+"

@@ -93,7 +93,7 @@ def resolved(name: str, source: str, h: str = "h") -> str:
 
 
 TOKENS = f"""
-tok0 AS (SELECT page_id, url, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, {lit(token_pattern())}) AS t FROM src)),
+tok0 AS (SELECT page_id, url, unnest(t) AS tok, unnest(range(len(t))) AS pos FROM (SELECT page_id, url, regexp_extract_all(html, {lit(token_pattern(many="*"))}) AS t FROM src)),
 tok AS (SELECT *, CAST(1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS line,
  CASE WHEN NOT starts_with(tok, '<') OR tok = '<' THEN 'text' WHEN regexp_matches(tok, '^</\\s*[a-zA-Z]') THEN 'end' WHEN NOT regexp_matches(tok, '^<[a-zA-Z]') THEN 'other' WHEN regexp_matches(tok, '(?is)</(?:script|style)\\s*>$') THEN 'raw' ELSE 'start' END AS kind,
  lower(regexp_extract(tok, '^</?\\s*([a-zA-Z][^\\s/>]*)', 1)) AS tag FROM tok0),

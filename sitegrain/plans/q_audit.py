@@ -39,12 +39,12 @@ LINK_CTES = f"""
 link_status AS (SELECT url, {X.LINK_STATUS_EXPR} AS status FROM (SELECT DISTINCT href AS url FROM link WHERE {_WEB.format('href')})),
 lt0 AS (SELECT page_id, href AS url, min(ord) AS ord, max_by(text, ord) AS last_text FROM link WHERE {_WEB.format('href')} GROUP BY 1, 2),
 lt AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM lt0),
-found_link AS (SELECT lt.*, status FROM lt LEFT JOIN link_status USING (url) WHERE n <= 40)"""
+found_link AS (SELECT lt.*, status FROM lt LEFT JOIN link_status USING (url))"""
 ASSET_CTES = f"""
 asset_sizes AS (SELECT src, {', '.join(f'{e} AS {n}' for n, e in X.ASSET_EXPRS.items())} FROM (SELECT DISTINCT src FROM image)),
 at0 AS (SELECT page_id, src, min(ord) AS ord, arg_min(line, ord) AS line FROM image WHERE raw_src <> '' AND (starts_with(src, 'http://') OR starts_with(src, 'https://')) GROUP BY 1, 2),
 at_ AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM at0),
-found_asset AS (SELECT at_.*, byte_size, content_type, error, at_least FROM at_ LEFT JOIN asset_sizes USING (src) WHERE n <= 60)"""
+found_asset AS (SELECT at_.*, byte_size, content_type, error, at_least FROM at_ LEFT JOIN asset_sizes USING (src))"""
 
 
 def _hs(n):
@@ -58,9 +58,9 @@ def _ds(n="byte_size", f="at_least"):
 _C8 = "page_id, '{}' AS rule, '{}' AS module, {} AS severity, {} AS line, {} AS items, {} AS element, {} AS detail, {} AS meta"
 _NOLINE = "CAST(NULL AS INT)"
 BROKEN = "SELECT " + _C8.format("link.broken", "links", "CASE WHEN status = 404 THEN 'high' ELSE 'medium' END", _NOLINE, "CAST(1 AS INT)", "url", "CASE WHEN coalesce(last_text, '') = '' THEN url ELSE last_text END", "concat('status=', status, '|url=', url)") + " FROM found_link WHERE status >= 400"
-UNREACHABLE = "SELECT " + _C8.format("link.unreachable", "links", "'medium'", _NOLINE, "CAST(count(*) AS INT)", "''", "array_to_string(list_slice(list(url ORDER BY ord), 1, 5), '; ')", "concat('urls=', CAST(to_json(list_slice(list(url ORDER BY ord), 1, 20)) AS VARCHAR))") + " FROM found_link WHERE status IS NULL GROUP BY page_id"
+UNREACHABLE = "SELECT " + _C8.format("link.unreachable", "links", "'medium'", _NOLINE, "CAST(count(*) AS INT)", "''", "array_to_string(list_slice(list(url ORDER BY ord), 1, 5), '; ')", "concat('urls=', CAST(to_json(list(url ORDER BY ord)) AS VARCHAR))") + " FROM found_link WHERE status IS NULL GROUP BY page_id"
 OVERSIZED = "SELECT " + _C8.format("image.oversized", "assets", "'high'", "line", "CAST(1 AS INT)", _ds(), f"concat('over by ', {_hs('(byte_size - 2621440)')})", "concat('src=', src, '|bytes=', byte_size, '|limit_bytes=2621440|content_type=', content_type)") + " FROM found_asset WHERE byte_size > 2621440"
-UNFETCHED = "SELECT " + _C8.format("image.unreachable", "assets", "'medium'", _NOLINE, "CAST(count(*) AS INT)", "''", "array_to_string(list_slice(list(concat(src, ' (', error, ')') ORDER BY ord), 1, 5), '; ')", "concat('sources=', CAST(to_json(list_slice(list(src ORDER BY ord), 1, 20)) AS VARCHAR))") + " FROM found_asset WHERE coalesce(error, '') <> '' GROUP BY page_id"
+UNFETCHED = "SELECT " + _C8.format("image.unreachable", "assets", "'medium'", _NOLINE, "CAST(count(*) AS INT)", "''", "array_to_string(list_slice(list(concat(src, ' (', error, ')') ORDER BY ord), 1, 5), '; ')", "concat('sources=', CAST(to_json(list(src ORDER BY ord)) AS VARCHAR))") + " FROM found_asset WHERE coalesce(error, '') <> '' GROUP BY page_id"
 
 
 # --- HTTP -------------------------------------------------------------------
@@ -159,7 +159,7 @@ def _assets(spark, sf):
 @query("asset_targets", with_extracts("SELECT page_id, CAST(n AS INT) AS n, src, line FROM at_ WHERE n <= 60", ["image"], extra=ASSET_CTES))
 def _(spark, sf):
     df = extract(audit_pages(spark, sf), ["images"])
-    t = df.select("page_id", P.asset_targets(F.col("images"))["targets"].alias("t"))
+    t = df.select("page_id", P.asset_targets(F.col("images"), K.MAX_IMAGES)["targets"].alias("t"))
     return t.select("page_id", F.posexplode("t").alias("p", "x")).select(
         "page_id", (F.col("p") + 1).alias("n"), F.col("x.url").alias("src"), F.col("x.line").alias("line")
     )
@@ -177,7 +177,7 @@ _probe_rule("asset_unreachable", _assets, "image.unreachable", UNFETCHED, ["imag
 
 
 @query("asset_stats", with_extracts("""SELECT src.page_id, CAST(count(f.byte_size) AS INT) AS images_measured, CAST(count(f.src) - count(f.byte_size) AS INT) AS size_unknown,
- CAST(greatest((SELECT count(*) FROM at_ WHERE at_.page_id = src.page_id) - 60, 0) AS INT) AS not_checked, CAST(count(*) FILTER (WHERE f.byte_size > 2621440) AS INT) AS over_limit, CAST(coalesce(sum(f.byte_size), 0) AS BIGINT) AS total_bytes
+ CAST(0 AS INT) AS not_checked, CAST(count(*) FILTER (WHERE f.byte_size > 2621440) AS INT) AS over_limit, CAST(coalesce(sum(f.byte_size), 0) AS BIGINT) AS total_bytes
  FROM src LEFT JOIN found_asset f ON f.page_id = src.page_id GROUP BY src.page_id""", ["image"], extra=ASSET_CTES))
 def _(spark, sf):
     return P.asset_stats(_assets(spark, sf))
@@ -209,7 +209,7 @@ def _links(spark, sf):
 @query("link_targets", with_extracts("SELECT page_id, CAST(n AS INT) AS n, url, last_text, CAST(greatest((SELECT count(*) FROM lt0 WHERE lt0.page_id = lt.page_id) - 40, 0) AS INT) AS not_checked FROM lt WHERE n <= 40", ["link"], extra=LINK_CTES))
 def _(spark, sf):
     df = extract(audit_pages(spark, sf), ["links"])
-    t = df.select("page_id", P.link_targets(F.col("links")).alias("t"))
+    t = df.select("page_id", P.link_targets(F.col("links"), K.MAX_LINKS).alias("t"))
     t = t.select("page_id", F.col("t.not_checked").alias("not_checked"), F.posexplode("t.targets").alias("p", "x"))
     return t.select("page_id", (F.col("p") + 1).alias("n"), F.col("x.url").alias("url"), F.col("x.last_text").alias("last_text"), "not_checked")
 
@@ -219,7 +219,7 @@ _probe_rule("link_unreachable", _links, "link.unreachable", UNREACHABLE, ["link"
 
 
 @query("link_stats", with_extracts(f"""SELECT src.page_id, {_count('link')} AS links_found, CAST(count(f.url) AS INT) AS unique_checked,
- CAST(greatest((SELECT count(*) FROM lt0 WHERE lt0.page_id = src.page_id) - 40, 0) AS INT) AS not_checked,
+ CAST(0 AS INT) AS not_checked,
  CAST(count_if(f.status >= 400) AS INT) AS broken, CAST(count_if(f.url IS NOT NULL AND f.status IS NULL) AS INT) AS unreachable, CAST(count_if(f.status < 400) AS INT) AS ok
  FROM src LEFT JOIN found_link f ON f.page_id = src.page_id GROUP BY src.page_id""", ["link"], extra=LINK_CTES))
 def _(spark, sf):

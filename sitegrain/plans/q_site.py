@@ -177,7 +177,7 @@ def _(spark, sf):
 
 
 @query("page_depth", with_extracts("SELECT s.page_id, s.url, CAST(d.depth AS INT) AS depth FROM src s LEFT JOIN (SELECT dst, min(depth) AS depth FROM dp GROUP BY 1) d ON d.dst = s.url", ["link"], "site",
-       _EDGES + ", e3 AS MATERIALIZED (SELECT DISTINCT ed2.src, dst FROM ed2), dp AS (SELECT * FROM dpr)").replace("WITH ", "WITH RECURSIVE ", 1).replace("dp AS (SELECT * FROM dpr)", "dp AS (SELECT url AS dst, 0 AS depth FROM src WHERE ends_with(url, '/p0') UNION SELECT e3.dst, dp.depth + 1 FROM dp JOIN e3 ON e3.src = dp.dst WHERE dp.depth < 10)"))
+       _EDGES + ", e3 AS MATERIALIZED (SELECT DISTINCT ed2.src, dst FROM ed2), dp AS (SELECT * FROM dpr)").replace("WITH ", "WITH RECURSIVE ", 1).replace("dp AS (SELECT * FROM dpr)", "dp AS (SELECT url AS dst, 0 AS depth FROM src WHERE ends_with(url, '/p0') UNION SELECT e3.dst, dp.depth + 1 FROM dp JOIN e3 ON e3.src = dp.dst WHERE dp.depth < 12)"))
 def _(spark, sf):
     pages = _site(spark, sf)
     edges = N.internal_edges(pages)
@@ -283,10 +283,10 @@ def _(spark, sf):
     return H.scan_summary(X.scan_log(spark, sf))
 
 
-@query("list_findings", _LOG + "SELECT event_id, scan_id, severity, rule FROM lg WHERE module = 'seo' ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, rule, event_id LIMIT 200 OFFSET 10")
+@query("list_findings", _LOG + "SELECT event_id, scan_id, severity, rule FROM lg WHERE module = 'seo' AND scan_id = (SELECT scan_id FROM lg GROUP BY 1 ORDER BY count(*) DESC, scan_id LIMIT 1) ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, rule, event_id LIMIT 200 OFFSET 1")
 def _(spark, sf):
     log = X.scan_log(spark, sf).withColumn("scan_id", H.scan_id(F.col("site_id"), F.col("scan_day")))
-    return H.list_findings(log, module="seo", limit=200, offset=10).select("event_id", "scan_id", "severity", "rule")
+    return H.list_findings(log, module="seo", limit=200, offset=1, scans=log.groupBy("scan_id").count().orderBy(F.desc("count"), "scan_id").limit(1)).select("event_id", "scan_id", "severity", "rule")
 
 
 @query("scan_scores", _LOG + f", {_MS} SELECT scan_id, string_agg(concat(module, '=', CAST(score AS INT)), ',' ORDER BY module) AS scores, CAST(round_even(avg(score), 1) AS DOUBLE) AS overall_score FROM ms GROUP BY 1")

@@ -56,13 +56,23 @@ def test_depth_is_shortest_and_bounded(spark):
     assert dict(N.page_depth(edges, roots, 1).collect()) == {"a": 0, "b": 1, "c": 1}
 
 
-def test_salted_join_is_a_plain_join(spark):
-    from sitegrain.functions.joins import salted_join
+def test_no_link_image_or_attribute_is_cut_off(spark):
+    from pyspark.sql import functions as F
+
+    from sitegrain.operators import probes as P
+    from sitegrain.operators.extract import extract
 
-    left = spark.range(1000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k")
-    right = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, v int")
-    got = salted_join(left, right, ["k"], "left", "id")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k", "left").collect()))
+    links = "".join(f'<a href="/p{i}">p{i}</a>' for i in range(100))
+    images = "".join(f'<img src="/i{i}.png">' for i in range(90))
+    many = "<div " + " ".join(f'data-{i}="a>b"' for i in range(80)) + ">seen</div>"
+    df = spark.createDataFrame([(1, "https://a.test/", f"<title>t</title>{many}{links}{images}")], "page_id bigint, url string, html string")
+    page = extract(df, ["links", "images", "text_length"])
+    status = spark.range(100).selectExpr("concat('https://a.test/p', id) AS url", "CASE WHEN id = 77 THEN 404 ELSE 200 END AS status")
+    found = P.checked_links(page, status).selectExpr("not_checked", "size(found) AS n", "size(filter(found, x -> x.status = 404)) AS bad").first()
+    assert tuple(found) == (0, 100, 1)
+    sizes = spark.range(90).selectExpr("concat('https://a.test/i', id, '.png') AS src", "1L AS byte_size", "'image/png' AS content_type", "'' AS error", "false AS at_least")
+    assert P.measured_assets(page, sizes).select(F.size("found")).first()[0] == 90
+    assert page.select("text_length").first()[0] == len("t") + len("seen") + sum(len(f"p{i}") for i in range(100))
 
 
 def test_limits_and_export_are_guarded(spark, tmp_path):
@@ -85,5 +95,10 @@ def test_registered_pack_is_evaluated(spark):
     try:
         df = spark.createDataFrame([(1, "https://a.test/", "x")], "page_id bigint, url string, html string")
         assert [r.rule for r in R.rule_rows(df, "x.no-footer").collect()] == ["x.no-footer"]
+        from sitegrain.operators import scoring as C
+
+        pages = spark.createDataFrame([(1, "https://a.test/", 200, "text/html", "x")], "page_id bigint, url string, status int, content_type string, html string")
+        packs = {r.module: r for r in C.pack_rows(C.audit_markup(pages)).collect()}
+        assert packs["custom"].n_findings == 1 and packs["custom"].score < 100
     finally:
         del R.RULES["x.no-footer"], R.PACKS["custom"]
