@@ -367,7 +367,11 @@ def composed(paragraphs: list[list[str]], n: int, seed: int = 11) -> list[str]:
 
 def train(df: DataFrame, how: Boosting = Boosting(), html: str = "html") -> Trees:
     """Trees fitted on ``how.pages`` pages of ``df``, taken in the order of their digests, and as many composed ones."""
-    drawn = df.select(F.col(html).alias("html")).filter("html IS NOT NULL").orderBy(F.xxhash64("html"), F.length("html")).limit(how.pages).collect()
+    digest = F.xxhash64("html")
+    rows = df.select(F.col(html).alias("html")).filter("html IS NOT NULL")
+    # Digests alone are ordered; only the pages drawn are fetched.
+    last = rows.select(digest.alias("d")).distinct().orderBy("d").limit(how.pages).agg(F.max("d")).first()[0]
+    drawn = rows.filter(digest <= last).limit(how.pages).collect() if last is not None else []
     pages = [Page(r["html"]) for r in drawn]
     paragraphs = [x for x in ([line for line in p.text(np.ones(len(p.tag), bool)).split("\n") if len(line) > 40] for p in pages) if x]
     pages += [Page(x) for x in composed(paragraphs or [["One sentence of text, long enough to be read as a paragraph."]], max(how.pages, 50))]
