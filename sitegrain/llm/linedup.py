@@ -15,7 +15,7 @@ positional filter and one of bits: each set has 64 or 128 parities of its words,
 sets differ in at least as many words as parities, so most pairs that share but
 a word go at once. A list longer than ``short_list`` gives only pairs
 of heads: its first line, then the first that is no candidate of a head before
-it. Other lines which their heads leave unresolved then meet each other, so
+it; the pairs are sought among lines near enough in size. Other lines which their heads leave unresolved then meet each other, so
 near copies of one passage cost about a pair each. Pairs are verified on
 whole sets; of the sets only those are moved whose bit is set in a table of
 the ids wanted, of bounded size.
@@ -53,6 +53,7 @@ class Similarity:
     over: int = 4
     under: int = 5
     short_list: int = 64
+    wide_span: int = 512
 
     def overlap_ok(self, common, n1, n2):
         return common * (self.over + self.under) >= self.over * (n1 + n2)
@@ -184,43 +185,64 @@ def differing(x, y) -> np.ndarray:
     return np.where((n1 >= LONG_SET) & (n2 >= LONG_SET), two, one)
 
 
-def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (left, right places) of lists sorted by (word, id); which rows lie in long lists, which are heads.
+def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (left, right places) of lists sorted by (word, size, id); which rows lie in long lists, which are heads.
 
-    In a long list the first row is a head, then the first that is no candidate
-    of a head so far; only heads give pairs, with all of the list.
+    A row meets only those of its list that are near enough in size. In a long
+    list the first row is a head, then the first that is no candidate of a head
+    so far; only heads give pairs, with all of the list.
     """
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     size = np.diff(np.append(start, len(word)))
     of = np.repeat(size, size)
     long = of > how.short_list
-    left, right = [], []
+    number = np.repeat(np.arange(len(start)), size) << 32
+    key = number | n
+    ahead = np.searchsorted(key, number | np.minimum(n * how.under // how.over, 0xFFFFFFFF), "right")
+    span = ahead - np.arange(len(word)) - 1
+    wide = np.repeat(np.maximum.reduceat(span, start), size) > how.wide_span
+    long |= wide
 
     def test(x, y):
         reach = 1 + np.minimum(n[x] - i[x] - 1, n[y] - i[y] - 1)
-        ok = how.length_ok(n[x], n[y]) & how.overlap_ok(reach, n[x], n[y]) & (id_[x] != id_[y])
-        ok[ok] = how.bits_ok(differing(*((bits[at], more[at], n[at]) for at in (x[ok], y[ok]))), n[x[ok]], n[y[ok]])
-        left.append(x[ok])
-        right.append(y[ok])
-
-    rows = np.flatnonzero((of > 1) & ~long)
-    for k in range(1, how.short_list):
-        rows = rows[rows + k < len(word)]
-        rows = rows[word[rows] == word[rows + k]]
+        ok = how.overlap_ok(reach, n[x], n[y]) & (id_[x] != id_[y])
+        x, y = x[ok], y[ok]
+        ok = how.bits_ok(differing((bits[x], more[x], n[x]), (bits[y], more[y], n[y])), n[x], n[y])
+        return x[ok], y[ok]
+
+    found = [(word[:0].astype(np.int64),) * 2]
+    rows = np.flatnonzero((span > 0) & ~wide)
+    for k in range(1, how.wide_span + 1):
+        rows = rows[span[rows] >= k]
         if not len(rows):
             break
-        test(rows, rows + k)
-    head = np.zeros(len(word), bool)
-    for first, k in zip(start[size > how.short_list], size[size > how.short_list], strict=True):
-        here = np.arange(first, first + k)
+        found.append(test(rows, rows + k))
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    head = long & ~wide
+    both = np.flatnonzero(long[left])
+    here, there = np.concatenate([left[both], right[both]]), np.concatenate([right[both], left[both]])
+    order = np.argsort(here, kind="stable")
+    here, there = here[order], there[order]
+    node, at = np.unique(here, return_index=True)
+    for x, lo, hi in zip(node.tolist(), at.tolist(), np.append(at, len(here))[1:].tolist(), strict=True):
+        if head[x]:
+            head[there[lo:hi]] = False
+    kept = ~long[left] | head[left] | head[right]
+    found = [(left[kept], right[kept])]
+    for first, k in zip(start[wide[start]], size[wide[start]], strict=True):
         free = np.ones(k, bool)
-        while free.any():
-            pivot = first + int(np.argmax(free))
-            head[pivot] = True
-            test(np.full(k, pivot), here)
-            free[right[-1] - first] = False
-            free[pivot - first] = False
-    return np.concatenate(left or [rows[:0]]), np.concatenate(right or [rows[:0]]), long, head
+        pivot = 0
+        while pivot < k:
+            if free[pivot]:
+                x = first + pivot
+                lo = first + np.searchsorted(n[first : first + k], -(-n[x] * how.over // how.under))
+                y = np.arange(lo, ahead[x])
+                found.append(test(np.full(len(y), x), y))
+                free[found[-1][1] - first] = False
+                head[x] = True
+            pivot += 1
+    left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    return left, right, long, head
 
 
 def listed(sets: DataFrame, how: Similarity) -> DataFrame:
@@ -251,7 +273,7 @@ def listed(sets: DataFrame, how: Similarity) -> DataFrame:
             for out in found(held):
                 yield _shaped(out)
 
-    return posts.repartition("word").sortWithinPartitions("word", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int, bits long, more long")
+    return posts.repartition("word").sortWithinPartitions("word", "n", "id").mapInPandas(run, "head boolean, a long, b long, word int, n int, i int, bits long, more long")
 
 
 def _shaped(x: pd.DataFrame) -> pd.DataFrame:
