@@ -189,8 +189,9 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
     """Candidate pairs (left, right places) of lists sorted by (word, size, id); which rows lie in long lists, which are heads.
 
     A row meets only those of its list that are near enough in size. In a long
-    list the first row is a head, then the first that is no candidate of a head
-    so far; only heads give pairs, with all of the list.
+    list the row of the least id is a head, then the least that is no candidate
+    of a head so far (ids follow the input, so heads tend to be the earlier
+    lines); only heads give pairs, with all of the list.
     """
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     size = np.diff(np.append(start, len(word)))
@@ -224,15 +225,16 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
     order = np.argsort(here, kind="stable")
     here, there = here[order], there[order]
     node, at = np.unique(here, return_index=True)
-    for x, lo, hi in zip(node.tolist(), at.tolist(), np.append(at, len(here))[1:].tolist(), strict=True):
+    by_id = np.argsort(id_[node], kind="stable")
+    ends = np.append(at, len(here))[1:]
+    for x, lo, hi in zip(node[by_id].tolist(), at[by_id].tolist(), ends[by_id].tolist(), strict=True):
         if head[x]:
             head[there[lo:hi]] = False
     kept = ~long[left] | head[left] | head[right]
     found = [(left[kept], right[kept])]
     for first, k in zip(start[wide[start]], size[wide[start]], strict=True):
         free = np.ones(k, bool)
-        pivot = 0
-        while pivot < k:
+        for pivot in np.argsort(id_[first : first + k], kind="stable").tolist():
             if free[pivot]:
                 x = first + pivot
                 lo = first + np.searchsorted(n[first : first + k], -(-n[x] * how.over // how.under))
@@ -240,7 +242,6 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
                 found.append(test(np.full(len(y), x), y))
                 free[found[-1][1] - first] = False
                 head[x] = True
-            pivot += 1
     left, right = (np.concatenate(x) for x in zip(*found, strict=True))
     return left, right, long, head
 
