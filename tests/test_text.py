@@ -142,6 +142,26 @@ def test_types_at_any_depth(spark):
     assert df.select(existing_types(F.col("j")).alias("t")).first().t == ["A", "B", "(unparseable)"]
 
 
+def test_types_of_real_json(spark):
+    shapes = {
+        '{"mainEntity":{"@type":"Thing"},"@type":"WebPage"}': ["WebPage", "Thing"],
+        '{"@type":"A"} trailing': ["(unparseable)"],
+        '{"@type":"A","@type":"B"}': ["B"],
+        '{"x":NaN,"@type":"N"}': ["N"],
+        '{"@type":"Caf\\u00e9"}': ["Café"],
+        '{"@type":["A",5]}': ["A", "5"],
+        '{"@type":NaN}': [],
+        '[{"@type":"L"},{"@graph":[{"@type":"G"},{"@type":"L"}]}]': ["L", "G"],
+        '{"@type":"\\ud800"}': ["?"],
+        "": ["(unparseable)"],
+    }
+    df = spark.createDataFrame([(k, [k]) for k in shapes], "k string, j array<string>")
+    got = {r.k: r.t for r in df.select("k", existing_types(F.col("j")).alias("t")).collect()}
+    assert got == shapes
+    none = spark.createDataFrame([([],), (None,)], "j array<string>")
+    assert [r.t for r in none.select(existing_types(F.col("j")).alias("t")).collect()] == [[], None]
+
+
 def test_headers_in_any_case(spark):
     df = spark.sql("SELECT map('Content-Type', 'Text/HTML', 'X-Robots-Tag', 'none', 'content-TYPE', 'text/html; charset=x') AS headers")
     r = load_responses(df).first()
