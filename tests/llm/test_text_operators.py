@@ -223,6 +223,36 @@ def test_pseudo_likelihood(spark, edge):
     assert lmscore.scored(edge.limit(0), lmscore.train(edge.limit(0))).count() == 0
 
 
+def test_pseudo_likelihood_tells_words_of_one_cell_apart(spark):
+    from collections import defaultdict
+
+    from sitegrain.llm.common import hashed_words
+
+    shape, at = lmscore.Shape(), defaultdict(list)
+    names = [f"n{i}ing" for i in range(20_000)]
+    for w, cell in zip(names, lmscore.places([" ".join(names)], shape)[2].tolist(), strict=True):
+        at[cell].append(w)
+    often, seldom, never = next(x for x in at.values() if len(x) > 2)[:3]
+    docs = spark.createDataFrame([(i, f"here is {often} again . " * 30) for i in range(20)] + [(50, f"there was {seldom} once .")], "doc_id long, text string")
+    model = lmscore.train(docs)
+    assert model.table.count() == len({w for r in docs.collect() for w in r.text.split()})
+    ask = spark.createDataFrame([(k, f"here is {w} again .") for k, w in enumerate((often, seldom, never))], "doc_id long, text string")
+    mean = {r.doc_id: r.log_likelihood for r in lmscore.scored(ask, model).collect()}
+    assert mean[0] > mean[1] + 1 and mean[1] > mean[2]
+    # Within a class the words and the rest sum to one under every gate, and gates tell contexts apart.
+    rows = {r["word"]: list(r)[1:] for r in model.table.collect()}
+    words = sorted({w for r in docs.collect() for w in r.text.split()})
+    _, kind, cell, _ = lmscore.places([" ".join(words)], shape)
+    sums = np.array([rows[int(hashed_words(w.encode())[0].view(np.int64)[0])] for w in words])
+    gates = np.eye(shape.gates)[2][None].repeat(len(words), 0)
+    for k in set(kind.tolist()):
+        own = kind == k
+        seen = model.within(kind[own], cell[own], sums[own], gates[own]).sum()
+        cells = np.arange(k * shape.per_class, (k + 1) * shape.per_class)
+        unseen = model.within(np.full(shape.per_class, k), cells, np.zeros((shape.per_class, shape.gates)), gates[:1].repeat(shape.per_class, 0)).sum()
+        assert abs(seen + unseen - 1) < 1e-4
+
+
 def test_words_part_at_blanks_only():
     from sitegrain.llm.common import hashed_words
 
