@@ -1,7 +1,7 @@
 """Main text of web pages: boosted trees over DOM nodes, decoded down the tree.
 
 A page becomes a tree of its block elements (and of inline elements with a
-telling attribute); scripts, styles and other raw elements are left out when
+telling attribute); scripts, styles, titles and text fields are left out when
 it is read. Every node has features of its subtree (text, links, tags, marks),
 its attributes and those above it, its depth and its siblings. Gradient-boosted
 trees give each node the log-odds of belonging to the article. Decoding picks
@@ -37,9 +37,10 @@ from pyspark.sql import types as T
 
 from sitegrain.llm.common import as_text, chunked
 
-_RAW = "script|style|noscript|template|textarea|title|svg|iframe|select|option|math|canvas|object|audio|video"
+#: Elements whose content is no markup; a title closed in itself, as SVG has it, is empty.
+_RAW = r"script|style|textarea|title(?!\s*/>)"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|</?[a-z][^>]*>?|([^<]+|<)",
     re.I | re.S,
 )
@@ -61,6 +62,8 @@ NOT_ARTICLE = frozenset(
 ARTICLE = frozenset("article content main post entry story body text blog articlebody prose".split())
 NOT_TAGS = frozenset("nav header footer aside form menu dialog head fieldset".split())
 ART_TAGS = frozenset(("article", "main"))
+#: Inline elements that tell against the article by their name.
+FURNITURE = frozenset("select datalist noscript template iframe canvas object audio video".split())
 _KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "ul": 4, "ol": 4, "dl": 4, "table": 5, "tr": 5, "td": 6, "th": 6, "div": 7, "section": 7, "article": 8, "main": 8, "nav": 9, "header": 10, "footer": 11, "aside": 12, "form": 13, "blockquote": 14, "pre": 14, "body": 15, "html": 15}
 
 
@@ -136,7 +139,9 @@ class Page:
                     while at != now:
                         self.end[at] = len(self.tag)
                         at = self.parent[at]
-            bad = good = 0
+            if tag == "option":
+                self.pieces.append((at, block, " "))
+            bad, good = int(tag in FURNITURE), 0
             label = -1
             attrs = m[4]
             if attrs and not attrs.isspace():
@@ -164,7 +169,9 @@ class Page:
                     x.append(0)
                 at = here
             if attrs.endswith("/") and not is_block:
-                at = stack[-1][1]
+                if at != stack[-1][1]:
+                    self.end[at] = len(self.tag)
+                    at = stack[-1][1]
                 continue
             anchors += tag == "a"
             stack.append((tag, at))

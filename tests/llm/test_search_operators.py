@@ -221,3 +221,15 @@ def test_pipeline_runs_and_keeps_clean_documents(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<svg-icon name=x></svg-icon>", "<video-player>", "<title-bar>", "<style-guide>", "<svg/>", "<svg class='nav x'/>", "<math/>", "<svg><title/></svg>", "<datalist><option value=1><option value=2></datalist>", "<select><option>", "<iframe src=x>"])
+def test_no_element_hides_what_stands_behind_it(part):
+    page = mainhtml.Page(f"<div><p>a</p>{part}</div><p>b</p>")
+    assert page.text(np.ones(len(page.tag), bool)).split("\n") == ["a", "b"]
+    assert all(e > i for i, e in enumerate(page.end))
+
+
+def test_only_raw_text_is_hidden():
+    page = mainhtml.Page("<title>t</title><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><style>s</style><textarea>f</textarea><script>'<p>'</script ><p>b</p><script>rest")
+    assert page.text(np.ones(len(page.tag), bool)) == "so x=1 holds\nb"
