@@ -37,7 +37,7 @@ class Rules:
     min_words: int = 10
     min_repeat: int = 5
     max_covered_percent: int = 20
-    #: Longest repeat, in words and as a share of the document: both must be passed to fail.
+    #: Longest repeat, in words and as a share of the document: each fails a text by itself.
     max_longest: int = 100
     max_longest_percent: int = 20
 
@@ -180,7 +180,7 @@ def rated(df: DataFrame, text: str = "text", rules: Rules = Rules(), keep_text:
                 out["n_repeat_words"], out["longest_repeat"] = covered, longest
                 failed = (n < rules.min_words) | (100 * covered > rules.max_covered_percent * n)
                 out["base_failed"] = failed
-                out["kept"] = ~failed & ~((longest > rules.max_longest) & (100 * longest > rules.max_longest_percent * n))
+                out["kept"] = ~failed & ~((longest > rules.max_longest) | (100 * longest > rules.max_longest_percent * n))
                 yield out
 
     return df.select(*kept).mapInPandas(run, schema)

@@ -105,6 +105,14 @@ def test_rules_edge_rows(edge):
     assert repetition.rated(edge).count() == 6 and repetition.rated(edge.limit(0)).count() == 0
 
 
+def test_longest_repeat_decides_alone(spark):
+    own = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    texts = [own(0, 900) + own(1, 150) + own(2, 800) + own(1, 150), own(0, 900) + own(1, 100) + own(2, 800) + own(1, 100)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in repetition.rated(df).collect()}
+    assert [(rows[i].longest_repeat, rows[i].base_failed, rows[i].kept) for i in (0, 1)] == [(150, False, False), (100, False, True)]
+
+
 def test_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
