@@ -8,8 +8,8 @@ packing          token windows
 
 All stages but the last return the columns of ``documents``; each is written as
 Parquet in the shared folder and read again for the next. Nulls, repeated rows
-and ties behave as the operators say. Rows that share a doc_id come out of
-simhash_dedup once.
+and ties behave as the operators say. Rows that share a doc_id are told
+apart by their texts in simhash_dedup.
 """
 
 from __future__ import annotations

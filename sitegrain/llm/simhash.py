@@ -79,16 +79,18 @@ def fingerprints_of(texts: list[str | None], shingle: int = 4) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 4, more: str | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and the long column ``more`` if asked for (without nulls)."""
+    extra = [more] if more else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = [as_text(t) for t in b["text"]]
             for lo, hi in chunked(texts, 1 << 20):
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "fp": fingerprints_of(texts[lo:hi], shingle)}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "fp": fingerprints_of(texts[lo:hi], shingle)} | {c: b[c].iloc[lo:hi].to_numpy() for c in extra}).astype({"doc_id": "Int64"})
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), *extra)
+    return rows.mapInPandas(run, "doc_id long, fp long" + "".join(f", {c} long" for c in extra))
 
 
 def packed_counts(fp):
@@ -203,26 +205,34 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return functools.reduce(follow, reversed(steps[:-1]), last)
 
 
+def _rooted(docs: DataFrame, max_bits: int, cell_rows: int) -> DataFrame:
+    """(fp, first, root): every fingerprint of ``docs``, its smallest doc_id, its component."""
+    fps = materialised(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(fps, links(fps, max_bits, cell_rows)).withColumnRenamed("node", "fp")
+    return fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_components(df: DataFrame, max_bits: int = 4, id_col: str = "doc_id", text: str = "text", shingle: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     docs = materialised(fingerprints(df, id_col, text, shingle))
-    fps = materialised(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(fps, links(fps, max_bits, cell_rows)).withColumnRenamed("node", "fp")
-    rooted = fps.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(docs, max_bits, cell_rows)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(names, "root").select("fp", "component_id")
     return docs.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, max_bits: int = 4) -> DataFrame:
-    """``df`` with the row of the smallest doc_id of each component.
+    """``df`` with one row of each component: of the smallest doc_id the text of least digest.
 
-    Of rows that share a doc_id one stays. Rows without doc_id have no name to be
-    told apart by and stay.
+    Rows that share a doc_id but not a component do not meet. Rows without
+    doc_id stay.
     """
     from pyspark.sql.window import Window
 
-    kept = near_components(df, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = df.join(kept, "doc_id").withColumn("__row", row).filter("__row = 1").select(df.columns)
-    return named.union(df.filter("doc_id IS NULL"))
+    named = df.filter("doc_id IS NOT NULL").withColumn("__t", F.xxhash64("text"))
+    pairs = materialised(fingerprints(named, more="__t"))
+    rooted = _rooted(pairs, max_bits, CELL_ROWS)
+    kept = pairs.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "__t")).alias("m")).select("m.*")
+    row = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("doc_id"))
+    one = named.join(kept, ["doc_id", "__t"]).withColumn("__row", row).filter("__row = 1").select(df.columns)
+    return one.union(df.filter("doc_id IS NULL"))

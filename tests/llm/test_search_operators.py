@@ -158,6 +158,14 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 7).count() == 0
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(4)
+    one, two, other = (" ".join(f"w{rng.getrandbits(30)}" for _ in range(40)) for _ in range(3))
+    rows = [(3, one, "a"), (3, two, "b"), (3, two, "b"), (5, two, "c"), (4, other, "d"), (1, one, "e")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, score string")).collect()
+    assert sorted(r.score for r in kept) == ["b", "d", "e"]
+
+
 def test_search_stops_early():
     ids, rows = np.arange(5000), np.zeros((5000, 4), np.int64)
     rows[:40] = 100 + np.arange(40)[:, None]
