@@ -65,7 +65,7 @@ class Lists:
         while left > 0:
             upto = min(n, read + step)
             fresh = np.zeros(n, bool)
-            if upto * len(dims) >= 2 * n or not len(dims):  # the lists reach most rows: read them to the end
+            if not len(dims):  # no list to read: every score is 0
                 upto, fresh[:] = n, True
             else:
                 fresh[self.order[up, n - upto : n - read].ravel()] = True
@@ -75,7 +75,7 @@ class Lists:
             seen |= fresh
             left -= len(at)
             if len(at):
-                got = (rows @ q)[at] if len(at) * 2 > n else rows[at] @ q
+                got = rows[at] @ q
                 ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, got.astype(np.int64)])
                 if len(ids) > k:
                     best = np.lexsort((ids, -scores))[:k] if len(ids) < 4 * k else self.best(ids, scores, k)

@@ -166,6 +166,13 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     assert sorted(r.score for r in kept) == ["b", "d", "e"]
 
 
+def test_search_walks_the_lists_to_the_bound():
+    rows = np.random.default_rng(2).integers(0, 50, (2000, 64))
+    rows[:80] = 1000
+    got, scores, read = topk.Lists(np.arange(2000), rows).search(-1, np.ones(64, np.int64), 5)
+    assert got.tolist() == [0, 1, 2, 3, 4] and scores.tolist() == [64_000] * 5 and 80 < read < 200
+
+
 def test_search_stops_early():
     ids, rows = np.arange(5000), np.zeros((5000, 4), np.int64)
     rows[:40] = 100 + np.arange(40)[:, None]
