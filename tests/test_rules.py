@@ -117,22 +117,23 @@ def test_all_rules_present():
     assert {m: len(r) for m, r in R.PACKS.items()} == {"seo": 21, "images": 9, "links": 4, "assets": 2, "http": 2}
 
 
-def test_links_are_distinct_capped_and_counted(spark):
+@pytest.mark.parametrize(("limit", "kept", "left", "silent"), [(None, 45, 0, 42), (40, 40, 5, 37)])
+def test_links_are_distinct_capped_and_counted(spark, limit, kept, left, silent):
     html = "".join(f"<a href=/{i % 45}>t{i}</a>" for i in range(90)) + "<a href=ftp://x>f</a>"
     df = spark.createDataFrame([(1, URL, html), (2, URL, "none")], "page_id bigint, url string, html string")
     from sitegrain.operators.extract import extract
 
     status = spark.createDataFrame([(URL + "0", 404), (URL + "1", 500), (URL + "2", 200)], "url string, status int")
-    rows = P.probe_findings(P.checked_links(extract(df, ["links"]), status), P.LINK_PROBE_RULES)
+    rows = P.probe_findings(P.checked_links(extract(df, ["links"]), status, limit), P.LINK_PROBE_RULES)
     one, two = rows.orderBy("page_id").collect()
-    assert (len(one.found), one.not_checked) == (40, 5)
+    assert (len(one.found), one.not_checked) == (kept, left)
     broken = [f for f in one.probe_findings if f.rule == "link.broken"]
     assert [(f.severity, f.element, f.detail) for f in broken] == [
         ("medium", URL + "1", "t46"), ("high", URL + "0", "t45"),
     ]
-    silent = next(f for f in one.probe_findings if f.rule == "link.unreachable")
-    assert silent["items"] == 37
-    assert len(json.loads(silent.meta["urls"])) == 20
+    found = next(f for f in one.probe_findings if f.rule == "link.unreachable")
+    assert found["items"] == silent
+    assert json.loads(found.meta["urls"]) == [URL + str(i) for i in range(3, 3 + silent)]
     assert (two.found, two.probe_findings, two.not_checked) == ([], [], 0)
 
 
