@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import linedup, lmscore, mainhtml, packing, pieces, repetition, simhash, topk, toxicity, urlfilter
+from sitegrain.llm import linedup, lmscore, mainhtml, merkle, packing, pieces, repetition, simhash, topk, toxicity, urlfilter
 from sitegrain.llm.common import ship
 
 QUERIES = {}
@@ -128,3 +128,18 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and root of every document; half of them are tampered with and checked again."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_digest(docs, fields, {"text": F.replace("text", F.lit("\n"), F.lit(""))})
+    met = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    found = merkle.manifest(docs, fields, "source", "doc_id", {"doc_id": F.col("doc_id"), "changed": F.when(met, changed)})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("changed", "digest"), F.col("proof")))
+    return found.select(
+        "doc_id", merkle.shown(F.col("digest")).alias("leaf"), merkle.shown(F.col("subroot")).alias("subroot"), merkle.shown(F.col("root")).alias("root"),
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == merkle.shown(F.col("root"))).alias("verified"),
+    )
