@@ -113,6 +113,7 @@ def manifest(df: DataFrame, columns: list[str], group: str, order: str, kept: di
     """
     key = F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("-"))  # null first, else by bytes
     rows = df.select(key.alias("key"), F.col(order).alias("__order"), leaf_digest(df, columns).alias("digest"), *[c.alias(n) for n, c in kept.items()])
+    rows = materialised(rows)  # dealing by ranges looks at the rows twice
     leaves = materialised(positions(rows, ["key"], ["__order", "digest"]).select(*NODE, *kept))
     levels = climb(leaves, [*kept], fanout)
     subroots = tops(leaves, levels).withColumnRenamed("key", "group_key").withColumn("key", F.lit(""))

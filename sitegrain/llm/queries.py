@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import linedup, lmscore, mainhtml, merkle, packing, pieces, repetition, simhash, topk, toxicity, urlfilter
+from sitegrain.llm import linedup, lmscore, mainhtml, merkle, mixing, packing, pieces, repetition, simhash, topk, toxicity, urlfilter
 from sitegrain.llm.common import ship
 
 QUERIES = {}
@@ -130,6 +130,12 @@ WHERE rank <= 20
 """
 
 
+@_query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix of all sources takes of every document."""
+    return mixing.taken(mixing.mixed(_table(spark, sf_dir, "documents")))
+
+
 @_query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and root of every document; half of them are tampered with and checked again."""
