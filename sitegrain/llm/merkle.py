@@ -100,8 +100,8 @@ def hand_down(nodes: DataFrame, levels: list[DataFrame], above: DataFrame, carri
             )
             rows.append(F.when(F.col(f"s{i}").isNotNull(), row))
         down = known.select(F.inline(F.array_compact(F.array(*rows))))
-        if k:
-            down = down.drop("digest")
+        if k:  # written, so that a plan spans one level only
+            down = materialised(down.drop("digest"))
     alone = nodes.filter("n = 1").join(above, "key").select("key", "pos", "digest", "proof", *given, *carried)
     return alone if down is None else alone.unionByName(down.select(alone.columns))
 
@@ -116,7 +116,7 @@ def manifest(df: DataFrame, columns: list[str], group: str, order: str, kept: di
     rows = materialised(rows)  # dealing by ranges looks at the rows twice
     leaves = materialised(positions(rows, ["key"], ["__order", "digest"]).select(*NODE, *kept))
     levels = climb(leaves, [*kept], fanout)
-    subroots = tops(leaves, levels).withColumnRenamed("key", "group_key").withColumn("key", F.lit(""))
+    subroots = materialised(tops(leaves, levels).withColumnRenamed("key", "group_key").withColumn("key", F.lit("")))
     subroots = materialised(positions(subroots, ["key"], ["group_key"]))
     upper = climb(subroots, ["group_key"], fanout)
     top = tops(subroots, upper).first()
@@ -124,7 +124,7 @@ def manifest(df: DataFrame, columns: list[str], group: str, order: str, kept: di
     nothing = F.array().cast("array<struct<left:array<binary>,right:array<binary>>>")
     start = subroots.sparkSession.range(1).select(F.lit("").alias("key"), nothing.alias("proof"))
     above = hand_down(subroots, upper, start, ["group_key"], fanout)
-    above = above.select(F.col("group_key").alias("key"), "proof", F.col("digest").alias("subroot"))
+    above = materialised(above.select(F.col("group_key").alias("key"), "proof", F.col("digest").alias("subroot")))
     return hand_down(leaves, levels, above, [*kept], fanout).select("digest", "proof", "subroot", root.alias("root"), *kept)
 
 
