@@ -169,12 +169,12 @@ def positives_in(block: Block, anchor_ids: np.ndarray, anchors: np.ndarray, labe
     return out
 
 
-def negatives_in(block: Block, anchors: np.ndarray, labels: np.ndarray, windows: list[np.ndarray], m: Mining) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+def negatives_in(block: Block, anchor_ids: np.ndarray, anchors: np.ndarray, labels: np.ndarray, windows: list[np.ndarray], m: Mining) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(anchor's place, positive score, ids, scores): the best rows of other labels in each window of an anchor."""
 
     def wanted(a: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         fit = np.zeros(len(low), bool)
-        other = block.labels != labels[a]
+        other = (block.labels != labels[a]) & (block.ids != anchor_ids[a])
         for p in windows[a]:
             least, most, off = m.floor * float(p) / m.ceiling, float(p), 1 + abs(float(p)) * 1e-12
             inside = other & (high >= least - off) & (low <= most + off)
@@ -187,7 +187,8 @@ def negatives_in(block: Block, anchors: np.ndarray, labels: np.ndarray, windows:
     out = []
     for a, use, scores in block.visit(anchors, wanted):
         for p in windows[a]:
-            inside = np.flatnonzero((m.floor * int(p) <= m.ceiling * scores) & (scores <= int(p)))
+            least = -(-m.floor * int(p) // m.ceiling)  # floor * p <= ceiling * score, without products of scores
+            inside = np.flatnonzero((scores >= least) & (scores <= int(p)))
             best = inside[_best(block.ids[use][inside], scores[inside], m.negatives)]
             out.append((a, int(p), block.ids[use][best], scores[best]))
     return out
@@ -260,7 +261,7 @@ def hard_negatives(rows: DataFrame, anchors: DataFrame, mining: Mining = Mining(
         return ((a, 0, i, s) for a, i, s in positives_in(block, ids, v, labels, m.positives))
 
     def second(block, ids, v, labels, windows):
-        return negatives_in(block, v, labels, windows, m)
+        return negatives_in(block, ids, v, labels, windows, m)
 
     none = F.array().cast("array<long>")
     positives = materialised(_ranked(_round(rows, asked.withColumn("windows", none), blocks, first), ["dims", "q"], m.positives))
