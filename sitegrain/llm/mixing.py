@@ -39,6 +39,10 @@ from sitegrain.session import materialised
 _BITS, _LOW = 40, 20
 
 
+#: Slots that a task writes out at once, about.
+SLOTS = 1 << 16
+
+
 @dataclasses.dataclass(frozen=True)
 class Mix:
     """Words of a block, slots of a shard, rounds of a permutation, and the targets' rule."""
@@ -141,7 +145,9 @@ def _drawn(sources: DataFrame, mix: Mix) -> DataFrame:
 def slots(sources: DataFrame, mix: Mix) -> DataFrame:
     """(shard, sid, k, block, words): the blocks each shard takes, and how many words of each at most."""
     taking = materialised(_slots_of(sources, mix))
-    runs = _drawn(taking, mix).join(taking, "sid")
+    # A run of a few bytes stands for thousands of slots: runs are dealt out by their slots, not by their size.
+    parts = 1 + (taking.agg(F.sum("slots")).first()[0] or 0) // SLOTS
+    runs = _drawn(taking, mix).repartition(parts, "shard", "sid").join(taking, "sid")
     one = runs.withColumn("k", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
     turn, at = F.expr("k div per_round"), F.expr("k % per_round")
     block = F.when(at < F.col("full"), permuted(at, F.col("full"), F.element_at("keys", (turn + 1).cast("int")))).otherwise(at)
