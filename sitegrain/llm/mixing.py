@@ -147,7 +147,7 @@ def slots(sources: DataFrame, mix: Mix) -> DataFrame:
     taking = materialised(_slots_of(sources, mix))
     # A run of a few bytes stands for thousands of slots: runs are dealt out by their slots, not by their size.
     parts = 1 + (taking.agg(F.sum("slots")).first()[0] or 0) // SLOTS
-    runs = _drawn(taking, mix).repartition(parts, "shard", "sid").join(taking, "sid")
+    runs = _drawn(taking, mix).join(taking, "sid").repartition(parts, "shard", "sid")
     one = runs.withColumn("k", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
     turn, at = F.expr("k div per_round"), F.expr("k % per_round")
     block = F.when(at < F.col("full"), permuted(at, F.col("full"), F.element_at("keys", (turn + 1).cast("int")))).otherwise(at)
