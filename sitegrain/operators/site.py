@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
-from pyspark.sql import Column, DataFrame
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegrain import constants as K
 from sitegrain.functions import urls
 from sitegrain.functions.text import collapse
-from sitegrain.session import shared_dir
+from sitegrain.session import materialised, shared_dir
 
 
 def host_of(url: Column) -> Column:
@@ -219,30 +220,83 @@ def normal(c: Column) -> Column:
     return collapse(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")))
 
 
-def content_match(pages: DataFrame, briefs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """pages(page_id, texts), briefs(page_id, texts) → how well the page holds to its brief.
-
-    Paragraphs equal but for case and punctuation match.  What is left over on
-    both sides is compared in order; a pair sharing enough words was changed.
-    """
+def _left_over(pages: DataFrame, briefs: DataFrame) -> DataFrame:
+    """(page_id, n_brief, matched, left_b, left_p): what equal paragraphs leave on both sides, in order."""
     texts = lambda c: F.array_distinct(F.filter(F.transform(c, normal), lambda t: t != ""))
     df = pages.select("page_id", texts(F.col("texts")).alias("p")).join(
         briefs.select("page_id", texts(F.col("texts")).alias("b")), "page_id", "full"
     )
     none = F.array().cast("array<string>")
     df = df.select("page_id", F.coalesce("p", none).alias("p"), F.coalesce("b", none).alias("b"))
-    df = df.select(
+    return df.select(
         "page_id", F.size("b").alias("n_brief"), F.size(F.array_intersect("b", "p")).alias("matched"),
         F.array_except("b", "p").alias("left_b"), F.array_except("p", "b").alias("left_p"),
     )
 
-    def shared(x: Column, y: Column) -> Column:
-        a, b = F.split(x, " "), F.split(y, " ")
-        return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
-    pairs = F.zip_with("left_b", "left_p", lambda x, y: F.coalesce(shared(x, y) >= threshold, F.lit(False)))
-    changed = F.size(F.filter(pairs, lambda z: z))
-    return df.withColumn("changed", changed).select(
+def _similar(left: DataFrame, threshold: float) -> DataFrame:
+    """(page_id, b, p, share): pairs of left-over paragraphs that share enough of their words.
+
+    An inverted index by page and word, of each paragraph's rarest words only:
+    of n words, two paragraphs that share ``threshold`` of all their words have one in
+    common among the n - ceil(threshold * n) + 1 rarest of either.
+    """
+
+    def side(name: str) -> DataFrame:
+        words = left.select("page_id", F.posexplode(f"left_{name}").alias("k", "text"))
+        return words.select("page_id", F.lit(name).alias("side"), "k", F.array_distinct(F.split("text", " ")).alias("words"))
+
+    paragraphs = {name: side(name) for name in "bp"}
+    posts = paragraphs["b"].unionByName(paragraphs["p"]).select("page_id", "side", "k", F.size("words").alias("n"), F.explode("words").alias("word"))
+    rare = Window.partitionBy("page_id", "side", "k").orderBy("in_page", "word")
+    posts = posts.withColumn("in_page", F.count("*").over(Window.partitionBy("page_id", "word"))).withColumn("rank", F.row_number().over(rare))
+    posts = posts.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    of = {name: posts.filter(F.col("side") == name).select("page_id", "word", F.col("k").alias(name), F.col("n").alias(f"n_{name}")) for name in "bp"}
+    met = of["b"].join(of["p"], ["page_id", "word"])
+    met = met.filter((F.col("n_p") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_p") - 1e-9)).select("page_id", "b", "p").distinct()
+    for name, rows in paragraphs.items():
+        met = met.join(rows.select("page_id", F.col("k").alias(name), F.col("words").alias(f"w_{name}")), ["page_id", name])
+    share = F.size(F.array_intersect("w_b", "w_p")) / F.size(F.array_union("w_b", "w_p"))
+    return met.select("page_id", "b", "p", share.alias("share")).filter(F.col("share") >= threshold)
+
+
+def _greedy(pairs: DataFrame) -> DataFrame:
+    """The pairs a greedy choice takes: highest share first, then in the order of the brief and of the page.
+
+    A pair that is the best of both its sides is taken whatever else is, so
+    all such pairs are taken at once; those they touch go, until none is left.
+    No page's pairs need to stand in one place.
+    """
+    order = [F.desc("share"), "b", "p"]
+    best = lambda side: F.row_number().over(Window.partitionBy("page_id", side).orderBy(*order))
+    rest, taken = materialised(pairs), None
+    while not rest.isEmpty():
+        now = materialised(rest.withColumn("of_b", best("b")).withColumn("of_p", best("p")).filter("of_b = 1 AND of_p = 1").select(pairs.columns))
+        taken = now if taken is None else taken.unionByName(now)
+        for side in "bp":
+            rest = rest.join(now.select("page_id", side), ["page_id", side], "left_anti")
+        rest = materialised(rest.select(pairs.columns))
+    return rest if taken is None else taken
+
+
+def changed_paragraphs(pages: DataFrame, briefs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(page_id, brief_text, page_text, share): paragraphs of the brief that the page words otherwise."""
+    left = materialised(_left_over(pages, briefs))
+    pairs = _greedy(_similar(left, threshold))
+    return left.join(pairs, "page_id").select("page_id", F.get("left_b", "b").alias("brief_text"), F.get("left_p", "p").alias("page_text"), "share")
+
+
+def content_match(pages: DataFrame, briefs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """pages(page_id, texts), briefs(page_id, texts) → how well the page holds to its brief.
+
+    Paragraphs equal but for case and punctuation match.  What is left over on
+    both sides is paired by the share of words in common, wherever it stands,
+    the closest first; a pair sharing enough words was changed.
+    """
+    left = materialised(_left_over(pages, briefs))
+    n = _greedy(_similar(left, threshold)).groupBy("page_id").agg(F.count("*").cast("int").alias("changed"))
+    df = left.join(n, "page_id", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+    return df.select(
         "page_id", "n_brief", "matched", "changed",
         (F.size("left_b") - F.col("changed")).alias("missing"),
         (F.size("left_p") - F.col("changed")).alias("extra"),

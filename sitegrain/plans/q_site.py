@@ -241,16 +241,26 @@ _NORM = O.collapse("lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 _BRIEF_TEXT = "CASE WHEN (ord + page_id) % 5 = 1 THEN concat(text, ' in other words') WHEN (ord + page_id) % 7 = 2 THEN 'Something else altogether' ELSE concat('* ', text, ' !') END"
 
 
-@query("content_match", with_extracts("""SELECT pg.page_id, CAST(n_brief AS INT) AS n_brief, CAST(matched AS INT) AS matched, CAST(changed AS INT) AS changed, CAST(nb - changed AS INT) AS missing, CAST(np - changed AS INT) AS extra,
- CAST(CASE WHEN n_brief = 0 THEN 100.0 ELSE round_even(CAST(matched AS DOUBLE) / n_brief * 100, 1) END AS DOUBLE) AS match_pct FROM pg""", ["block"], "pages", f"""
+# Paragraphs of the page and of its brief, what equal ones leave, and the pairs
+# that share half of their words, ranked; a walk down the ranks takes a pair
+# unless one of its sides is taken.
+_MATCH = f"""
 pp AS (SELECT page_id, t, min(ord) AS ord FROM (SELECT page_id, ord, {_NORM.format('text')} AS t FROM block WHERE tag = 'p') WHERE t <> '' GROUP BY 1, 2),
 bb AS (SELECT page_id, t, min(ord) AS ord FROM (SELECT page_id, ord, {_NORM.format(_BRIEF_TEXT)} AS t FROM block WHERE tag = 'p' AND (ord + page_id) % 5 <> 0 UNION ALL SELECT page_id, 1000000, {_NORM.format("concat('Warranty for page ', page_id)")} FROM src) WHERE t <> '' GROUP BY 1, 2),
-lb AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS k FROM bb WHERE NOT EXISTS (SELECT 1 FROM pp WHERE pp.page_id = bb.page_id AND pp.t = bb.t)),
-lp AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS k FROM pp WHERE NOT EXISTS (SELECT 1 FROM bb WHERE pp.page_id = bb.page_id AND pp.t = bb.t)),
-ch AS (SELECT lb.page_id, list_distinct(string_split(lb.t, ' ')) AS a, list_distinct(string_split(lp.t, ' ')) AS b FROM lb JOIN lp USING (page_id, k)),
-pg AS (SELECT s.page_id, (SELECT count(*) FROM bb WHERE bb.page_id = s.page_id) AS n_brief, (SELECT count(*) FROM bb JOIN pp USING (page_id, t) WHERE bb.page_id = s.page_id) AS matched, (SELECT count(*) FROM lb WHERE lb.page_id = s.page_id) AS nb, (SELECT count(*) FROM lp WHERE lp.page_id = s.page_id) AS np,
- (SELECT count(*) FROM ch WHERE ch.page_id = s.page_id AND CAST(len(list_intersect(a, b)) AS DOUBLE) / len(list_distinct(list_concat(a, b))) >= 0.5) AS changed FROM src s)"""))
-def _(spark, sf):
+lb AS (SELECT *, list_distinct(string_split(t, ' ')) AS w FROM bb WHERE NOT EXISTS (SELECT 1 FROM pp WHERE pp.page_id = bb.page_id AND pp.t = bb.t)),
+lp AS (SELECT *, list_distinct(string_split(t, ' ')) AS w FROM pp WHERE NOT EXISTS (SELECT 1 FROM bb WHERE pp.page_id = bb.page_id AND pp.t = bb.t)),
+sh AS (SELECT lb.page_id, lb.t AS b, lp.t AS p, lb.ord AS bo, lp.ord AS po, CAST(len(list_intersect(lb.w, lp.w)) AS DOUBLE) / len(list_distinct(list_concat(lb.w, lp.w))) AS share FROM lb JOIN lp USING (page_id)),
+rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY share DESC, bo, po) AS k FROM sh WHERE share >= 0.5),
+wk(page_id, k, tb, tp, hit) AS (SELECT page_id, 1, [b], [p], true FROM rk WHERE k = 1
+ UNION ALL SELECT wk.page_id, wk.k + 1, CASE WHEN list_contains(tb, b) OR list_contains(tp, p) THEN tb ELSE list_append(tb, b) END, CASE WHEN list_contains(tb, b) OR list_contains(tp, p) THEN tp ELSE list_append(tp, p) END, NOT (list_contains(tb, b) OR list_contains(tp, p)) FROM wk JOIN rk ON rk.page_id = wk.page_id AND rk.k = wk.k + 1),
+ch AS (SELECT page_id, b AS brief_text, p AS page_text, share FROM rk JOIN wk USING (page_id, k) WHERE hit)"""
+
+
+def _match_sql(select: str) -> str:
+    return with_extracts(select, ["block"], "pages", _MATCH).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _page_and_brief(spark, sf):
     df = extract(X.pages(spark, sf), ["blocks"])
     paras = F.filter("blocks", lambda b: b["tag"] == "p")
     pages = df.select("page_id", F.transform(paras, lambda b: b["text"]).alias("texts"))
@@ -262,7 +272,20 @@ def _(spark, sf):
         .otherwise(F.concat(F.lit("* "), b["text"], F.lit(" !"))),
     )
     own = F.array(F.concat(F.lit("Warranty for page "), F.col("page_id").cast("string")))
-    return N.content_match(pages, df.select("page_id", F.concat(brief, own).alias("texts")))
+    return pages, df.select("page_id", F.concat(brief, own).alias("texts"))
+
+
+@query("content_match", _match_sql("""SELECT *, CAST(CASE WHEN n_brief = 0 THEN 100.0 ELSE round_even(CAST(matched AS DOUBLE) / n_brief * 100, 1) END AS DOUBLE) AS match_pct FROM (
+ SELECT page_id, n_brief, matched, changed, CAST(nb - changed AS INT) AS missing, CAST(np - changed AS INT) AS extra FROM (
+ SELECT s.page_id, CAST((SELECT count(*) FROM bb WHERE bb.page_id = s.page_id) AS INT) AS n_brief, CAST((SELECT count(*) FROM bb JOIN pp USING (page_id, t) WHERE bb.page_id = s.page_id) AS INT) AS matched,
+ CAST((SELECT count(*) FROM ch WHERE ch.page_id = s.page_id) AS INT) AS changed, (SELECT count(*) FROM lb WHERE lb.page_id = s.page_id) AS nb, (SELECT count(*) FROM lp WHERE lp.page_id = s.page_id) AS np FROM src s))"""))
+def _(spark, sf):
+    return N.content_match(*_page_and_brief(spark, sf))
+
+
+@query("changed_paragraphs", _match_sql("SELECT * FROM ch"))
+def _(spark, sf):
+    return N.changed_paragraphs(*_page_and_brief(spark, sf))
 
 
 # --- scan store -------------------------------------------------------------
