@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from sitegrain import constants as K
 from sitegrain.functions.columns import blank, let, non_empty
+from sitegrain.functions.jsonld import declared_types
 from sitegrain.functions.text import strip
 from sitegrain.operators.extract import meta_value
 from sitegrain.operators.tokens import attribute, has_attribute
@@ -113,40 +110,10 @@ def index_follow(metas: Column, x_robots_tag: Column) -> Column:
     return let(words, made)
 
 
-def _declared(block: str) -> list[str]:
-    """@type values of one JSON text, outer before inner; items of a list as text."""
-    try:
-        todo, out = [json.loads(block)], []
-    except (ValueError, RecursionError):
-        return ["(unparseable)"]
-    while todo:
-        value = todo.pop()
-        if isinstance(value, dict):
-            kind = value.get("@type")
-            if isinstance(kind, str):
-                out.append(kind)
-            elif isinstance(kind, list):
-                out += map(str, kind)
-            value = list(value.values())
-        if isinstance(value, list):
-            todo += reversed(value)
-    # Half a surrogate pair is no text that a table could hold.
-    return [t.encode("utf-8", "replace").decode() for t in out]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _declared_types(jsonld: pd.Series) -> pd.Series:
-    return pd.Series([None if blocks is None else list(dict.fromkeys(t for b in blocks if b is not None for t in _declared(b))) for blocks in jsonld])
-
-
 def existing_types(jsonld: Column) -> Column:
-    """Declared @type values at any depth, distinct, an outer node before those in it.
-
-    JSON as pages have it: repeated keys (the last counts) and NaN are taken,
-    which the built-in parser refuses; hence Python, over the few bytes of
-    these blocks only.
-    """
-    return _declared_types(jsonld)
+    """Declared @type values at any depth, distinct, an outer node before those in it."""
+    blocks = F.filter(jsonld, lambda b: b.isNotNull())
+    return F.array_distinct(F.flatten(F.transform(blocks, declared_types)))
 
 
 def page_inventory(pages: DataFrame) -> DataFrame:

@@ -169,6 +169,15 @@ jsonld AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY
 TEXTLEN = f"""
 textlen AS (SELECT src.page_id, CAST(coalesce(sum(length({strip('txt')})), 0) AS INT) AS text_length FROM src LEFT JOIN vis USING (page_id) GROUP BY 1)"""
 
+# The same texts through the JSON functions: a type, or an item of a list of
+# types, stands by the number of the node it belongs to.
+SCHEMA_TYPES = """
+jt AS (SELECT page_id, ord, t.id, t.parent, t.type, CAST(t.key AS VARCHAR) AS key, t.value ->> '$' AS v FROM (SELECT * FROM jsonld WHERE json_valid(body)) j, json_tree(j.body) t),
+jx AS (SELECT page_id, ord, parent AS owner, id, v FROM jt WHERE key = '@type' AND type = 'VARCHAR'
+ UNION ALL SELECT i.page_id, i.ord, l.parent, i.id, i.v FROM jt i JOIN jt l ON l.page_id = i.page_id AND l.ord = i.ord AND l.id = i.parent AND l.key = '@type' AND l.type = 'ARRAY' WHERE i.type NOT IN ('OBJECT', 'ARRAY')
+ UNION ALL SELECT page_id, ord, 0, 0, '(unparseable)' FROM jsonld WHERE NOT json_valid(body)),
+declared AS (SELECT page_id, list(v ORDER BY ord, owner, id) AS types FROM (SELECT * FROM jx QUALIFY row_number() OVER (PARTITION BY page_id, v ORDER BY ord, owner, id) = 1) GROUP BY 1)"""
+
 PARTS = {
     "title": TITLE, "lang": LANG, "meta": METAS, "canonical": CANONICAL, "block": BLOCKS,
     "image": IMAGES, "picsrc": SOURCES, "link": LINKS, "jsonld": JSONLD, "textlen": TEXTLEN,

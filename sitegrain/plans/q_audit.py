@@ -376,7 +376,7 @@ def _(spark, sf):
     return df.withColumn("directives", F.array_join("directives", ","))
 
 
-@query("existing_schema_types", with_extracts("""SELECT src.page_id, CASE page_id % 5 WHEN 1 THEN 'Organization' WHEN 2 THEN '(unparseable)' WHEN 3 THEN 'WebPage,Thing,Article,Person' ELSE '' END AS types FROM src""", []))
+@query("existing_schema_types", with_extracts("SELECT src.page_id, coalesce(array_to_string(types, ','), '') AS types FROM src LEFT JOIN declared USING (page_id)", ["jsonld"], extra=O.SCHEMA_TYPES))
 def _(spark, sf):
     df = extract(audit_pages(spark, sf), ["jsonld"])
     return df.select("page_id", F.array_join(I.existing_types(F.col("jsonld")), ",").alias("types"))

@@ -126,8 +126,8 @@ _GRAPH = f"""
 bj AS (SELECT page_id, {_BC} AS j FROM bc JOIN pv USING (page_id) GROUP BY 1),
 fj AS (SELECT page_id, {_FQ} AS j FROM fq GROUP BY 1 HAVING count(*) >= 2),
 g0 AS (SELECT pv.page_id, logo, description, {_ORG} AS j0, {_WEB} AS j1, bj.j AS j2, CASE WHEN h1 IS NOT NULL AND (has_article OR text_length > 1500) THEN {_ART} END AS j3, fj.j AS j4,
- CAST(CASE pv.page_id % 5 WHEN 1 THEN ['Organization'] WHEN 2 THEN ['(unparseable)'] WHEN 3 THEN ['WebPage', 'Thing', 'Article', 'Person'] ELSE [] END AS VARCHAR[]) AS ex
- FROM pv LEFT JOIN bj USING (page_id) LEFT JOIN fj USING (page_id)),
+ coalesce(types, CAST([] AS VARCHAR[])) AS ex
+ FROM pv LEFT JOIN bj USING (page_id) LEFT JOIN fj USING (page_id) LEFT JOIN declared USING (page_id)),
 g AS (SELECT *, list_filter([{', '.join(f"CASE WHEN j{i} IS NOT NULL THEN '{t}' END" for i, t in enumerate(_TYPES))}], lambda z: z IS NOT NULL) AS sg FROM g0),
 gg AS (SELECT *, list_sort(list_intersect(ex, sg)) AS both_ FROM g)"""
 _NOTES = ", ".join([
@@ -141,7 +141,7 @@ _NOTES = ", ".join([
 
 @query("suggest_graph", with_extracts(f"""SELECT page_id, array_to_string(ex, ',') AS existing_types, array_to_string(sg, ',') AS suggested_types,
  array_to_string(list_filter([{_NOTES}], lambda z: z IS NOT NULL), ' ') AS notes,
- concat('{{"@context":"https://schema.org","@graph":[', array_to_string(list_filter([j0, j1, j2, j3, j4], lambda z: z IS NOT NULL), ','), ']}}') AS json_ld FROM gg""", _PARTS, extra=_VALUES.strip() + "," + _GRAPH))
+ concat('{{"@context":"https://schema.org","@graph":[', array_to_string(list_filter([j0, j1, j2, j3, j4], lambda z: z IS NOT NULL), ','), ']}}') AS json_ld FROM gg""", [*_PARTS, "jsonld"], extra=O.SCHEMA_TYPES.strip() + "," + _VALUES.strip() + "," + _GRAPH))
 def _(spark, sf):
     return G.suggest_graph(_values(spark, sf))
 

@@ -154,14 +154,61 @@ def test_types_of_real_json(spark):
         '[{"@type":"L"},{"@graph":[{"@type":"G"},{"@type":"L"}]}]': ["L", "G"],
         '{"@type":"\\ud800"}': ["?"],
         "": ["(unparseable)"],
+        ' {"@type" :\t["A", true, null, -1.5e3, NaN, {"@type":"In"}] } \n': ["A", "True", "None", "-1.5e3", "nan", "In"],
+        '{"x":{"@type":"Old","y":[{"@type":"Older"}]},"y":{"@type":"Y"},"x":{"@type":"New"}}': ["Y", "New"],
+        '{"@type":"A","@type":["B","C"],"@type":"D","z":1}': ["D"],
+        '{"\\u0040type":"Q\\n\\"R\\""}': ['Q\n"R"'],
+        '{"a":"@type","b":{"c":"@type"},"@type":{"@type":"T"}}': ["T"],
+        '"@type"': [], "[]": [], "{}": [], "3": [], "-Infinity": [],
+        **{bad: ["(unparseable)"] for bad in ('{"a":1,}', "[1,]", '{"a" 1}', "{a:1}", "[1 2]", "01", "1.", "-", '"a', "'a'", "{]", "[}", "}", "[", ",", "nul", '{"a":}', '"\t"', '"\\x"', "[]]", '{"a":1 "b":2}', "+1", "\ufeff{}")},
     }
     df = spark.createDataFrame([(k, [k]) for k in shapes], "k string, j array<string>")
     got = {r.k: r.t for r in df.select("k", existing_types(F.col("j")).alias("t")).collect()}
     assert got == shapes
+    assert "Python" not in df.select(existing_types(F.col("j")))._jdf.queryExecution().toString()
     none = spark.createDataFrame([([],), (None,)], "j array<string>")
     assert [r.t for r in none.select(existing_types(F.col("j")).alias("t")).collect()] == [[], None]
 
 
+def test_types_of_random_json_equal_the_standard_reader(spark):
+    import json
+    import random
+
+    rng = random.Random(7)
+
+    def value(depth):
+        kind = rng.random()
+        if depth > 3 or kind < 0.4:
+            return rng.choice(["s", 'q"\\/\u2028é', 1, -2.5, True, None])
+        if kind < 0.6:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        keys = rng.sample(["@type", "a", "b", "@graph", "c"], rng.randint(0, 4))
+        return {k: rng.choice(["T1", "T2", ["T3", "T4"], "T5"]) if k == "@type" and rng.random() < 0.8 else value(depth + 1) for k in keys}
+
+    def types(v):
+        if isinstance(v, list):
+            return [t for x in v for t in types(x)]
+        if not isinstance(v, dict):
+            return []
+        own = v.get("@type")
+        own = [own] if isinstance(own, str) else [str(x) for x in own if not isinstance(x, list | dict)] if isinstance(own, list) else []
+        return own + [t for x in v.values() for t in types(x)]
+
+    texts = [json.dumps(value(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(300)]
+    broken = [t[: rng.randint(0, len(t))] + rng.choice(["", ",", "}", '"', "x"]) + t[rng.randint(0, len(t)) :] for t in texts]
+
+    def expected(t):
+        try:
+            return list(dict.fromkeys(types(json.loads(t))))
+        except ValueError:
+            return ["(unparseable)"]
+
+    rows = texts + broken
+    df = spark.createDataFrame([(i, [t]) for i, t in enumerate(rows)], "i long, j array<string>")
+    got = {r.i: r.t for r in df.select("i", existing_types(F.col("j")).alias("t")).collect()}
+    assert [(t, got[i]) for i, t in enumerate(rows) if got[i] != expected(t)] == []
+
+
 def test_headers_in_any_case(spark):
     df = spark.sql("SELECT map('Content-Type', 'Text/HTML', 'X-Robots-Tag', 'none', 'content-TYPE', 'text/html; charset=x') AS headers")
     r = load_responses(df).first()
