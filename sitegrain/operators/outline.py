@@ -10,16 +10,20 @@ from sitegrain.functions.columns import fold_emitting, last, let
 from sitegrain.functions.text import collapse
 from sitegrain.operators.tokens import attribute
 
-_STACK = "array<struct<ord:int,tag:string>>"
-_OUT = "array<struct<ord:int,parent:int,depth:int>>"
+_STACK = "array<struct<ord:int,tag:string,children:int>>"
+_OUT = "array<struct<ord:int,parent:int,depth:int,last:int,children:int>>"
 
 
 def fold_nodes(events: Column) -> Column:
-    """Events → array<struct(ord, parent, depth, tag, element_id, classes, line)>.
+    """Events → array<struct(ord, parent, depth, last, children, tag, element_id, classes, line)>.
 
     A fold with a stack of open elements: an end tag closes up to its nearest
     open match and is ignored without one; an open paragraph is closed by the
     elements that imply it.  Running sums cannot do this on broken markup.
+
+    Nodes are nested sets: ``ord`` is the number at entry, ``last`` the highest
+    number at exit, so a subtree has last - ord + 1 nodes and no later question
+    about descendants or children needs the other nodes.
     """
     turns = F.filter(
         events, lambda e: (e["kind"] != "raw") & e["tag"].isin(sorted({*K.STRUCTURAL_TAGS, *K.CLOSES_PARAGRAPH}))
@@ -42,15 +46,24 @@ def fold_nodes(events: Column) -> Column:
         stack = let(cut, lambda t: F.when(t.isNull(), acc["stack"]).otherwise(cut_to(acc["stack"], t)))
         opens = is_start & structural
         n = acc["n"] + 1
-        pushed = F.array(F.struct(n.alias("ord"), e["tag"].alias("tag")))
+        pushed = F.array(F.struct(n.alias("ord"), e["tag"].alias("tag"), F.lit(0).alias("children")))
+
+        def closed(s: Column) -> Column:
+            """Nodes of the open elements beyond ``s``; n is the last number given."""
+            return closing(acc["stack"], F.size(s), acc["n"])
 
         def placed(s: Column) -> Column:
-            node = F.struct(
-                n.alias("ord"), F.coalesce(last(s)["ord"], F.lit(0)).alias("parent"), F.size(s).alias("depth")
+            top = last(s)
+            counted = F.struct(top["ord"].alias("ord"), top["tag"].alias("tag"), (top["children"] + 1).alias("children"))
+            below = F.when(opens & (F.size(s) > 0), F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(counted)).cast(_STACK)).otherwise(s)
+            leaf = F.struct(
+                n.alias("ord"), F.coalesce(top["ord"], F.lit(0)).alias("parent"), F.size(s).alias("depth"),
+                n.alias("last"), F.lit(0).alias("children"),
             )
+            void = e["tag"].isin(K.VOID_TAGS)
             return F.struct(
-                F.when(opens & ~e["tag"].isin(K.VOID_TAGS), F.concat(s, pushed)).otherwise(s).cast(_STACK).alias("stack"),
-                F.when(opens, F.array(node)).otherwise(F.array().cast(_OUT)).cast(_OUT).alias("node"),
+                F.when(opens & ~void, F.concat(below, pushed)).otherwise(below).cast(_STACK).alias("stack"),
+                F.concat(closed(s), F.when(opens & void, F.array(leaf).cast(_OUT)).otherwise(F.array().cast(_OUT))).alias("nodes"),
             )
 
         block = (
@@ -59,10 +72,21 @@ def fold_nodes(events: Column) -> Column:
             .otherwise(acc["block"])
         )
         now = let(stack, placed)
-        return {"n": F.when(opens, n).otherwise(acc["n"]), "block": block, "stack": now["stack"]}, now["node"]
+        return {"n": F.when(opens, n).otherwise(acc["n"]), "block": block, "stack": now["stack"]}, now["nodes"]
+
+    def closing(stack: Column, kept: Column, n: Column) -> Column:
+        def node(f: Column, i: Column) -> Column:
+            at = kept + i
+            return F.struct(
+                f["ord"].alias("ord"), F.when(at > 0, F.get(stack, at - 1)["ord"]).otherwise(F.lit(0)).alias("parent"),
+                at.alias("depth"), n.alias("last"), f["children"].alias("children"),
+            )
+
+        return F.transform(F.slice(stack, kept + 1, F.size(stack)), node).cast(_OUT)
 
     zero = {"n": F.lit(0), "block": F.lit(""), "stack": F.array().cast(_STACK)}
-    placed = let(fold_emitting(turns, zero, step, _OUT), lambda end: end["out"])
+    whole = lambda end: F.array_sort(F.concat(end["out"], closing(end["stack"], F.lit(0), end["n"])))
+    placed = let(fold_emitting(turns, zero, step, _OUT), whole)
     starts = F.filter(turns, lambda e: (e["kind"] == "start") & e["tag"].isin(K.STRUCTURAL_TAGS))
     read = F.transform(
         starts,
@@ -72,6 +96,7 @@ def fold_nodes(events: Column) -> Column:
         placed, read,
         lambda p, e: F.struct(
             p["ord"].alias("ord"), p["parent"].alias("parent"), p["depth"].alias("depth"),
+            p["last"].alias("last"), p["children"].alias("children"),
             e["tag"].alias("tag"), attribute(e["a"], "id").alias("element_id"),
             F.filter(
                 F.split(collapse(F.coalesce(attribute(e["a"], "class"), F.lit(""))), " "), lambda c: c != ""
@@ -101,37 +126,30 @@ def structure_outline(
     too-deep part included, because it is not entered any more.
     """
     nodes = F.col("nodes")
+    kept = let(F.filter(nodes, lambda n: n["depth"] <= max_depth), lambda shallow: F.slice(shallow, 1, max_nodes))
 
-    def rows(shallow: Column) -> Column:
-        full = F.size(shallow) > max_nodes
-        # First node that found the list full; what follows belongs to subtrees
-        # dropped by count, apart from too-deep runs under kept nodes before it.
-        stop = F.when(full, F.get(shallow, F.lit(max_nodes))["ord"]).otherwise(F.size(nodes) + 1)
-        kept = F.slice(shallow, 1, max_nodes)
-        return F.struct(kept.alias("rows"), stop.alias("stop"))
-
-    picked = let(F.filter(nodes, lambda n: n["depth"] <= max_depth), rows)
-
-    def counted(p: Column) -> Column:
-        before = F.size(F.filter(nodes, lambda n: (n["depth"] > max_depth) & (n["ord"] < p["stop"])))
+    def counted(rows: Column) -> Column:
+        # A kept node at the depth limit leaves out all below it.
+        under = F.aggregate(
+            F.filter(rows, lambda n: n["depth"] == max_depth), F.lit(0), lambda acc, n: acc + n["last"] - n["ord"]
+        )
         return F.struct(
-            p["rows"].alias("rows"),
+            rows.alias("rows"),
             F.size(nodes).alias("total_nodes"),
             F.coalesce(F.array_max(F.transform(nodes, lambda n: n["depth"])), F.lit(0)).alias("max_depth"),
-            before.alias("truncated_by_depth"),
-            (F.size(nodes) - F.size(p["rows"]) - before).alias("truncated_by_count"),
+            under.alias("truncated_by_depth"),
+            (F.size(nodes) - F.size(rows) - under).alias("truncated_by_count"),
         )
 
-    return pages.withColumn("outline", let(picked, counted))
+    return pages.withColumn("outline", let(kept, counted))
 
 
 def outline_rows(outlined: DataFrame) -> DataFrame:
-    df = outlined.select("page_id", "nodes", F.posexplode("outline.rows").alias("p", "r"))
+    df = outlined.select("page_id", F.posexplode("outline.rows").alias("p", "r"))
     return df.select(
         "page_id", (F.col("p") + 1).alias("ord"), F.col("r.depth").alias("depth"), F.col("r.tag").alias("tag"),
         node_selector(F.col("r.tag"), F.col("r.element_id"), F.col("r.classes")).alias("selector"),
-        F.col("r.line").alias("line"),
-        F.size(F.filter("nodes", lambda n: n["parent"] == F.col("r.ord"))).alias("children"),
+        F.col("r.line").alias("line"), F.col("r.children").alias("children"),
     )
 
 

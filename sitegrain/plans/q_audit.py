@@ -390,26 +390,53 @@ def _outlined(spark, sf):
 
     df = extract(audit_pages(spark, sf), ["nodes"]).select("page_id", "nodes")
     df = T.structure_outline(df)
-    return staged(df, ["page_id", "nodes"], {"outline": F.col("outline")})
-
-
-@query("structure_nodes")
+    return staged(df, ["page_id"], {"outline": F.col("outline")})
+
+
+# The stack machine as a walk over the events, one per step; the intervals by
+# comparing nodes, not from the stack.
+_TURN = sorted({*K.STRUCTURAL_TAGS, *K.CLOSES_PARAGRAPH})
+_NODES = f"""
+turn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS i, {O._ATTRS} AS attrs FROM ev WHERE kind <> 'raw' AND tag IN {O.inlist(_TURN)}),
+wk(page_id, i, n, block, st, opens, parent, depth) AS (SELECT page_id, CAST(0 AS BIGINT), 0, '', CAST([] AS STRUCT(ord INT, tag VARCHAR)[]), false, 0, 0 FROM src
+ UNION ALL SELECT page_id, i, CASE WHEN opens THEN n + 1 ELSE n END, CASE WHEN kind = 'start' AND tag IN {O.inlist(['p', *K.HEADING_TAGS])} THEN tag WHEN implied OR (kind = 'end' AND block = tag) THEN '' ELSE block END,
+  CASE WHEN opens AND tag NOT IN {O.inlist(K.VOID_TAGS)} THEN list_append(cut, struct_pack(ord := n + 1, tag := tag)) ELSE cut END, opens, coalesce(cut[-1].ord, 0), CAST(len(cut) AS INT)
+ FROM (SELECT *, CASE WHEN found > 0 THEN st[1:found - 1] ELSE st END AS cut FROM (SELECT *, coalesce(list_max(list_filter(range(1, len(st) + 1), lambda j: st[j].tag = down)), 0) AS found FROM (
+  SELECT *, CASE WHEN implied THEN 'p' WHEN kind = 'end' THEN tag END AS down FROM (
+  SELECT turn.page_id, turn.i, turn.kind, turn.tag, wk.n, wk.block, wk.st, turn.kind = 'start' AND turn.tag IN {O.inlist(K.STRUCTURAL_TAGS)} AS opens, turn.kind = 'start' AND wk.block = 'p' AND turn.tag IN {O.inlist(K.CLOSES_PARAGRAPH)} AS implied
+  FROM wk JOIN turn ON turn.page_id = wk.page_id AND turn.i = wk.i + 1))))),
+nd0 AS MATERIALIZED (SELECT wk.page_id, wk.n AS ord, wk.parent, wk.depth, turn.tag, {O.attr('id')} AS element_id, list_filter(string_split({O.collapse(f"coalesce({O.attr('class')}, '')")}, ' '), lambda c: c <> '') AS cl, turn.line FROM wk JOIN turn USING (page_id, i) WHERE wk.opens),
+nd AS MATERIALIZED (SELECT *, CAST(coalesce((SELECT min(m.ord) FROM nd0 m WHERE m.page_id = a.page_id AND m.ord > a.ord AND m.depth <= a.depth), (SELECT max(ord) + 1 FROM nd0 m WHERE m.page_id = a.page_id)) - 1 AS INT) AS last,
+ CAST((SELECT count(*) FROM nd0 m WHERE m.page_id = a.page_id AND m.parent = a.ord) AS INT) AS children FROM nd0 a),
+sha AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY ord) AS INT) AS p FROM nd WHERE depth <= {K.OUTLINE_MAX_DEPTH}),
+kep AS (SELECT * FROM sha WHERE p <= {K.OUTLINE_MAX_NODES}),
+stp AS (SELECT src.page_id, coalesce(min(ord), 2147483647) AS stop FROM src LEFT JOIN (SELECT * FROM sha WHERE p > {K.OUTLINE_MAX_NODES}) s ON s.page_id = src.page_id GROUP BY 1)"""
+_SELECTOR = "concat(tag, CASE WHEN coalesce(element_id, '') <> '' THEN concat('#', element_id) ELSE '' END, CASE WHEN len(cl) > 0 THEN concat('.', array_to_string(cl[1:3], '.')) ELSE '' END)"
+
+
+def _over_nodes(select: str) -> str:
+    return with_extracts(select, [], extra=_NODES).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("structure_nodes", _over_nodes("SELECT page_id, ord, parent, depth, last, children, tag, element_id, array_to_string(cl, ' ') AS classes, line FROM nd"))
 def _(spark, sf):
     df = extract(audit_pages(spark, sf), ["nodes"]).select("page_id", F.inline("nodes"))
     return df.withColumn("classes", F.array_join("classes", " "))
 
 
-@query("structure_outline")
+@query("structure_outline", _over_nodes(f"SELECT page_id, p AS ord, depth, tag, {_SELECTOR} AS selector, line, children FROM kep"))
 def _(spark, sf):
     return T.outline_rows(_outlined(spark, sf))
 
 
-@query("outline_summary")
+@query("outline_summary", _over_nodes(f"""SELECT page_id, CAST(t AS INT) AS total_nodes, CAST(coalesce(m, 0) AS INT) AS max_depth, CAST(d AS INT) AS truncated_by_depth, CAST(t - k - d AS INT) AS truncated_by_count FROM (
+ SELECT src.page_id, (SELECT count(*) FROM nd WHERE nd.page_id = src.page_id) AS t, (SELECT max(depth) FROM nd WHERE nd.page_id = src.page_id) AS m, (SELECT count(*) FROM kep WHERE kep.page_id = src.page_id) AS k,
+ (SELECT count(*) FROM nd WHERE nd.page_id = src.page_id AND depth > {K.OUTLINE_MAX_DEPTH} AND nd.ord < stop) AS d FROM src JOIN stp USING (page_id))"""))
 def _(spark, sf):
     return _outlined(spark, sf).select("page_id", "outline.total_nodes", "outline.max_depth", "outline.truncated_by_depth", "outline.truncated_by_count")
 
 
-@query("outline_tag_counts")
+@query("outline_tag_counts", _over_nodes("SELECT page_id, tag, count(*) AS n FROM kep GROUP BY 1, 2"))
 def _(spark, sf):
     return T.outline_tag_counts(_outlined(spark, sf))
 

@@ -116,6 +116,11 @@ def test_outline_on_broken_markup(spark):
         for r in structure_outline(extract(df, ["nodes"]), cap, depth).collect():
             w = walk(htmls[r.page_id])
             assert [(n.parent, n.depth, n.tag) for n in r.nodes] == [n[:3] for n in w.nodes], htmls[r.page_id]
+            parents = [0, *(n.parent for n in r.nodes)]
+            for n in r.nodes:  # intervals hold exactly the descendants
+                above = lambda k: {k} | (above(parents[k]) if k else set())
+                inside = [m.ord for m in r.nodes if n.ord in above(m.ord)]
+                assert inside == list(range(n.ord, n.last + 1)) and n.children == parents.count(n.ord) - (n.ord == 0)
             kept, deep, many = outline(w.nodes, cap, depth)
             assert [n.ord for n in r.outline.rows] == kept
             assert (r.outline.truncated_by_depth, r.outline.truncated_by_count) == (deep, many)
@@ -176,3 +181,12 @@ def test_extraction_is_one_narrow_stage(spark):
     plan = extract(spark.read.parquet(f"{SF}/pages.parquet"), ["title", "links"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_outline_rows_carry_no_node_array(spark):
+    from sitegrain.plans.q_audit import _outlined
+    from sitegrain.operators.outline import outline_rows
+
+    plan = outline_rows(_outlined(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.split("Generate")[1]  # what is exploded into outline rows
+    assert "nodes#" not in top and "nodes#" not in plan.split("Generate")[0]
