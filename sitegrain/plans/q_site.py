@@ -417,11 +417,28 @@ def _(spark, sf):
     return C.pack_rows(T.run_append(T.stream_audit(responses), "audit")).drop("label")
 
 
-@query("stream_dedup")
+def _paced_log(spark, sf, *columns, replay=False):
+    """The scan log as it came in, in eight micro-batches; then its first eighth again, far too late; then a row that closes all."""
+    log = X.scan_log(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), *columns)
+    log = materialised(log)
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    end = log.limit(1).select((F.lit(last) + F.expr("INTERVAL 2 DAYS")).alias("ts"), *[F.lit(None).cast(log.schema[c].dataType).alias(c) for c in columns])
+    late = log.filter(F.col("ts") < F.lit(first + (last - first) / 8))
+    return T.paced(log, 8, *([late] if replay else []), end)
+
+
+@query("stream_dedup", f"SELECT url, page_no, ts FROM (SELECT *, lag(ts) OVER (PARTITION BY url, page_no ORDER BY ts) AS before FROM ({X.SCAN_LOG})) WHERE before IS NULL OR ts >= before + INTERVAL 12 HOUR")
+def _(spark, sf):
+    runs = T.stream_dedup(_paced_log(spark, sf, "url", "page_no"), ["url", "page_no"], "12 hours")
+    return T.run_append(runs, "dedup").filter("url IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Windows are closed by the watermark; what is replayed after that changes nothing.
+@query("stream_severity_closed", f"SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS start, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') + INTERVAL 6 HOUR AS end, severity, count(*) AS n FROM ({X.SCAN_LOG}) GROUP BY ALL")
 def _(spark, sf):
-    log = X.derived_from(_stream(spark, sf, "events"), X.SCAN_LOG, "events")
-    log = log.withColumn("ts", F.col("ts").cast("timestamp")).select("ts", "url", "page_no")
-    return T.run_append(T.stream_dedup(log, ["url", "page_no"]), "dedup").select("url", "page_no")
+    counts = T.stream_severity_counts(_paced_log(spark, sf, "severity", replay=True), "6 hours")
+    df = T.run_append(counts, "closed").filter("severity IS NOT NULL")
+    return df.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "severity", "n")
 
 
 def _windows(name, slide, starts):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,17 @@ def stream_audit(responses: DataFrame) -> DataFrame:
     return audit_markup(responses, ("title",))
 
 
-def stream_dedup(rows: DataFrame, keys: list[str], horizon: str = "1 hour") -> DataFrame:
-    """The same key again within the horizon is dropped, late rows too."""
-    return rows.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
+def stream_dedup(rows: DataFrame, keys: list[str], horizon: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """The first of each run of repeats: (*keys, ts).
+
+    A row is a repeat if its key was seen less than ``horizon`` before; each
+    repeat keeps the run alive.  A run is given out and forgotten once the
+    watermark has passed its last row by the horizon, so state holds open runs
+    only; rows whose own run would have ended behind the watermark are dropped.  A key that comes again
+    beyond the horizon is given out again, however the batches are cut.
+    """
+    run = F.session_window("ts", horizon)
+    return rows.withWatermark("ts", lateness).groupBy(run, *keys).agg(F.min("ts").alias("ts")).select(*keys, "ts")
 
 
 def stream_severity_counts(
@@ -38,8 +48,34 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sitegrain-{name}-{uuid.uuid4().hex}"
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there and read the result table back."""
+def paced(rows: DataFrame, batches: int, *after: DataFrame, files: int = 1) -> DataFrame:
+    """A table with ``ts`` as a stream that arrives by time: ``batches`` equal spans, then each of ``after``.
+
+    Every span is written as its own files, one span after the other; the file
+    source takes them by age, one span a micro-batch.
+    """
+    spark = rows.sparkSession
+    path = _folder(spark, "paced")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    span = F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(first))) * batches / (F.unix_micros(F.lit(last)) - F.unix_micros(F.lit(first)) + 1))
+    for k in range(batches):
+        rows.filter(span == k).repartition(files).write.mode("append").parquet(path)
+    for more in after:
+        more.select(rows.columns).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+@dataclasses.dataclass(frozen=True)
+class Run:
+    """A finished run: its result table, micro-batches with rows, and rows dropped as late."""
+
+    table: DataFrame
+    batches: int
+    dropped: int
+
+
+def run_counted(stream: DataFrame, name: str) -> Run:
+    """Process what is there, in append mode, and report what the state operators dropped."""
     spark = stream.sparkSession
     out = _folder(spark, name)
     q = (
@@ -50,7 +86,14 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/table")
+    progress = [json.loads(p.json) for p in q.recentProgress]
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in progress for s in p["stateOperators"])
+    return Run(spark.read.schema(stream.schema).parquet(f"{out}/table"), sum(p["numInputRows"] > 0 for p in progress), dropped)
+
+
+def run_append(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there and read the result table back."""
+    return run_counted(stream, name).table
 
 
 def run_update(stream: DataFrame, name: str, keys: list[str], value: str) -> DataFrame:

@@ -42,11 +42,38 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 50
 
 
-def test_dedup_keeps_every_key_once(spark):
-    rows = [tuple(r) for r in entry.queries()["stream_dedup"](spark, SF).collect()]
-    from sitegrain.sources.fixtures import scan_log
-
-    assert sorted(rows) == sorted(tuple(r) for r in scan_log(spark, SF).select("url", "page_no").distinct().collect())
+def stream_of(spark, *batches):
+    from sitegrain.streaming import stream as T
+
+    frames = [spark.sql("SELECT timestamp'2026-01-01 ' + make_dt_interval(0, h) AS ts, k FROM VALUES " + ", ".join(f"({h}, '{k}')" for h, k in b) + " AS v(h, k)") for b in batches]
+    return T.paced(frames[0], 1, *frames[1:])
+
+
+def test_a_key_comes_again_beyond_the_horizon_and_a_late_one_does_not(spark):
+    from sitegrain.streaming import stream as T
+
+    rows = stream_of(
+        spark,
+        [(0, "a"), (1, "a"), (1, "b")],
+        [(2, "a"), (6, "b"), (9, "c")],  # a again within 3 hours of its last row, b beyond
+        [(10, "d")],  # a batch tells late rows by the watermark that the one before it had
+        [(1, "late"), (4, "a")],  # their runs would have ended behind 9 - 1
+        [(12, "a"), (40, "end")],
+    )
+    run = T.run_counted(T.stream_dedup(rows, ["k"], "3 hours"), "t")
+    got = sorted((r.k, r.ts.hour) for r in run.table.collect())
+    assert got == [("a", 0), ("a", 12), ("b", 1), ("b", 6), ("c", 9), ("d", 10)]
+    assert (run.batches, run.dropped) == (5, 2)
+
+
+def test_a_row_after_closing_changes_no_window(spark):
+    from sitegrain.streaming import stream as T
+
+    rows = stream_of(spark, [(0, "low"), (5, "low"), (6, "high")], [(11, "low"), (13, "low")], [(14, "low")], [(2, "low"), (12, "high")], [(60, "end")])
+    run = T.run_counted(T.stream_severity_counts(rows.withColumnRenamed("k", "severity")), "t")
+    got = sorted((r.start.hour, r.severity, r.n) for r in run.table.filter("severity <> 'end'").collect())
+    assert got == [(0, "low", 2), (6, "high", 1), (6, "low", 1), (12, "high", 1), (12, "low", 2)]
+    assert (run.batches, run.dropped) == (5, 1)
 
 
 def test_depth_is_shortest_and_bounded(spark):
