@@ -80,6 +80,22 @@ def ship(spark) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_HELD: dict = {}
+
+
+def held(owner: tuple, make):
+    """An object kept by the Python worker, which serves many tasks; what another operator kept goes."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
+def release() -> None:
+    """Let go of what other operators' tasks have left in this worker."""
+    _HELD.clear()
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}

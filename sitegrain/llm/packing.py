@@ -26,7 +26,6 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import Memo, Pool, as_text, chunked, tokenizer_file
+from sitegrain.llm.common import Memo, Pool, as_text, chunked, held, tokenizer_file
 
 
 @dataclass(frozen=True)
@@ -131,10 +130,9 @@ class Encoder:
         return ids, np.diff(at[[0, *count]]), at[1:][self.ends[which]]
 
 
-@lru_cache(maxsize=1)
 def encoder_for(path: str) -> Encoder:
     """One for each Python worker, which serves many tasks."""
-    return Encoder(path)
+    return held(("packing", path), lambda: Encoder(path))
 
 
 def cuts_of(sizes: np.ndarray, sentences: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:

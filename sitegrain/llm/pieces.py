@@ -25,14 +25,13 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import Memo, Pool, as_text, bounds, chunked, tokenizer_file
+from sitegrain.llm.common import Memo, Pool, as_text, bounds, chunked, held, tokenizer_file
 
 SPACE = "▁"
 #: Below the worst piece, as the library does for unknown characters.
@@ -304,10 +303,9 @@ class Encoder:
         return [(g, [(int(k), unit(k)[j][1]) for k, j in zip(open_, r, strict=True) if j]) for g, r in best]
 
 
-@lru_cache(maxsize=1)
 def encoder_for(path: str, n: int) -> Encoder:
     """One for each Python worker, which serves many tasks."""
-    return Encoder(path, n)
+    return held(("pieces", path, n), lambda: Encoder(path, n))
 
 
 #: What a row holds of its ids: columns, types, function of (vocabulary, text, ids).

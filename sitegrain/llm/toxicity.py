@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitegrain.llm.common import Memo, as_text, bounds, chunked
+from sitegrain.llm.common import Memo, as_text, bounds, chunked, release
 from sitegrain.session import materialised
 
 #: Character codes: 0 nothing, a to z, then classes of all others.
 ALPHABET, _OTHERS = 48, 21
 WINDOW, STRIDE = 16, 8
-_SPELLED = re.compile(r"(?<!\S)(?:\w[\W_]{1,2}){2,}\w(?!\w)")
+#: Letters and marks have no character in common, so a run can be read in one way only.
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W_][\W_]{1,2}){2,}[^\W_](?!\w)")
 _MARKS = ".,;:!?\"'()[]{}<>«»“”‘’…-–—_*#&%$|/\\"
 
 
@@ -173,8 +174,13 @@ def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> np.nda
 
 def fit_units(positive: dict[str, int], negative: list[str], t: Training) -> Machine:
     """The machine from positive units with counts and a pool of negative ones."""
-    pos = [u[:WINDOW] for u in positive if len(u) >= 3]
-    pool = [u for u in dict.fromkeys(u[:WINDOW] for u in negative) if len(u) >= 3 and u not in positive]
+    units = [u for u in positive if len(u) >= 3]
+    pool = [u for u in dict.fromkeys(windows_of([u for u in negative if len(u) >= 3 and u not in positive])[0])]
+    known = set(pool)
+    # A long unit is a bag of windows: those of negative units go, the machine picks the best of the others.
+    pos, owner = windows_of(units)
+    kept = [i for i, u in enumerate(pos) if u not in known or len(units[owner[i]]) <= WINDOW]
+    pos, owner = [pos[i] for i in kept], owner[kept]
     neg = pool[: 4 * len(pos) + 500]
     half = t.landmarks // 2
     marks = list(dict.fromkeys(pos[:half] + neg[:half]))  # the commonest positives first
@@ -186,13 +192,16 @@ def fit_units(positive: dict[str, int], negative: list[str], t: Training) -> Mac
     root = vector * (1 / np.sqrt(np.maximum(value, 1e-6))) * (value > 1e-6)
     k_pos = kernel(pos, tables, t.decay) @ root
     k_neg = kernel(neg, tables, t.decay) @ root
-    machine, count = None, np.sqrt(np.array([positive[u] for u in positive if len(u) >= 3], float))
+    machine, count = None, np.sqrt(np.array([positive[units[i]] for i in owner], float)) / np.bincount(owner, minlength=len(units))[owner]
     for _ in range(t.rounds):
         z = np.vstack([k_pos, k_neg])
         y = np.concatenate([np.ones(len(pos)), -np.ones(len(neg))])
         weight = np.concatenate([count / count.sum(), np.full(len(neg), 1 / len(neg))]) * 1_000
         w = svm(z, y, weight, t.cost)
         machine = Machine(tables @ (root @ w[:-1]), float(w[-1]), t.decay)
+        best = np.full(len(units), -np.inf)
+        np.maximum.at(best, owner, got := machine.decide(pos))
+        count = np.sqrt(np.array([positive[units[i]] for i in owner], float)) * (got >= best[owner])
         score = machine.decide(pool)
         hard = [pool[i] for i in np.argsort(-score, kind="stable")[:500] if score[i] > -0.8]
         grown = list(dict.fromkeys(neg + hard))
@@ -311,6 +320,7 @@ def scored(df: DataFrame, machine: Machine | None, text: str = "text", threshold
     shared = df.sparkSession.sparkContext.broadcast(machine)  # one weight for each triple: 0.5 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         scorer = Scorer(shared.value)
         for b in batches:
             texts = [as_text(x) for x in b[text]]

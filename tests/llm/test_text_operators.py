@@ -268,3 +268,20 @@ def test_words_part_at_blanks_only():
     h, starts, ends = hashed_words(text.encode())
     assert [text.encode()[a:b].decode() for a, b in zip(starts, ends, strict=True)] == re.findall(r"[^\x20\x09-\x0D]+", text)
     assert h[0] == h[-1] and len(set(h.tolist())) == len(h) - 1
+
+
+def test_marks_in_a_row_and_long_units_are_read_in_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("Name: " + "_" * 10_000 + "ab", "a_" * 5_000 + "aa", "a b " * 5_000 + "cc", "- " * 10_000):
+        toxicity.units_of(text)
+    assert time.perf_counter() - began < 2
+    assert "idiot" in toxicity.units_of("you i d-i_o t there")
+
+
+def test_long_positive_units_are_bags_of_windows():
+    clean = ["abcdefghijklmnop", "abcdefghijklmnopqrstuvwxabcd", "harmless", "words", "of", "every", "kind", "table", "garden"] * 3
+    machine = toxicity.fit_units({"abcdefghijklmnopbadword": 9, "badword": 20}, clean, toxicity.Training(landmarks=16))
+    insult, harmless, longer = machine.decide(["badword", "abcdefghijklmnop", "abcdefghijklmnopqrstuvwxabcd"])
+    assert insult > 0 > max(harmless, longer)
