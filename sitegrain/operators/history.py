@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sitegrain import constants as K
 from sitegrain.operators.scoring import severity_rank, weight
+from sitegrain.session import materialised
 
 
 def scan_id(site: Column, day: Column) -> Column:
@@ -93,42 +94,52 @@ def scan_history(scores: DataFrame, days: int = 7) -> DataFrame:
 PERIODS = {"yesterday": 1, "last week": 7, "last month": 30}
 
 
+#: Days that one word of a presence bitmap holds.
+_DAYS = 63
+
+
+def presence(log: DataFrame) -> DataFrame:
+    """(site_id, page_no, rule, word, days): bit d of word w is set where a finding occurs on day 63 w + d since 1970.
+
+    One aggregation of the log, combined map-side.
+    """
+    day = F.unix_date("scan_day")
+    word = F.floor(day / _DAYS).cast("int").alias("word")
+    return log.groupBy("site_id", "page_no", "rule", word).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(day, F.lit(_DAYS)).cast("int"))).alias("days")
+    )
+
+
 def scan_compare(log: DataFrame) -> DataFrame:
     """Latest scan of each site against the last one a day, week and month before.
 
-    Findings are told apart by page and rule; each is marked where it occurs
-    and the marks are combined by aggregation, so no side is joined to another.
+    Findings are told apart by page and rule.  The log is read once, into bitmaps of the
+    days each finding occurs on; the sites' days and all periods are read from those.
     """
-    days = log.select("site_id", "scan_day").distinct()
-    latest = days.groupBy("site_id").agg(F.max("scan_day").alias("now_day"))
-    known = days.join(latest, "site_id")
-    then = known.groupBy("site_id", "now_day").agg(
-        *[
-            F.max(F.when(F.col("scan_day") <= F.date_sub("now_day", n), F.col("scan_day"))).alias(f"d{n}")
-            for n in PERIODS.values()
-        ]
-    )
-    periods = then.select(
-        "site_id", "now_day",
-        F.explode(
-            F.array(*[F.struct(F.lit(p).alias("period"), F.col(f"d{n}").alias("then_day")) for p, n in PERIODS.items()])
-        ).alias("p"),
-    ).select("site_id", "now_day", "p.period", "p.then_day")
-    seen = log.select("site_id", "scan_day", "page_no", "rule").distinct()
-    marks = periods.select("site_id", "period", F.col("now_day").alias("scan_day"), F.lit(1).alias("now"), F.lit(0).alias("before")).unionByName(
-        periods.filter("then_day is not null").select(
-            "site_id", "period", F.col("then_day").alias("scan_day"), F.lit(0).alias("now"), F.lit(1).alias("before")
+    seen = materialised(presence(log))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(_DAYS - 1)), lambda d: F.getbit("days", d) == 1)
+    words = seen.groupBy("site_id", "word").agg(F.bit_or("days").alias("days"))
+    days = words.select("site_id", F.transform(bits, lambda d: F.col("word") * _DAYS + d).alias("on"))
+    days = days.groupBy("site_id").agg(F.flatten(F.collect_list("on")).alias("on")).withColumn("now", F.array_max("on"))
+    last_by = lambda n: F.array_max(F.filter("on", lambda d: d <= F.col("now") - n))
+    days = days.select("site_id", "now", *[last_by(n).alias(f"then{n}") for n in PERIODS.values()])
+
+    def occurs(day: str) -> Column:
+        here = F.col("word") == F.floor(F.col(day) / _DAYS)
+        return F.coalesce(F.bool_or(here & (F.getbit("days", F.pmod(day, F.lit(_DAYS)).cast("int")) == 1)), F.lit(False)).alias(day)
+
+    marks = ["now", *[f"then{n}" for n in PERIODS.values()]]
+    per_finding = seen.join(days, "site_id").groupBy("site_id", "page_no", "rule").agg(*[occurs(d) for d in marks])
+
+    def counted(period: str, n: int) -> Column:
+        now, then = F.col("now"), F.col(f"then{n}")
+        return F.struct(
+            F.lit(period).alias("period"), F.count_if(now & ~then).alias("new"), F.count_if(~now & then).alias("fixed"),
+            F.count_if(now & then).alias("persisting"),
         )
-    )
-    marked = seen.join(marks, ["site_id", "scan_day"])
-    per_finding = marked.groupBy("site_id", "period", "page_no", "rule").agg(
-        F.max("now").alias("now"), F.max("before").alias("before")
-    )
-    return per_finding.groupBy("site_id", "period").agg(
-        F.count_if((F.col("now") == 1) & (F.col("before") == 0)).alias("new"),
-        F.count_if((F.col("now") == 0) & (F.col("before") == 1)).alias("fixed"),
-        F.count_if((F.col("now") == 1) & (F.col("before") == 1)).alias("persisting"),
-    )
+
+    rows = per_finding.groupBy("site_id").agg(F.array(*[counted(p, n) for p, n in PERIODS.items()]).alias("rows"))
+    return rows.select("site_id", F.inline("rows"))
 
 
 def site_rollup(findings: DataFrame) -> DataFrame:

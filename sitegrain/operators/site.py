@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitegrain import constants as K
 from sitegrain.functions import urls
 from sitegrain.functions.text import collapse
-from sitegrain.session import materialised, shared_dir
+from sitegrain.session import Scratch, materialised
 
 
 def host_of(url: Column) -> Column:
@@ -29,6 +29,25 @@ def duplicate_values(values: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: A group with more members is dealt over several tasks when they are listed.
+HEAVY = 100_000
+
+
+def members(values: DataFrame, groups: DataFrame, keys: list[str], member: str, heavy: int = HEAVY) -> DataFrame:
+    """(member, *keys, n): every member of every group; groups(*keys, n) as counted, one row each.
+
+    Groups over ``heavy`` are known from their counts; each is cut into parts, and its
+    members go to a part by their own key, so no task gets a whole one.
+    """
+    size = groups.columns[len(keys)]
+    groups = materialised(groups.select(*keys, F.col(size).alias("__n")))
+    parts = F.ceil(F.col("__n") / heavy).cast("int").alias("__parts")
+    dealt = values.join(groups.filter(F.col("__n") > heavy).select(*keys, parts), keys, "left")
+    dealt = dealt.withColumn("__part", F.coalesce(F.pmod(F.hash(member), F.col("__parts")), F.lit(0)))
+    cut = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / heavy).cast("int") - 1)))
+    return dealt.join(cut, [*keys, "__part"]).select(member, *keys, F.col("__n").alias(size))
+
+
 def content_hashes(texts: DataFrame) -> DataFrame:
     """(source, parts array<string>) → one row per source and distinct text."""
     plain = F.filter(F.transform("parts", lambda t: F.lower(collapse(t))), lambda t: t != "")
@@ -103,26 +122,29 @@ def orphan_pages(pages: DataFrame) -> DataFrame:
 def page_depth(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Clicks from the roots: edges(src, dst), roots(url) → (url, depth).
 
-    One join per level, until none is new (or ``max_depth``).  Edges are laid out by source
-    once; each level is cut from its lineage with a reliable checkpoint.
+    Addresses are numbered once and joined again at the end; the levels in
+    between move numbers only: the front meets the edges by source, what it reaches is made
+    distinct, and what was seen before is left out, until a level finds nothing new
+    (or ``max_depth``).  Levels are written and removed when all is known.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = edges.select("src", "dst").repartition(parts, "src").checkpoint()
-    seen = roots.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    front = seen
+    work = Scratch(edges.sparkSession)
+    edges = edges.select("src", "dst")
+    names = edges.select(F.col("src").alias("url")).unionByName(edges.select(F.col("dst").alias("url"))).unionByName(roots.select("url"))
+    names = work.table(names.distinct().select("url", F.monotonically_increasing_id().alias("id")))
+    numbered = lambda side: names.select(F.col("url").alias(side), F.col("id").alias(f"{side}_id"))
+    laid = edges.join(numbered("src"), "src").join(numbered("dst"), "dst").select("src_id", "dst_id")
+    laid = work.table(laid.distinct())
+    front = work.table(roots.select("url").distinct().join(names, "url").select("id", F.lit(0).alias("depth")))
+    seen = front
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        reached = (
-            laid.join(front.select(F.col("url").alias("src")), "src", "left_semi")
-            .select(F.col("dst").alias("url"))
-            .distinct()
-        )
-        front = reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        reached = laid.join(front.select(F.col("id").alias("src_id")), "src_id", "left_semi").select(F.col("dst_id").alias("id")).distinct()
+        front = work.table(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-    return seen
+    found = materialised(seen.join(names, "id").select("url", "depth"))
+    work.remove()
+    return found
 
 
 # --- sitemap and robots -----------------------------------------------------
@@ -199,6 +221,13 @@ def qa_checklist(audited: DataFrame, findings: Column, sitemap: DataFrame) -> Da
     return done.withColumn("score", F.bround(passed / len(K.CHECKLIST_ITEMS) * 100, 1))
 
 
+def axe_pages(violations: DataFrame) -> DataFrame:
+    """(page_id, rule, impact, selector, n_pages): the pages of every violation."""
+    keys = ["rule", "impact", "selector"]
+    rows = violations.select("page_id", *keys).distinct()
+    return members(rows, rows.groupBy(*keys).agg(F.count("*").alias("n_pages")), keys, "page_id")
+
+
 def axe_findings(violations: DataFrame) -> DataFrame:
     """(page_id, rule, impact, selector) → findings, one per violation across pages."""
     severity = F.lit(None).cast("string")

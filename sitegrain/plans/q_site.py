@@ -120,26 +120,18 @@ def _(spark, sf):
 # --- cross-page -------------------------------------------------------------
 
 
-@query("duplicate_titles", with_extracts(f"SELECT {O.authority('url')} AS host, title, count(*) AS n_pages, min(page_id) AS first_page FROM src JOIN title USING (page_id) WHERE title <> '' GROUP BY 1, 2 HAVING count(*) > 1", ["title"], "pages"))
-def _(spark, sf):
+def _titles(spark, sf):
     df = extract(X.pages(spark, sf), ["title"]).filter("title <> ''")
-    return N.duplicate_values(df.select("page_id", F.col("base_host").alias("host"), "title"), "title")
+    return df.select("page_id", F.col("base_host").alias("host"), "title")
 
 
-@query("duplicate_h1", with_extracts(f"SELECT {O.authority('url')} AS host, text AS h1, count(*) AS n_pages, min(page_id) AS first_page FROM (SELECT DISTINCT page_id, url, text FROM heading JOIN src USING (page_id) WHERE level = 1 AND text <> '') GROUP BY 1, 2 HAVING count(*) > 1", ["block"], "pages"))
-def _(spark, sf):
+def _tops(spark, sf):
     df = extract(X.pages(spark, sf), ["headings"])
     tops = F.array_distinct(F.transform(F.filter("headings", lambda h: (h["level"] == 1) & (h["text"] != "")), lambda h: h["text"]))
-    return N.duplicate_values(df.select("page_id", F.col("base_host").alias("host"), F.explode(tops).alias("h1")), "h1")
-
-
-_LB = O.lit("\n")
+    return df.select("page_id", F.col("base_host").alias("host"), F.explode(tops).alias("h1"))
 
 
-@query("duplicate_content", with_extracts(f"""SELECT digest, count(*) AS n_sources, min(source) AS first_source FROM (
- SELECT DISTINCT concat('page:', page_id) AS source, sha256(lower(text)) AS digest FROM block WHERE tag = 'p'
- UNION SELECT concat('doc:', doc_id), sha256(lower(t)) FROM (SELECT doc_id, {O.collapse('t')} AS t FROM (SELECT doc_id, unnest(string_split(text, {_LB})) AS t FROM documents)) WHERE t <> '') GROUP BY 1 HAVING count(*) > 1""", ["block"], "pages"))
-def _(spark, sf):
+def _paragraphs(spark, sf):
     blocks = extract(X.pages(spark, sf), ["blocks"]).select(
         F.concat(F.lit("page:"), "page_id").alias("source"),
         F.transform(F.filter("blocks", lambda b: b["tag"] == "p"), lambda b: b["text"]).alias("parts"),
@@ -147,7 +139,55 @@ def _(spark, sf):
     docs = X.documents(spark, sf).select(
         F.concat(F.lit("doc:"), "doc_id").alias("source"), F.split("text", "\n").alias("parts")
     )
-    return N.duplicate_content(blocks.unionByName(docs))
+    return blocks.unionByName(docs)
+
+
+_LB = O.lit("\n")
+_TITLED = f"SELECT page_id, {O.authority('url')} AS host, title FROM src JOIN title USING (page_id) WHERE title <> ''"
+_TOPPED = f"SELECT DISTINCT page_id, {O.authority('url')} AS host, text AS h1 FROM heading JOIN src USING (page_id) WHERE level = 1 AND text <> ''"
+_DIGESTS = f"""SELECT DISTINCT concat('page:', page_id) AS source, sha256(lower(text)) AS digest FROM block WHERE tag = 'p'
+ UNION SELECT concat('doc:', doc_id), sha256(lower(t)) FROM (SELECT doc_id, {O.collapse('t')} AS t FROM (SELECT doc_id, unnest(string_split(text, {_LB})) AS t FROM documents)) WHERE t <> ''"""
+
+
+def _grouped(rows, keys, n="n_pages", first="page_id"):
+    return f"SELECT {keys}, count(*) AS {n}, min({first}) AS first_{first.split('_')[0]} FROM ({rows}) GROUP BY ALL HAVING count(*) > 1"
+
+
+def _members(rows, keys, n="n_pages", member="page_id"):
+    return f"SELECT {member}, {keys}, {n} FROM (SELECT *, count(*) OVER (PARTITION BY {keys}) AS {n} FROM ({rows})) WHERE {n} > 1"
+
+
+@query("duplicate_titles", with_extracts(_grouped(_TITLED, "host, title"), ["title"], "pages"))
+def _(spark, sf):
+    return N.duplicate_values(_titles(spark, sf), "title")
+
+
+@query("duplicate_title_pages", with_extracts(_members(_TITLED, "host, title"), ["title"], "pages"))
+def _(spark, sf):
+    rows = materialised(_titles(spark, sf))
+    return N.members(rows, N.duplicate_values(rows, "title"), ["host", "title"], "page_id")
+
+
+@query("duplicate_h1", with_extracts(_grouped(_TOPPED, "host, h1"), ["block"], "pages"))
+def _(spark, sf):
+    return N.duplicate_values(_tops(spark, sf), "h1")
+
+
+@query("duplicate_h1_pages", with_extracts(_members(_TOPPED, "host, h1"), ["block"], "pages"))
+def _(spark, sf):
+    rows = materialised(_tops(spark, sf))
+    return N.members(rows, N.duplicate_values(rows, "h1"), ["host", "h1"], "page_id")
+
+
+@query("duplicate_content", with_extracts(_grouped(_DIGESTS, "digest", "n_sources", "source"), ["block"], "pages"))
+def _(spark, sf):
+    return N.duplicate_content(_paragraphs(spark, sf))
+
+
+@query("duplicate_content_sources", with_extracts(_members(_DIGESTS, "digest", "n_sources", "source"), ["block"], "pages"))
+def _(spark, sf):
+    texts = materialised(_paragraphs(spark, sf))
+    return N.members(N.content_hashes(texts), N.duplicate_content(texts), ["digest"], "source")
 
 
 def _site(spark, sf):
@@ -235,6 +275,11 @@ def _(spark, sf):
     return N.axe_findings(X._derived(spark, sf, _AXE, "pages"))
 
 
+@query("axe_pages", f"SELECT page_id, rule, impact, selector, count(*) OVER (PARTITION BY rule, impact, selector) AS n_pages FROM (SELECT DISTINCT page_id, rule, impact, selector FROM ({_AXE}))")
+def _(spark, sf):
+    return N.axe_pages(X._derived(spark, sf, _AXE, "pages"))
+
+
 _NORM = O.collapse("lower(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))").replace("\\p{Z}", "\\p{{Z}}")
 # A brief made from the page: some paragraphs left out, some worded otherwise,
 # one the page does not have.
