@@ -76,6 +76,8 @@ def canonical_info(canonical: Column, url: Column) -> Column:
     same = F.rtrim(target, F.lit("/")) == F.rtrim(url, F.lit("/"))
     raw = canonical["raw"]
     return F.struct(
+        raw.alias("declared"),
+        url.alias("page_url"),
         target.alias("resolved"),
         canonical.isNotNull().alias("present"),
         F.coalesce(same, F.lit(False)).alias("self_referencing"),
@@ -86,11 +88,12 @@ def canonical_info(canonical: Column, url: Column) -> Column:
 
 def index_follow(metas: Column, x_robots_tag: Column) -> Column:
     """Directives of both metas and the header, and what they amount to."""
-    parts = [
-        non_empty(meta_value(metas, "name", "robots")),
-        non_empty(meta_value(metas, "name", "googlebot")),
-        non_empty(x_robots_tag),
-    ]
+    given = {
+        "robots_meta": meta_value(metas, "name", "robots"),
+        "googlebot_meta": meta_value(metas, "name", "googlebot"),
+        "x_robots_tag": x_robots_tag,
+    }
+    parts = [non_empty(c) for c in given.values()]
     words = F.filter(
         F.transform(F.split(F.concat_ws(",", *parts), ","), lambda w: F.lower(strip(w))), lambda w: w != ""
     )
@@ -99,6 +102,7 @@ def index_follow(metas: Column, x_robots_tag: Column) -> Column:
         indexable = ~F.array_contains(d, "noindex") & ~F.array_contains(d, "none")
         followable = ~F.array_contains(d, "nofollow") & ~F.array_contains(d, "none")
         return F.struct(
+            *[c.alias(n) for n, c in given.items()],
             d.alias("directives"), indexable.alias("indexable"), followable.alias("followable"),
             F.concat(
                 F.when(indexable, F.lit("index")).otherwise(F.lit("noindex")), F.lit(", "),
@@ -116,10 +120,11 @@ def existing_types(jsonld: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(blocks, declared_types)))
 
 
-def page_inventory(pages: DataFrame) -> DataFrame:
-    """All extracts of a page as one nested row.
+def inventory_column() -> Column:
+    """All extracts of a page as one nested value.
 
-    pages carries metas, canonical, blocks, images, jsonld and the outline.
+    Over metas, canonical, blocks, images, the outline (see ``structure_outline``),
+    the suggestion (see ``with_suggestion``), url and x_robots_tag.
     """
     heads = F.filter("blocks", lambda b: b["tag"] != "p")
     described = F.transform(
@@ -130,13 +135,17 @@ def page_inventory(pages: DataFrame) -> DataFrame:
             m["width"].alias("width"), m["height"].alias("height"), m["loading"].alias("loading"),
         ),
     )
-    return pages.select(
-        "page_id",
+    return F.struct(
         F.struct(heads.alias("blocks"), *content_counts(F.col("blocks"), K.HEADING_TAGS)).alias("content"),
-        "outline",
-        F.struct(alt_summary(F.col("images")).alias("summary"), described.alias("images")).alias("alt"),
-        existing_types(F.col("jsonld")).alias("existing_types"),
+        F.col("outline").alias("outline"),
+        F.struct(alt_summary(F.col("images")).alias("summary"), described.alias("images")).alias("images"),
+        F.col("suggestion").alias("schema"),
         meta_inventory(F.col("metas")).alias("meta_tags"),
         canonical_info(F.col("canonical"), F.col("url")).alias("canonical"),
         index_follow(F.col("metas"), F.col("x_robots_tag")).alias("index_follow"),
     )
+
+
+def page_inventory(pages: DataFrame) -> DataFrame:
+    """(page_id, inventory); see ``inventory_column`` for what ``pages`` carries."""
+    return pages.select("page_id", inventory_column().alias("inventory"))

@@ -136,7 +136,7 @@ def with_probes(
     )
     return df.withColumn(
         "packs", F.when(F.col("ok"), F.concat("packs", more)).otherwise(F.col("packs"))
-    ).drop("f_assets", "f_links", "static_links")
+    ).drop("f_assets", "f_links", "static_links", "links", "images")
 
 
 def all_findings(packs: Column) -> Column:

@@ -206,7 +206,7 @@ ITEM_RULES = {
 
 
 def qa_checklist(audited: DataFrame, findings: Column, sitemap: DataFrame) -> DataFrame:
-    """audited(page_id, url, headings, ...) → one row per page and the share passed."""
+    """audited(page_id, url, has_h2, ...) → one row per page and the share passed."""
     names = F.array_distinct(F.transform(findings, lambda f: f["rule"]))
     listed = sitemap.select("url").distinct().withColumn("_listed", F.lit(True))
     df = audited.withColumn("_rules", names).join(listed, ["url"], "left")
@@ -214,7 +214,7 @@ def qa_checklist(audited: DataFrame, findings: Column, sitemap: DataFrame) -> Da
         item: ~F.arrays_overlap("_rules", F.array(*[F.lit(r) for r in rules]))
         for item, rules in ITEM_RULES.items()
     }
-    items["h2"] = F.exists("headings", lambda h: h["level"] == 2)
+    items["h2"] = F.col("has_h2")
     items["sitemap"] = F.col("_listed").isNotNull()
     done = df.select("page_id", *[items[i].alias(i) for i in K.CHECKLIST_ITEMS])
     passed = sum((F.col(i).cast("int") for i in K.CHECKLIST_ITEMS), F.lit(0))

@@ -173,8 +173,8 @@ def faq_page() -> Column:
     return F.when(F.size("faq") >= 2, node("FAQPage", question_nodes(F.col("faq")).alias("mainEntity")))
 
 
-def suggest_graph(values: DataFrame) -> DataFrame:
-    """page_id, suggested types, notes and the whole @graph as JSON."""
+def _suggested(values: DataFrame) -> DataFrame:
+    """The values with ``declared``, ``suggested``, ``notes`` (arrays) and ``json_ld``."""
     parts = {
         "Organization": organization(), "WebPage": web_page(), "BreadcrumbList": breadcrumb_list(),
         "Article": article(), "FAQPage": faq_page(),
@@ -203,9 +203,22 @@ def suggest_graph(values: DataFrame) -> DataFrame:
         F.array_join(F.array_compact(F.array(*[F.col("j_" + k) for k in parts])), ","),
         F.lit("]}"),
     )
-    return df.select(
+    return df.select(*values.columns, "suggested", notes.alias("notes"), graph.alias("json_ld"))
+
+
+def with_suggestion(pages: DataFrame) -> DataFrame:
+    """Page rows with the extracts of ``PARTS`` → the same with ``suggestion``."""
+    df = _suggested(staged(pages, pages.columns, _value_columns()))
+    suggestion = F.struct(
+        F.col("declared").alias("existing_types"), F.col("suggested").alias("suggested_types"), "notes", "json_ld"
+    )
+    return df.select(*pages.columns, suggestion.alias("suggestion"))
+
+
+def suggest_graph(values: DataFrame) -> DataFrame:
+    """page_id, suggested types, notes and the whole @graph as JSON."""
+    return _suggested(values).select(
         "page_id", F.array_join("declared", ",").alias("existing_types"),
         F.array_join("suggested", ",").alias("suggested_types"),
-        F.array_join(notes, " ").alias("notes"), graph.alias("json_ld"),
+        F.array_join("notes", " ").alias("notes"), "json_ld",
     )
-

@@ -11,9 +11,12 @@ from sitegrain.operators import inventory as I
 from sitegrain.operators import outline as T
 from sitegrain.operators import probes as P
 from sitegrain.operators import rules as R
+from sitegrain.operators import results as S
 from sitegrain.operators import scoring as C
+from sitegrain.operators import suggest as G
 from sitegrain.operators.extract import extract
 from sitegrain.plans import oracle_base as O
+from sitegrain.plans import q_text as Q
 from sitegrain.plans.oracle_base import with_extracts
 from sitegrain.plans.oracle_rules import SELECTS, pack_ctes
 from sitegrain.plans.q_extract import audit_pages
@@ -240,16 +243,16 @@ def _(spark, sf):
 # --- scores -----------------------------------------------------------------
 
 
-def full_audit(spark, sf):
-    """One row per response with all its packs."""
-    audited = materialised(
-        C.audit_markup(X.pages_aug(spark, sf), ("links", "images", "headings", "metas", "canonical", "title"))
-    )
+def full_audit(spark, sf, *results):
+    """One row per response with all its packs, and the facts of the results asked for."""
+    names = list(results) or ["packs"]
+    audited = materialised(S.audited_rows(X.pages_aug(spark, sf), names))
     ok = audited.filter("ok")
+    measured = S.needs_of_results(names)[2]
     links = P.probe_findings(P.checked_links(ok, link_status(ok)), P.LINK_PROBE_RULES)
-    stats = P.asset_stat_columns()
-    assets = P.probe_findings(P.measured_assets(ok, asset_sizes(ok)), P.ASSET_RULES).withColumns(stats)
-    return C.with_probes(audited, links, assets, tuple(stats))
+    assets = P.measured_assets(ok, asset_sizes(ok))
+    assets = P.probe_findings(assets, P.ASSET_RULES).withColumns({k: c for k, c in P.asset_stat_columns().items() if k in measured})
+    return C.with_probes(audited, links, assets, tuple(measured))
 
 
 _MARKUP = [i for i in SELECTS]
@@ -349,16 +352,19 @@ def _(spark, sf):
     return df.select("page_id", "s.total", "s.coverage")
 
 
-@query("meta_inventory", with_extracts("""SELECT page_id, ord,
+META_INVENTORY = """SELECT page_id, ord,
  CASE WHEN coalesce(a_name, '') <> '' THEN 'name' WHEN coalesce(a_property, '') <> '' THEN 'property' WHEN coalesce(a_equiv, '') <> '' THEN 'http-equiv' WHEN coalesce(a_itemprop, '') <> '' THEN 'itemprop' WHEN a_charset IS NOT NULL THEN 'charset' ELSE 'other' END AS kind,
  coalesce(nullif(a_name, ''), nullif(a_property, ''), nullif(a_equiv, ''), nullif(a_itemprop, ''), CASE WHEN a_charset IS NOT NULL THEN 'charset' ELSE '(no name/property)' END) AS key,
- CASE WHEN coalesce(nullif(a_name, ''), nullif(a_property, ''), nullif(a_equiv, ''), nullif(a_itemprop, '')) IS NOT NULL THEN coalesce(a_content, '') WHEN a_charset IS NOT NULL THEN a_charset WHEN len(attrs) = 0 THEN '(empty tag)' ELSE replace(array_to_string(attrs, ', '), '"', '') END AS content FROM meta""", ["meta"]))
+ CASE WHEN coalesce(nullif(a_name, ''), nullif(a_property, ''), nullif(a_equiv, ''), nullif(a_itemprop, '')) IS NOT NULL THEN coalesce(a_content, '') WHEN a_charset IS NOT NULL THEN a_charset WHEN len(attrs) = 0 THEN '(empty tag)' ELSE replace(array_to_string(attrs, ', '), '"', '') END AS content FROM meta"""
+
+
+@query("meta_inventory", with_extracts(META_INVENTORY, ["meta"]))
 def _(spark, sf):
     df = extract(audit_pages(spark, sf), ["metas"])
     return df.select("page_id", F.inline(I.meta_inventory(F.col("metas"))))
 
 
-@query("canonical_info", with_extracts("""SELECT src.page_id, abs AS resolved, h IS NOT NULL AS present, coalesce(rtrim(abs, '/') = rtrim(src.url, '/'), false) AS self_referencing,
+@query("canonical_info", with_extracts("""SELECT src.page_id, h AS declared, src.url AS page_url, abs AS resolved, h IS NOT NULL AS present, coalesce(rtrim(abs, '/') = rtrim(src.url, '/'), false) AS self_referencing,
  coalesce(starts_with(h, 'http://') OR starts_with(h, 'https://'), false) AS is_absolute, coalesce(rtrim(abs, '/') = rtrim(src.url, '/') AND abs <> src.url, false) AS trailing_slash_only
  FROM src LEFT JOIN (SELECT page_id, abs, h FROM canonical) c ON c.page_id = src.page_id""", ["canonical"]))
 def _(spark, sf):
@@ -366,9 +372,9 @@ def _(spark, sf):
     return df.select("page_id", I.canonical_info(F.col("canonical"), F.col("url")).alias("c")).select("page_id", "c.*")
 
 
-@query("index_follow", with_extracts(f"""SELECT page_id, array_to_string(d, ',') AS directives, NOT list_contains(d, 'noindex') AND NOT list_contains(d, 'none') AS indexable, NOT list_contains(d, 'nofollow') AND NOT list_contains(d, 'none') AS followable,
+@query("index_follow", with_extracts(f"""SELECT page_id, robots_meta, googlebot_meta, x_robots_tag, array_to_string(d, ',') AS directives, NOT list_contains(d, 'noindex') AND NOT list_contains(d, 'none') AS indexable, NOT list_contains(d, 'nofollow') AND NOT list_contains(d, 'none') AS followable,
  concat(CASE WHEN list_contains(d, 'noindex') OR list_contains(d, 'none') THEN 'noindex' ELSE 'index' END, ', ', CASE WHEN list_contains(d, 'nofollow') OR list_contains(d, 'none') THEN 'nofollow' ELSE 'follow' END) AS summary, len(d) = 0 AS is_default
- FROM (SELECT src.page_id, list_filter(list_transform(string_split(concat_ws(',', nullif(r.v, ''), nullif(g.v, ''), nullif(x_robots_tag, '')), ','), lambda w: lower({O.strip('w')})), lambda w: w <> '') AS d
+ FROM (SELECT src.page_id, r.v AS robots_meta, g.v AS googlebot_meta, x_robots_tag, list_filter(list_transform(string_split(concat_ws(',', nullif(r.v, ''), nullif(g.v, ''), nullif(x_robots_tag, '')), ','), lambda w: lower({O.strip('w')})), lambda w: w <> '') AS d
  FROM src LEFT JOIN metav r ON r.page_id = src.page_id AND r.key = 'name' AND r.nm = 'robots' LEFT JOIN metav g ON g.page_id = src.page_id AND g.key = 'name' AND g.nm = 'googlebot')""", ["meta"]))
 def _(spark, sf):
     df = extract(audit_pages(spark, sf), ["metas"])
@@ -396,7 +402,7 @@ def _outlined(spark, sf):
 # The stack machine as a walk over the events, one per step; the intervals by
 # comparing nodes, not from the stack.
 _TURN = sorted({*K.STRUCTURAL_TAGS, *K.CLOSES_PARAGRAPH})
-_NODES = f"""
+NODES = f"""
 turn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS i, {O._ATTRS} AS attrs FROM ev WHERE kind <> 'raw' AND tag IN {O.inlist(_TURN)}),
 wk(page_id, i, n, block, st, opens, parent, depth) AS (SELECT page_id, CAST(0 AS BIGINT), 0, '', CAST([] AS STRUCT(ord INT, tag VARCHAR)[]), false, 0, 0 FROM src
  UNION ALL SELECT page_id, i, CASE WHEN opens THEN n + 1 ELSE n END, CASE WHEN kind = 'start' AND tag IN {O.inlist(['p', *K.HEADING_TAGS])} THEN tag WHEN implied OR (kind = 'end' AND block = tag) THEN '' ELSE block END,
@@ -415,7 +421,7 @@ _SELECTOR = "concat(tag, CASE WHEN coalesce(element_id, '') <> '' THEN concat('#
 
 
 def _over_nodes(select: str) -> str:
-    return with_extracts(select, [], extra=_NODES).replace("WITH ", "WITH RECURSIVE ", 1)
+    return with_extracts(select, [], extra=NODES).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("structure_nodes", _over_nodes("SELECT page_id, ord, parent, depth, last, children, tag, element_id, array_to_string(cl, ' ') AS classes, line FROM nd"))
@@ -450,8 +456,39 @@ def _(spark, sf):
     return df.select("page_id", "ord", T.node_selector(F.col("tag"), F.col("element_id"), F.col("classes")).alias("selector"))
 
 
-@query("page_inventory")
+# Every part of the nested row, as columns.
+INVENTORY = f"""SELECT page_id, heads, words, total_nodes, max_depth, kept, images, alt_missing, alt_empty, coverage, existing_types, suggested_types, notes, json_ld, metas, declared, resolved, self_referencing, robots_meta, googlebot_meta, x_robots_tag, follow FROM (
+ SELECT src.page_id, src.x_robots_tag,
+ coalesce((SELECT string_agg(concat(tag, ' ', text), '|' ORDER BY ord) FROM block b WHERE b.page_id = src.page_id AND tag <> 'p'), '') AS heads,
+ CAST(coalesce((SELECT sum(words) FROM block b WHERE b.page_id = src.page_id AND tag <> 'p'), 0) AS INT) AS words,
+ CAST((SELECT count(*) FROM nd WHERE nd.page_id = src.page_id) AS INT) AS total_nodes, CAST(coalesce((SELECT max(depth) FROM nd WHERE nd.page_id = src.page_id), 0) AS INT) AS max_depth,
+ coalesce((SELECT string_agg({_SELECTOR}, ' ' ORDER BY p) FROM kep WHERE kep.page_id = src.page_id), '') AS kept,
+ coalesce((SELECT string_agg(concat(ord, ' ', src, ' ', {_STATE}), '|' ORDER BY ord) FROM image i WHERE i.page_id = src.page_id), '') AS images,
+ {_count('image', 'alt IS NULL')} AS alt_missing, {_count('image', f"{O.strip('alt')} = ''")} AS alt_empty,
+ CAST(coalesce((SELECT round_even(count_if({_STATE} = 'present') * 100.0 / nullif(count(*), 0), 1) FROM image i WHERE i.page_id = src.page_id), 100.0) AS DOUBLE) AS coverage,
+ coalesce((SELECT string_agg(concat(kind, ' ', key, ' ', content), '|' ORDER BY ord) FROM mi WHERE mi.page_id = src.page_id), '') AS metas,
+ c.h AS declared, c.abs AS resolved, coalesce(rtrim(c.abs, '/') = rtrim(src.url, '/'), false) AS self_referencing, r.v AS robots_meta, g.v AS googlebot_meta,
+ concat(CASE WHEN regexp_matches(rb, '(^|,)(noindex|none)(,|$)') THEN 'noindex' ELSE 'index' END, ', ', CASE WHEN regexp_matches(rb, '(^|,)(nofollow|none)(,|$)') THEN 'nofollow' ELSE 'follow' END) AS follow
+ FROM (SELECT src.*, regexp_replace(lower(concat_ws(',', nullif(r.v, ''), nullif(g.v, ''), nullif(x_robots_tag, ''))), '\\s', '', 'g') AS rb FROM src LEFT JOIN metav r ON r.page_id = src.page_id AND r.key = 'name' AND r.nm = 'robots' LEFT JOIN metav g ON g.page_id = src.page_id AND g.key = 'name' AND g.nm = 'googlebot') src
+ LEFT JOIN (SELECT page_id, abs, h FROM canonical) c ON c.page_id = src.page_id LEFT JOIN metav r ON r.page_id = src.page_id AND r.key = 'name' AND r.nm = 'robots' LEFT JOIN metav g ON g.page_id = src.page_id AND g.key = 'name' AND g.nm = 'googlebot') JOIN ({Q.GRAPH_SELECT}) USING (page_id)"""
+
+
+def inventory_sql(select: str) -> str:
+    return with_extracts(select, Q.GRAPH_PARTS, extra=f"{NODES}, mi AS ({META_INVENTORY}), {Q.GRAPH_CTES}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("page_inventory", inventory_sql(INVENTORY))
 def _(spark, sf):
-    df = extract(audit_pages(spark, sf), ["metas", "canonical", "blocks", "images", "jsonld", "nodes"])
-    df = I.page_inventory(T.structure_outline(df))
-    return df.select("page_id", F.to_json(F.struct(*[c for c in df.columns if c != "page_id"])).alias("inventory"))
+    df = G.with_suggestion(extract(audit_pages(spark, sf), ["nodes", *G.PARTS]))
+    df = I.page_inventory(T.structure_outline(df)).select("page_id", "inventory.*")
+    told = lambda array, *fields: F.array_join(F.transform(array, lambda x: F.concat_ws(" ", *[x[f].cast("string") for f in fields])), "|")
+    chosen = F.transform("outline.rows", lambda n: T.node_selector(n["tag"], n["element_id"], n["classes"]))
+    return df.select(
+        "page_id", told("content.blocks", "tag", "text").alias("heads"), F.col("content.total_words").alias("words"),
+        "outline.total_nodes", "outline.max_depth", F.array_join(chosen, " ").alias("kept"), told("images.images", "index", "src", "alt_state").alias("images"),
+        F.col("images.summary.missing").alias("alt_missing"), F.col("images.summary.empty").alias("alt_empty"), "images.summary.coverage",
+        F.array_join("schema.existing_types", ",").alias("existing_types"), F.array_join("schema.suggested_types", ",").alias("suggested_types"),
+        F.array_join("schema.notes", " ").alias("notes"), "schema.json_ld", told("meta_tags", "kind", "key", "content").alias("metas"),
+        "canonical.declared", "canonical.resolved", "canonical.self_referencing",
+        "index_follow.robots_meta", "index_follow.googlebot_meta", "index_follow.x_robots_tag", F.col("index_follow.summary").alias("follow"),
+    )

@@ -10,13 +10,14 @@ from sitegrain import constants as K
 from sitegrain.functions import urls
 from sitegrain.functions.sizes import human_size
 from sitegrain.operators import history as H
-from sitegrain.operators import inventory as I
 from sitegrain.operators import scoring as C
 from sitegrain.operators import site as N
 from sitegrain.operators.extract import extract
 from sitegrain.plans import oracle_base as O
 from sitegrain.plans.oracle_base import with_extracts
-from sitegrain.plans.q_audit import _hs, full_audit, over_findings
+from sitegrain.operators.outline import node_selector
+from sitegrain.plans.q_audit import INVENTORY, META_INVENTORY, NODES, _ds, _hs, full_audit, over_findings
+from sitegrain.plans.q_text import GRAPH_CTES, GRAPH_PARTS, GRAPH_SELECT
 from sitegrain.plans.registry import query
 from sitegrain.session import materialised, shared_dir
 from sitegrain.sources import fixtures as X
@@ -39,42 +40,38 @@ _DASH = f"""SELECT aug.page_id, aug.url, ov.score, CASE WHEN score >= 90 THEN 'g
 
 
 def page_dashboard(audited):
-    """One row per response: scores, counts and the facts shown on top."""
+    """One row per response: scores, counts and the facts shown on top (see ``RESULTS["dashboard"]``)."""
     f = C.all_findings(F.col("packs"))
     score = C.overall(F.col("packs"))
-    alt = I.alt_summary(F.col("images"))
+    none = F.lit(0)
     measured = F.col("images_measured") + F.col("size_unknown") > 0
     html_kb = F.concat(F.bround(F.col("byte_size") / 1024, 0).cast("bigint").cast("string"), F.lit(" KB"))
     return audited.select(
         "page_id", "url", score.alias("score"), C.score_band(score).alias("band"), F.size(f).alias("findings"),
         F.size(F.filter(f, lambda x: x["severity"].isin("critical", "high"))).alias("serious"),
-        F.size("images").alias("images"), (alt["missing"] + alt["empty"]).alias("missing_alt"),
+        F.coalesce("n_images", none).alias("images"), F.coalesce(F.col("alt.missing") + F.col("alt.empty"), none).alias("missing_alt"),
         F.when(measured, human_size(F.col("total_bytes"))).otherwise(html_kb).alias("weight"),
-        F.when(F.col("ok"), I.index_follow(F.col("metas"), F.col("x_robots_tag"))["summary"]).alias("indexable"),
-        F.col("canonical").isNotNull().alias("canonical"),
+        F.col("index.summary").alias("indexable"), F.coalesce("has_canonical", F.lit(False)).alias("canonical"),
         (F.rtrim("url", F.lit("/")) != F.rtrim("requested_url", F.lit("/"))).alias("redirected"),
     )
 
 
 @query("page_dashboard", over_findings(_DASH))
 def _(spark, sf):
-    return page_dashboard(full_audit(spark, sf))
+    return page_dashboard(full_audit(spark, sf, "dashboard"))
 
 
 def report_sections(audited):
-    """(page_id, section, badge, hot) for every section a page's report has."""
+    """(page_id, section, badge, hot) for every section a page's report has (see ``RESULTS["sections"]``)."""
     n_of = lambda m: F.aggregate(
         F.filter("packs", lambda p: p["module"] == m), F.lit(0), lambda acc, p: acc + F.size(p["findings"])
     )
     has = lambda m: F.exists("packs", lambda p: p["module"] == m)
     text = lambda n: F.when(n > 0, n.cast("string")).otherwise(F.lit(""))
-    alt = I.alt_summary(F.col("images"))
-    can = I.canonical_info(F.col("canonical"), F.col("url"))
-    idx = I.index_follow(F.col("metas"), F.col("x_robots_tag"))
+    alt, can, idx = F.col("alt"), F.col("canonical_info"), F.col("index")
     can_ok = can["present"] & can["self_referencing"]
     blocked = ~(idx["indexable"] & idx["followable"])
-    ok, no = F.col("ok"), F.lit(False)
-    over = F.coalesce("over_limit", F.lit(0))
+    ok, no, over = F.col("ok"), F.lit(False), F.col("over_limit")
 
     def section(name, when, badge, hot):
         return F.when(when, F.struct(F.lit(name).alias("section"), badge.alias("badge"), hot.alias("hot")))
@@ -83,13 +80,16 @@ def report_sections(audited):
         section("overview", F.lit(True), F.lit(""), no),
         section("http", has("http"), F.lit("!"), F.lit(True)),
         *[section(m, has(m), text(n_of(m)), n_of(m) > 0) for m in ("seo", "images", "links")],
-        section("headings", ok, F.size("headings").cast("string"), no),
-        section("meta", ok, F.size("metas").cast("string"), no),
+        section("headings", ok, F.col("n_headings").cast("string"), no),
+        section("meta", ok, F.col("n_metas").cast("string"), no),
         section("canonical", ok, F.when(can_ok, F.lit("ok")).otherwise(F.lit("check")), ~can_ok),
         section("alt", ok, (alt["missing"] + alt["empty"]).cast("string"), alt["missing"] > 0),
-        section("image size", ok, over.cast("string"), over > 0),
+        # On every page: "off" where no image sizes were asked for.
+        section("image size", F.lit(True), F.coalesce(over.cast("string"), F.lit("off")), F.coalesce(over > 0, no)),
         section("robots", ok, F.when(blocked, F.lit("blocked")).otherwise(F.lit("ok")), blocked),
+        section("schema", ok, F.col("n_suggested").cast("string"), no),
         section("image weight", n_of("assets") > 0, n_of("assets").cast("string"), F.lit(True)),
+        section("structure", ok, F.col("n_nodes").cast("string"), no),
     ]
     return audited.select("page_id", F.inline(F.array_compact(F.array(*rows))))
 
@@ -106,15 +106,21 @@ _SECTIONS = " UNION ALL ".join([
     "SELECT page_id, 'meta', CAST((SELECT count(*) FROM meta h WHERE h.page_id = s.page_id) AS VARCHAR), false FROM src s",
     "SELECT src.page_id, 'canonical', CASE WHEN coalesce(rtrim(abs, '/') = rtrim(src.url, '/'), false) THEN 'ok' ELSE 'check' END, NOT coalesce(rtrim(abs, '/') = rtrim(src.url, '/'), false) FROM src LEFT JOIN (SELECT page_id, abs FROM canonical) c USING (page_id)",
     f"SELECT page_id, 'alt', CAST((SELECT count(*) FROM image i WHERE i.page_id = s.page_id AND (alt IS NULL OR {O.strip('alt')} = '')) AS VARCHAR), EXISTS (SELECT 1 FROM image i WHERE i.page_id = s.page_id AND alt IS NULL) FROM src s",
+    "SELECT page_id, 'image size', 'off', false FROM aug WHERE page_id NOT IN (SELECT page_id FROM src)",
+    "SELECT page_id, 'schema', CAST(n_suggested AS VARCHAR), false FROM (" + GRAPH_SELECT + ")",
+    "SELECT src.page_id, 'structure', CAST((SELECT count(*) FROM nd WHERE nd.page_id = src.page_id) AS VARCHAR), false FROM src",
     "SELECT page_id, 'image size', CAST(n AS VARCHAR), n > 0 FROM (SELECT page_id, (SELECT count(*) FROM found_asset a WHERE a.page_id = s.page_id AND byte_size > 2621440) AS n FROM src s)",
     "SELECT page_id, 'robots', CASE WHEN b THEN 'blocked' ELSE 'ok' END, b FROM (SELECT src.page_id, regexp_matches(regexp_replace(lower(concat_ws(',', nullif(r.v, ''), nullif(g.v, ''), nullif(x_robots_tag, ''))), '\\s', '', 'g'), '(^|,)(noindex|nofollow|none)(,|$)') AS b FROM src LEFT JOIN metav r ON r.page_id = src.page_id AND r.key = 'name' AND r.nm = 'robots' LEFT JOIN metav g ON g.page_id = src.page_id AND g.key = 'name' AND g.nm = 'googlebot')",
     f"SELECT page_id, 'image weight', CAST(n AS VARCHAR), true FROM (SELECT page_id, {_n('assets')} AS n FROM src s) WHERE n > 0",
 ])
 
 
-@query("report_sections", over_findings(_SECTIONS))
+_RICH = f"{NODES}, {GRAPH_CTES}"
+
+
+@query("report_sections", over_findings(_SECTIONS, GRAPH_PARTS, _RICH).replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
-    return report_sections(full_audit(spark, sf))
+    return report_sections(full_audit(spark, sf, "sections"))
 
 
 # --- cross-page -------------------------------------------------------------
@@ -260,7 +266,7 @@ _ITEMS = {i: _fails(r) for i, r in N.ITEM_RULES.items()} | {
 
 @query("qa_checklist", over_findings(f"SELECT *, CAST(round_even(({' + '.join(f'CAST({i} AS INT)' for i in K.CHECKLIST_ITEMS)}) / 12.0 * 100, 1) AS DOUBLE) AS score FROM (SELECT page_id, {', '.join(f'{_ITEMS[i]} AS {i}' for i in K.CHECKLIST_ITEMS)} FROM src)"))
 def _(spark, sf):
-    audited = full_audit(spark, sf).filter("ok")
+    audited = full_audit(spark, sf, "checklist").filter("ok")
     return N.qa_checklist(audited, C.all_findings(F.col("packs")), X._derived(spark, sf, _SITEMAP, "pages"))
 
 
@@ -381,7 +387,7 @@ def _(spark, sf):
 
 @query("site_rollup", over_findings(f"SELECT host, module, severity, CAST(grouping(host, module, severity) AS INT) AS level, count(*) AS n_findings FROM (SELECT {O.authority('aug.url')} AS host, module, severity FROM fa JOIN aug USING (page_id)) GROUP BY ROLLUP (host, module, severity)"))
 def _(spark, sf):
-    df = full_audit(spark, sf).withColumn("host", urls.authority(F.col("url")))
+    df = full_audit(spark, sf, "hosts").withColumn("host", urls.authority(F.col("url")))
     return H.site_rollup(C.findings_table(df, "host"))
 
 
@@ -402,34 +408,76 @@ def _fresh(spark, name):
     return f"{shared_dir(spark)}/sitegrain-{name}-{uuid.uuid4().hex}"
 
 
-@query("findings_json", over_findings(f"SELECT page_id, coalesce(nullif(title.title, ''), '(no title)') AS page_title, ov.score AS overall_score, CAST(count(fa.rule) AS INT) AS n_findings FROM aug JOIN ov USING (page_id) LEFT JOIN title USING (page_id) LEFT JOIN fa USING (page_id) GROUP BY 1, 2, 3"))
+_JSON = f"""SELECT aug.page_id, requested_url AS url, aug.url AS final_url, status, fetched_at, elapsed_ms, aug.byte_size, coalesce(nullif(title.title, ''), '(no title)') AS page_title, ov.score AS overall_score,
+ {', '.join(f"CAST((SELECT count(*) FROM fa WHERE fa.page_id = aug.page_id AND severity = '{v}') AS INT) AS {v}" for v in K.SEVERITIES)},
+ (SELECT string_agg(concat(module, '=', CAST(score AS INT), ':', n_findings), ',' ORDER BY module) FROM ps WHERE ps.page_id = aug.page_id) AS packs,
+ coalesce((SELECT string_agg(rule, ',' ORDER BY rule) FROM fa WHERE fa.page_id = aug.page_id), '') AS rules,
+ inv.heads, inv.kept, inv.suggested_types, inv.metas, inv.follow,
+ CASE WHEN aug.page_id IN (SELECT page_id FROM src) THEN CAST(coalesce((SELECT sum(f.byte_size) FROM found_asset f WHERE f.page_id = aug.page_id), 0) AS BIGINT) END AS total_bytes,
+ CASE WHEN aug.page_id IN (SELECT page_id FROM src) THEN coalesce((SELECT string_agg(concat(f.src, ' ', {_ds('f.byte_size', 'f.at_least')}, ' ', CASE WHEN f.byte_size > 2621440 THEN 'over' ELSE 'fits' END, CASE WHEN f.error IS NULL THEN '' ELSE concat(' ', f.error) END), '|' ORDER BY coalesce(nullif(f.byte_size, 0), -1) DESC, f.ord) FROM found_asset f WHERE f.page_id = aug.page_id), '') END AS images
+ FROM aug JOIN ov USING (page_id) LEFT JOIN title USING (page_id) LEFT JOIN ({INVENTORY}) inv ON inv.page_id = aug.page_id"""
+
+
+@query("findings_json", over_findings(_JSON, GRAPH_PARTS, _RICH + f", mi AS ({META_INVENTORY})").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
     path = _fresh(spark, "json")
-    sinks.result_json(full_audit(spark, sf)).select("result", "page_id").write.json(path)
+    sinks.result_json(full_audit(spark, sf, "json")).select("result", "page_id").write.json(path)
     back = spark.read.schema("result string, page_id bigint").json(path)
-    r = F.from_json("result", "page_title string, overall_score double, packs array<struct<findings:array<struct<rule:string>>>>")
-    back = back.select("page_id", r.alias("r"))
+    counts = ", ".join(f"{v}: int" for v in K.SEVERITIES)
+    shape = (
+        f"url string, final_url string, status int, fetched_at string, elapsed_ms int, byte_size bigint, page_title string, overall_score double, counts struct<{counts}>, "
+        "packs array<struct<module: string, score: double, findings: array<struct<rule: string>>>>, "
+        "inventory struct<content: struct<blocks: array<struct<tag: string, text: string>>>, outline: struct<rows: array<struct<tag: string, element_id: string, classes: array<string>>>>, "
+        "schema: struct<suggested_types: array<string>>, meta_tags: array<struct<kind: string, key: string, content: string>>, index_follow: struct<summary: string>>, "
+        "image_sizes struct<total_bytes: bigint, images: array<struct<src: string, size: string, over_limit: boolean, error: string>>>"
+    )
+    back = back.select("page_id", F.from_json("result", shape).alias("r")).select("page_id", "r.*")
+    inv = F.col("inventory")
+    told = lambda array, one, by: F.array_join(F.transform(array, one), by)
+    packs = F.array_sort(F.transform("packs", lambda p: F.concat(p["module"], F.lit("="), p["score"].cast("int").cast("string"), F.lit(":"), F.size(p["findings"]).cast("string"))))
+    rules = F.array_sort(F.flatten(F.transform("packs", lambda p: F.transform(p["findings"], lambda f: f["rule"]))))
+    image = lambda i: F.concat_ws(" ", i["src"], i["size"], F.when(i["over_limit"], F.lit("over")).otherwise(F.lit("fits")), i["error"])
     return back.select(
-        "page_id", "r.page_title", "r.overall_score",
-        F.size(F.flatten(F.transform("r.packs", lambda p: p["findings"]))).alias("n_findings"),
+        "page_id", "url", "final_url", "status", "fetched_at", "elapsed_ms", "byte_size", "page_title", "overall_score", "counts.*",
+        F.array_join(packs, ",").alias("packs"), F.array_join(rules, ",").alias("rules"),
+        told(inv["content"]["blocks"], lambda b: F.concat_ws(" ", b["tag"], b["text"]), "|").alias("heads"),
+        told(inv["outline"]["rows"], lambda n: node_selector(n["tag"], n["element_id"], n["classes"]), " ").alias("kept"),
+        F.array_join(inv["schema"]["suggested_types"], ",").alias("suggested_types"),
+        told(inv["meta_tags"], lambda m: F.concat_ws(" ", m["kind"], m["key"], m["content"]), "|").alias("metas"),
+        inv["index_follow"]["summary"].alias("follow"), F.col("image_sizes.total_bytes").alias("total_bytes"),
+        told(F.col("image_sizes.images"), image, "|").alias("images"),
     )
 
 
-@query("findings_export", over_findings("SELECT module, count(*) AS n_csv, count(*) AS n_json, count(*) AS n_markdown FROM fa GROUP BY 1"))
+_FOUND = "SELECT page_id, module, rule, severity, coalesce(CAST(line AS VARCHAR), '') AS line, element, detail, items FROM fa"
+
+
+@query("findings_export", over_findings(f"SELECT 'csv' AS format, * FROM ({_FOUND}) UNION ALL SELECT 'json', * FROM ({_FOUND}) UNION ALL SELECT 'markdown', page_id, module, rule, severity, line, NULL, NULL, NULL FROM ({_FOUND})"))
 def _(spark, sf):
     found = materialised(C.findings_table(full_audit(spark, sf)))
     base = _fresh(spark, "export")
     for fmt in sinks.FORMATS:
         sinks.export_findings(found, f"{base}/{fmt}", fmt, "completed")
+    columns = ["page_id", "module", "rule", "severity", "line", "element", "detail", "items"]
+    shape = "page_id bigint, rule string, severity string, line int, element string, detail string, items int, module string"
+    # An empty text and none are one in a CSV file, unless empty ones are quoted.
     csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{base}/csv")
-    js = spark.read.schema("rule string, module string").json(f"{base}/json")
+    rows = [csv.select(F.lit("csv").alias("format"), *[F.coalesce(F.col(c), F.lit("")).cast(t).alias(c) if c in ("line", "element", "detail") else F.col(c).cast(t).alias(c) for c, t in [(c, "bigint" if c == "page_id" else "int" if c == "items" else "string") for c in columns]])]
+    js = spark.read.schema(shape).json(f"{base}/json")
+    rows.append(js.select(F.lit("json").alias("format"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c == "line" else F.col(c) for c in columns]))
     md = spark.read.text(f"{base}/markdown").filter(F.col("value").startswith("- **"))
-    n = lambda df, name: df.groupBy("module").agg(F.count("*").alias(name))
-    return n(csv, "n_csv").join(n(js, "n_json"), "module").join(n(md, "n_markdown"), "module")
+    cut = lambda pattern: F.regexp_extract("value", pattern, 1)
+    none = F.lit(None).cast("string")
+    rows.append(md.select(
+        F.lit("markdown").alias("format"), cut(r"page (\d+)").cast("bigint").alias("page_id"), "module", cut(r"`([^`]+)`").alias("rule"), cut(r"^- \*\*(\w+)").alias("severity"),
+        cut(r"^[^:]*\(line (\d+)\):").alias("line"), none.alias("element"), none.alias("detail"), F.lit(None).cast("int").alias("items"),
+    ))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 # The store is laid out by scan; here a scan is one day's run over all sites.
-@query("write_scan", f"SELECT scan_id, count(*) AS n_findings, count(DISTINCT (site_id, page_no)) AS n_pages FROM (SELECT *, CAST(date_diff('day', DATE '2000-01-01', scan_day) AS BIGINT) AS scan_id FROM ({X.SCAN_LOG})) GROUP BY 1")
+@query("write_scan", f"""WITH l AS (SELECT *, CAST(date_diff('day', DATE '2000-01-01', scan_day) AS BIGINT) AS scan_id FROM ({X.SCAN_LOG}))
+ SELECT scan_id, site_id, page_no, module, rule, severity, count(*) AS n, (SELECT min(ts) FROM l s WHERE s.scan_id = l.scan_id) AS created_at, (SELECT count(*) FROM (SELECT DISTINCT site_id, page_no FROM l p WHERE p.scan_id = l.scan_id)) AS n_pages FROM l GROUP BY ALL""")
 def _(spark, sf):
     day = F.datediff("scan_day", F.lit("2000-01-01").cast("date")).cast("bigint")
     log = X.scan_log(spark, sf).withColumn("scan_id", day)
@@ -443,9 +491,10 @@ def _(spark, sf):
     # Writing the newest scan again replaces it and leaves the others alone.
     newest = log.agg(F.max("scan_id").alias("scan_id"))
     sinks.write_scan({"findings": tables["findings"].join(newest, "scan_id", "left_semi")}, path)
-    f = spark.read.parquet(f"{path}/findings").groupBy("scan_id").agg(F.count("*").alias("n_findings"))
-    p = spark.read.parquet(f"{path}/pages").groupBy("scan_id").agg(F.count("*").alias("n_pages"))
-    return f.join(p, "scan_id").select(F.col("scan_id").cast("bigint").alias("scan_id"), "n_findings", "n_pages")
+    back = {n: spark.read.parquet(f"{path}/{n}").withColumn("scan_id", F.col("scan_id").cast("bigint")) for n in tables}
+    found = back["findings"].groupBy("scan_id", "site_id", "page_no", "module", "rule", "severity").agg(F.count("*").alias("n"))
+    pages = back["pages"].groupBy("scan_id").agg(F.count("*").alias("n_pages"))
+    return found.join(back["scans"], "scan_id").join(pages, "scan_id")
 
 
 # --- streams ----------------------------------------------------------------

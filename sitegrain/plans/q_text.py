@@ -139,9 +139,14 @@ _NOTES = ", ".join([
 ])
 
 
-@query("suggest_graph", with_extracts(f"""SELECT page_id, array_to_string(ex, ',') AS existing_types, array_to_string(sg, ',') AS suggested_types,
+GRAPH_PARTS = [*_PARTS, "jsonld"]
+GRAPH_CTES = O.SCHEMA_TYPES.strip() + "," + _VALUES.strip() + "," + _GRAPH
+GRAPH_SELECT = f"""SELECT page_id, array_to_string(ex, ',') AS existing_types, array_to_string(sg, ',') AS suggested_types, len(sg) AS n_suggested,
  array_to_string(list_filter([{_NOTES}], lambda z: z IS NOT NULL), ' ') AS notes,
- concat('{{"@context":"https://schema.org","@graph":[', array_to_string(list_filter([j0, j1, j2, j3, j4], lambda z: z IS NOT NULL), ','), ']}}') AS json_ld FROM gg""", [*_PARTS, "jsonld"], extra=O.SCHEMA_TYPES.strip() + "," + _VALUES.strip() + "," + _GRAPH))
+ concat('{{"@context":"https://schema.org","@graph":[', array_to_string(list_filter([j0, j1, j2, j3, j4], lambda z: z IS NOT NULL), ','), ']}}') AS json_ld FROM gg"""
+
+
+@query("suggest_graph", with_extracts(f"SELECT * EXCLUDE (n_suggested) FROM ({GRAPH_SELECT})", GRAPH_PARTS, extra=GRAPH_CTES))
 def _(spark, sf):
     return G.suggest_graph(_values(spark, sf))
 

@@ -89,6 +89,7 @@ PAGES_AUG = f"""SELECT page_id,
  CAST(CASE page_id % 29 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS INT) AS status,
  CASE WHEN page_id % 31 = 0 THEN 'application/json' WHEN page_id % 31 = 1 THEN 'Text/HTML' ELSE 'text/html; charset=utf-8' END AS content_type,
  CASE WHEN page_id % 15 = 4 THEN 'noindex' WHEN page_id % 15 = 5 THEN 'max-snippet:5' ELSE NULL END AS x_robots_tag,
+ concat('2026-01-', CAST(10 + page_id % 20 AS STRING), 'T00:00:00+00:00') AS fetched_at,
  CAST(50 + page_id % 400 AS INT) AS elapsed_ms,
  CAST(length(html) AS BIGINT) AS byte_size,
  replace(replace(replace(replace(replace(html,

@@ -129,3 +129,16 @@ def test_registered_pack_is_evaluated(spark):
         assert packs["custom"].n_findings == 1 and packs["custom"].score < 100
     finally:
         del R.RULES["x.no-footer"], R.PACKS["custom"]
+
+
+def test_a_request_writes_its_own_facts_only(spark):
+    from sitegrain.operators import results as S
+    from sitegrain.sources.fixtures import pages_aug
+
+    pages = pages_aug(spark, SF)
+    df = S.audited_rows(pages, ["packs"])
+    assert df.columns == ["page_id", "ok", "packs", "static_links", "links", "images"]
+    assert set(df.schema["links"].dataType.elementType.names) == set(S.LINK_FIELDS)
+    assert set(S.audited_rows(pages, ["dashboard"]).columns) - set(df.columns) == {"url", "requested_url", "byte_size", "n_images", "alt", "index", "has_canonical"}
+    written = df._jdf.queryExecution().analyzed().output().mkString(" ")
+    assert not any(f"{c}#" in written for c in ("headings", "metas", "title", "canonical", "blocks"))
