@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sitegrain.functions.columns import let
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
+#: Blanks and controls before an address.
+_LEADING = "".join(map(chr, range(33)))
 _PREFIX = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?"
 
 
@@ -66,73 +68,81 @@ def base() -> dict[str, Column]:
 
 
 def _without_dots(p: Column) -> Column:
-    """Dot segments of an absolute path resolved; ``p`` is a bound variable."""
-    walked = F.aggregate(
-        F.split(p, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-        lambda acc: F.regexp_replace(F.concat(F.lit("/"), F.array_join(acc, "/")), "^//", "/"),
-    )
-    dir_like = p.rlike(r"/\.\.?$")
-    full = let(
-        walked,
-        lambda w: F.when(dir_like & ~w.endswith("/"), F.concat(w, F.lit("/"))).otherwise(w),
+    """Dot segments of a path resolved; ``p`` is a bound variable."""
+
+    def walked(parts: Column) -> Column:
+        kept = F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        ends = F.try_element_at(parts, F.lit(-1)).isin(".", "..")
+        whole = F.array_join(F.when(ends, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+        return let(whole, lambda w: F.when(w.startswith("/"), w).otherwise(F.concat(F.lit("/"), w)))
+
+    return F.when(p.rlike(r"(?:^|/)\.\.?(?:/|$)"), let(F.split(p, "/"), walked)).otherwise(p)
+
+
+def _pieces(rest: Column) -> Column:
+    """What follows the host: struct(path, params, query, fragment); only the last segment has parameters."""
+    path = F.regexp_extract(rest, r"^[^?#]*", 0)
+    name = F.substring_index(path, "/", -1)
+    at = F.instr(name, ";")
+    params = F.when(at > 0, F.substr(name, at + 1)).otherwise(F.lit(""))
+    before = F.when(at > 0, F.left(path, F.length(path) - F.length(name) + at - 1)).otherwise(path)
+    return F.struct(
+        before.alias("path"), params.alias("params"),
+        F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"), F.regexp_extract(rest, r"(?s)^[^#]*#(.*)$", 1).alias("fragment"),
     )
-    return F.when(F.contains(p, F.lit("/.")), full).otherwise(p)
 
 
-def _tidy(u: Column) -> Column:
-    """An empty query or fragment leaves no mark; ``u`` is a bound variable."""
-    tidy = F.replace(u, F.lit("?#"), F.lit("#"))
-    tidy = F.regexp_replace(tidy, "#$", "")
-    tidy = F.regexp_replace(tidy, r"\?$", "")
-    return F.when(u.rlike(r"[?#]$|\?#"), tidy).otherwise(u)
+def _put(mark: str, part: Column) -> Column:
+    """A part with its mark; an empty one leaves none."""
+    return F.when(part == "", F.lit("")).otherwise(F.concat(F.lit(mark), part))
 
 
 def resolve(href: Column, base: dict[str, Column]) -> Column:
-    """RFC 3986 reference resolution of ``href`` against the page's base columns."""
-
-    def relative(rel: Column, p: Column, tail: Column) -> Column:
-        here = F.concat(
-            base["origin"],
-            base["path"],
-            # An empty query counts as none and leaves the page's own.
-            F.when(tail.rlike(r"^\?[^#]"), tail).otherwise(
-                F.concat(base["query"], F.regexp_replace(tail, r"^\?", ""))
+    """RFC 3986 reference resolution of ``href`` against the page's base columns.
+
+    As the usual joins of web libraries have it: empty queries, fragments and
+    parameters leave no mark, an empty host is the page's, and empty segments within a
+    relative path are passed over.
+    """
+
+    def joined(rel: Column, host: Column, r: Column) -> Column:
+        tail = lambda params, query: F.concat(_put(";", params), _put("?", query), _put("#", r["fragment"]))
+        here = let(
+            _pieces(base["path"]),
+            lambda b: F.concat(
+                base["origin"], b["path"],
+                tail(b["params"], F.when(r["query"] != "", r["query"]).otherwise(F.substr(base["query"], F.lit(2)))),
             ),
         )
-        target = F.when(p.startswith("/"), p).otherwise(
-            F.regexp_replace(F.concat(base["dir"], p), "/{2,}", "/")
-        )
+        under = F.regexp_replace(F.concat(base["dir"], r["path"]), "/{2,}", "/")
+        target = F.when(r["path"].startswith("/"), r["path"]).otherwise(under)
         return (
-            F.when(rel.startswith("//"), F.concat(base["scheme"], F.lit(":"), rel))
-            .when(p == "", here)
-            .otherwise(F.concat(base["origin"], let(target, _without_dots), tail))
+            F.when(host != "", F.concat(base["scheme"], F.lit("://"), host, r["path"], tail(r["params"], r["query"])))
+            .when((r["path"] == "") & (r["params"] == ""), here)
+            .otherwise(F.concat(base["origin"], let(target, _without_dots), tail(r["params"], r["query"])))
         )
 
     def cut(rel: Column) -> Column:
-        size = F.length(F.regexp_extract(rel, r"^[^?#]*", 0))
-        return let(
-            F.struct(
-                F.substring(rel, F.lit(1), size).alias("p"),
-                F.substr(rel, size + 1).alias("tail"),
-            ),
-            lambda s: relative(rel, s["p"], s["tail"]),
-        )
+        host = F.regexp_extract(rel, r"^//([^/?#]*)", 1)
+        rest = F.when(rel.startswith("//"), F.substr(rel, F.length(host) + 3)).otherwise(rel)
+        return let(F.struct(host.alias("host"), let(rest, _pieces).alias("r")), lambda x: joined(rel, x["host"], x["r"]))
 
     def bound(h: Column) -> Column:
         # "http:path" with the page's own scheme counts as relative.
         own = scheme(h)
         rel = F.when(own != "", F.substr(h, F.length(own) + 2)).otherwise(h)
         return (
-            F.when(h == "", base["url"])
+            F.when(href == "", base["url"])
             .when((own != "") & (own != base["scheme"]), href)
-            .otherwise(let(let(rel, cut), _tidy))
+            .otherwise(let(rel, cut))
         )
 
-    return let(F.ltrim(F.translate(href, "\t\r\n", "")), bound)
+    return let(F.ltrim(F.translate(href, "\t\r\n", ""), F.lit(_LEADING)), bound)
 
 
 def link_scope(href: Column, page_host: Column) -> Column:

@@ -214,3 +214,18 @@ def test_headers_in_any_case(spark):
     r = load_responses(df).first()
     assert (r.content_type, r.x_robots_tag, r.is_html) == ("text/html; charset=x", "none", True)
     assert sorted(r.headers) == ["content-type", "x-robots-tag"]
+
+
+def test_references_resolve_like_the_standard_join(spark):
+    import random
+    from urllib.parse import urljoin
+
+    rng = random.Random(11)
+    bits = ["a", "b.html", ";", ";p=1", "/", "//", "///", "..", ".", "../", "./", "?", "?q=1", "#", "#f", "=", "é", "http:", "HTTPS:", "mailto:", "//h.test", "https://o.test", " ", "\t", ":", "1"]
+    refs = ["", " ", "a;", "///a", "..;#;", "#//b=1#", "?", "#", ";", "/.//b", "/a//.", "../../..", "//", "?#", "a?b?c#d#e", "/;x", "http:;"]
+    refs += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 6))) for _ in range(3000)]
+    bases = ["https://x.test", "https://x.test/", "http://x.test/a/b;p/c;q?r=1#s", "https://x.test/a//b/?", "https://x.test:8/d/e.html"]
+    rows = [(b, r) for r in refs for b in [rng.choice(bases)]] + [(b, r) for b in bases for r in refs[:17]]
+    df = staged(spark.createDataFrame(rows, "b string, r string"), ["b", "r"], urls.base_parts(F.col("b")))
+    got = df.select("b", "r", urls.resolve(F.col("r"), urls.base()).alias("u")).collect()
+    assert [(x.b, x.r, x.u, urljoin(x.b, x.r)) for x in got if x.u != urljoin(x.b, x.r)] == []
