@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitegrain.constants import SPACE_CLASS, SPACES
+from sitegrain.functions.columns import let
 
 _SEP = "\x1e"
 
@@ -36,8 +38,7 @@ def quoted(values: list[str]) -> list[Column]:
 # Character references.  The table is the standard one of HTML 5, read from the
 # standard library; names that also decode without their semicolon are those
 # the table lists without it.
-_LEGACY = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
-_LEGACY_PREFIX = "^&(" + "|".join(_LEGACY) + ")"
+_LEGACY_LENGTHS = sorted({len(n) for n in html5 if not n.endswith(";")}, reverse=True)
 _COMMON = {"&amp;": "&", "&amp": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0"}
 _PIECE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
 # C1 controls written as numbers mean their Windows-1252 characters.
@@ -46,11 +47,25 @@ _C1 = {
 }
 
 
-def _entity_table() -> Column:
-    names = sorted(html5)
-    keys = F.split(F.lit(_SEP.join("&" + n for n in names)), _SEP)
-    values = F.split(F.lit(_SEP.join(html5[n] for n in names)), _SEP)
-    return F.map_from_arrays(keys, values)
+_BUCKETS, _NEXT, _IS = 1024, "\x1d", "\x1f"
+
+
+def _bucket_texts() -> str:
+    """The names dealt by their checksum: each bucket a text of name and value pairs, a few each."""
+    buckets: list[str] = [_SEP] * _BUCKETS
+    for name in sorted(html5):
+        buckets[zlib.crc32(f"&{name}".encode()) % _BUCKETS] += f"&{name}{_IS}{html5[name]}{_SEP}"
+    return _NEXT.join(buckets)
+
+
+_TABLE = _bucket_texts()
+
+
+def _looked_up(name: Column) -> Column:
+    """Value of a reference by its name, NULL if there is none: one array access and a search of a few pairs."""
+    bucket = F.get(F.split(F.lit(_TABLE), _NEXT), F.pmod(F.crc32(F.encode(name, "UTF-8")), F.lit(_BUCKETS)).cast("int"))
+    key = F.concat(F.lit(_SEP), name, F.lit(_IS))
+    return let(bucket, lambda b: F.when(F.contains(b, key), F.split_part(F.split_part(b, key, F.lit(2)), F.lit(_SEP), F.lit(1))))
 
 
 def _code_point(n: Column) -> Column:
@@ -83,16 +98,12 @@ def _numeric(piece: Column) -> Column:
 
 
 def _named(piece: Column) -> Column:
-    known = F.try_element_at(_entity_table(), piece)
-    prefix = F.regexp_extract(piece, _LEGACY_PREFIX, 0)
-    by_prefix = F.when(
-        prefix != "",
-        F.concat(
-            F.try_element_at(_entity_table(), prefix),
-            F.substr(piece, F.length(prefix) + 1),
-        ),
-    )
-    return F.coalesce(known, by_prefix, piece)
+    """A whole name, or the longest beginning that is known without its semicolon."""
+    begun = [
+        F.when(F.length(piece) > n, F.concat(_looked_up(F.left(piece, F.lit(n + 1))), F.substr(piece, F.lit(n + 2))))
+        for n in _LEGACY_LENGTHS
+    ]
+    return F.coalesce(_looked_up(piece), *begun, piece)
 
 
 def unescape(c: Column) -> Column:

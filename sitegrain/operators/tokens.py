@@ -20,7 +20,9 @@ from sitegrain.functions import urls
 from sitegrain.functions.columns import fold_emitting, let, remembered, staged
 from sitegrain.functions.text import strip, unescape
 
-_OPEN, _CLOSE, _OFF, _STRAY = "\x01", "\x02", "\x03", "\x04"
+_OPEN, _CLOSE, _OFF, _STRAY, _OWN = "\x01", "\x02", "\x03", "\x04", "\x05"
+#: How a page's own characters of these are written while it is marked, the last first.
+_WRITTEN = {_OWN: _OWN + "e", _OPEN: _OWN + "a", _CLOSE: _OWN + "b", _OFF: _OWN + "c", _STRAY: _OWN + "d"}
 _MARK = r"\x01\d+\x02"
 
 def token_pattern(mark: str = "", off: str = "", many: str = "*+") -> str:
@@ -42,11 +44,23 @@ def token_pattern(mark: str = "", off: str = "", many: str = "*+") -> str:
 ATTRIBUTE = r"""[^\s/>][^\s/=>]*(?:\s*=+\s*(?:'[^']*'|"[^"]*"|[^>\s"'][^>\s]*)?)?"""
 
 
+def _written(c: Column) -> Column:
+    for own, text in _WRITTEN.items():
+        c = F.replace(c, F.lit(own), F.lit(text))
+    return c
+
+
+def _read(c: Column) -> Column:
+    """The page's own characters again."""
+    read = c
+    for own, text in reversed(_WRITTEN.items()):
+        read = F.replace(read, F.lit(text), F.lit(own))
+    return F.when(F.contains(c, F.lit(_OWN)), read).otherwise(c)
+
+
 def _marked(html: Column) -> Column:
     """Every '<' followed by its line number between two control characters."""
-    # The two marks themselves are replaced where a page holds them.
-    own = html.rlike("[\x01-\x04]")
-    plain = F.when(own, F.translate(html, _OPEN + _CLOSE + _OFF + _STRAY, "�" * 4)).otherwise(F.coalesce(html, F.lit("")))
+    plain = F.when(html.rlike("[\x01-\x05]"), _written(html)).otherwise(F.coalesce(html, F.lit("")))
     lines = F.split(plain, "\n")
     text = F.array_join(
         F.transform(
@@ -91,7 +105,7 @@ def _disarming(opener: str, closer: str):
 
 
 def unmarked(c: Column) -> Column:
-    return F.when(c.rlike("[\x01-\x04]"), F.regexp_replace(c, _MARK + "|[\x03\x04]", "")).otherwise(c)
+    return F.when(c.rlike("[\x01-\x05]"), let(F.regexp_replace(c, _MARK + "|[\x03\x04]", ""), _read)).otherwise(c)
 
 
 def raw_tokens(html: Column) -> Column:
@@ -199,7 +213,7 @@ def _visible() -> Column:
 
     def one(t: Column) -> Column:
         plain = F.replace(t, F.lit(_STRAY), F.lit(""))
-        text = F.when(~t.startswith("<"), let(plain, unescape)).when(
+        text = F.when(~t.startswith("<"), let(let(plain, _read), unescape)).when(
             t.rlike(r"^<\x01\d+\x02$"), F.lit("<")
         )
         return F.coalesce(text, F.lit(""))
@@ -307,7 +321,7 @@ def tokens(pages: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.when(
             kind.isin("start", "end", "raw"),
-            F.lower(F.regexp_extract(rest, r"^/?\s*([a-zA-Z][^\s/>]*)", 1)),
+            F.lower(_read(F.regexp_extract(rest, r"^/?\s*([a-zA-Z][^\s/>]*)", 1))),
         ).alias("tag"),
         F.regexp_extract(t, r"^<\x01(\d+)\x02", 1).try_cast("int").alias("line"),
         unmarked(t).alias("token"),
