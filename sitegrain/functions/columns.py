@@ -34,10 +34,12 @@ def remembered(fn: Callable) -> Callable:
 
     @functools.wraps(fn)
     def wrapper(*args):
-        key = (id(SparkContext._gateway), args)
-        if key not in kept:
-            kept[key] = fn(*args)
-        return kept[key]
+        if kept.get("gateway") is not SparkContext._gateway:  # columns of a gone JVM are of no use
+            kept.clear()
+            kept["gateway"] = SparkContext._gateway
+        if args not in kept:
+            kept[args] = fn(*args)
+        return kept[args]
 
     return wrapper
 

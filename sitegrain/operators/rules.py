@@ -500,8 +500,12 @@ def flat(findings: DataFrame) -> DataFrame:
 
 
 def register_pack(name: str, weight_label: str, rules: list[Rule]) -> None:
-    """Extension point: a pack of further rules, evaluated and scored like the others."""
+    """Extension point: a pack of further rules, evaluated and scored like the others.
+
+    Registered again, a pack replaces what it was.
+    """
     K.PACK_LABELS[name] = weight_label
-    for r in rules:
-        RULES[r.id] = r
-        PACKS.setdefault(name, []).append(r.id)
+    for gone in PACKS.get(name, []):
+        RULES.pop(gone, None)
+    RULES.update({r.id: r for r in rules})
+    PACKS[name] = [r.id for r in rules]

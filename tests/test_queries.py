@@ -119,6 +119,7 @@ def test_registered_pack_is_evaluated(spark):
 
     mine = R.Rule("x.no-footer", "custom", "low", ("title",), "No title at all", "Add one.", lambda r: R.once(F.col("title").isNull(), R.finding(r)))
     R.register_pack("custom", "Custom", [mine])
+    R.register_pack("custom", "Custom", [mine])  # again: replaced, not scored twice
     try:
         df = spark.createDataFrame([(1, "https://a.test/", "x")], "page_id bigint, url string, html string")
         assert [r.rule for r in R.rule_rows(df, "x.no-footer").collect()] == ["x.no-footer"]
