@@ -26,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,7 @@ _TOKEN = re.compile(
     re.I | re.S,
 )
 _ATTR = re.compile(r"(class|id|role|aria-label|aria-hidden|style|hidden|data-y|type)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 BLOCK = frozenset(
     "html body div p article main section header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
@@ -62,6 +64,8 @@ NOT_ARTICLE = frozenset(
 ARTICLE = frozenset("article content main post entry story body text blog articlebody prose".split())
 NOT_TAGS = frozenset("nav header footer aside form menu dialog head fieldset".split())
 ART_TAGS = frozenset(("article", "main"))
+#: Elements that hold the article or the page: a word in their names tells of the site, not of what they are.
+WHOLE = frozenset("html body article main".split())
 #: Inline elements that tell against the article by their name.
 FURNITURE = frozenset("select datalist noscript template iframe canvas object audio video".split())
 _KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "ul": 4, "ol": 4, "dl": 4, "table": 5, "tr": 5, "td": 6, "th": 6, "div": 7, "section": 7, "article": 8, "main": 8, "nav": 9, "header": 10, "footer": 11, "aside": 12, "form": 13, "blockquote": 14, "pre": 14, "body": 15, "html": 15}
@@ -70,7 +74,9 @@ _KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3,
 class Page:
     """Nodes of a page in reading order, as lists; text pieces as (node, block, text)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, labelled: bool = False):
+        """``labelled``: a composed page, whose data-y attributes are its truth."""
+        self.labelled = labelled
         self.tag: list[str] = ["#page"]
         self.parent, self.depth, self.end = [0], [0], [0]
         self.bad, self.good, self.label = [0], [0], [-1]
@@ -81,6 +87,12 @@ class Page:
     def read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]
         at, block, anchors = 0, 0, 0
+        opened: Counter[str] = Counter()
+
+        def cut(depth: int) -> None:
+            opened.subtract(t for t, _ in stack[depth:])
+            del stack[depth:]
+
         for m in _TOKEN.finditer(source):
             text = m[5]
             if text is not None:
@@ -96,15 +108,15 @@ class Page:
                 continue
             tag = tag.lower()
             if m[2]:
+                if opened[tag] <= 0:
+                    continue
                 depth = len(stack) - 1
-                while depth and stack[depth][0] != tag:
+                while stack[depth][0] != tag:
                     depth -= 1
-                if not depth:
-                    continue
                 anchors -= sum(t == "a" for t, _ in stack[depth:])
                 if tag in BLOCK or any(t in BLOCK for t, _ in stack[depth:]):
                     block += 1
-                del stack[depth:]
+                cut(depth)
                 now = stack[-1][1]
                 while at != now:
                     self.end[at] = len(self.tag)
@@ -134,7 +146,7 @@ class Page:
                     depth -= 1
                 if depth:
                     anchors -= sum(t == "a" for t, _ in stack[depth:])
-                    del stack[depth:]
+                    cut(depth)
                     now = stack[-1][1]
                     while at != now:
                         self.end[at] = len(self.tag)
@@ -148,13 +160,13 @@ class Page:
                 for a in _ATTR.finditer(attrs):
                     name, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                     if name == "data-y":
-                        label = int(value == "1")
-                    elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "none" in value:
+                        label = int(value == "1") if self.labelled else -1
+                    elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                         bad += 1
                     elif name in ("class", "id", "role", "aria-label"):
                         for w in _SPLIT.split(value):
                             w = w.lower()
-                            bad += w in NOT_ARTICLE
+                            bad += w in NOT_ARTICLE and tag not in WHOLE
                             good += w in ARTICLE
             if is_block or bad or good:
                 here = len(self.tag)
@@ -175,6 +187,7 @@ class Page:
                 continue
             anchors += tag == "a"
             stack.append((tag, at))
+            opened[tag] += 1
         n = len(self.tag)
         while at:
             self.end[at] = n
@@ -205,6 +218,9 @@ class Nodes:
         base = np.repeat(self.start[:-1], sizes)
         cat = lambda name: np.fromiter((x for p in pages for x in getattr(p, name)), np.int64, int(sizes.sum()))
         self.parent, self.end, self.depth = cat("parent") + base, cat("end") + base, cat("depth")
+        by_depth = np.argsort(self.depth, kind="stable")
+        #: Nodes of each depth, from 1 down.
+        self.levels = np.split(by_depth, np.cumsum(np.bincount(self.depth))[:-1])[1:] if len(by_depth) else []
         self.label = cat("label")
         self.tags = [t for p in pages for t in p.tag]
         kind = np.array([_KINDS.get(t, 0) for t in self.tags], np.int64)
@@ -219,8 +235,7 @@ class Nodes:
         all_chars, all_link, all_marks, all_tags, all_inputs = map(below, (chars, link, marks, tags, inputs))
         bad_all, good_all = self.bad + self.not_tag, self.good + self.art_tag
         over_bad, over_good = np.zeros(n), np.zeros(n)
-        for d in range(1, int(self.depth.max(initial=0)) + 1):
-            at = np.flatnonzero(self.depth == d)
+        for at in self.levels:
             up = self.parent[at]
             over_bad[at] = over_bad[up] + (bad_all[up] > 0)
             over_good[at] = over_good[up] + (good_all[up] > 0)
@@ -246,14 +261,13 @@ class Nodes:
         """Labels: a given one, else by tag and attribute words, else as above; what holds an article part is kept."""
         own = np.where(self.label >= 0, self.label, np.where((self.bad + self.not_tag) > 0, 0, np.where((self.good + self.art_tag) > 0, 1, -1)))
         out = np.zeros(len(own), np.int64)
-        for d in range(1, int(self.depth.max(initial=0)) + 1):
-            at = np.flatnonzero(self.depth == d)
+        for at in self.levels:
             up = out[self.parent[at]]
             out[at] = np.where(own[at] == 0, 0, np.where(own[at] == 1, 1, up))
             out[at[(own[self.parent[at]] == 0) & (up == 0) & ~self.root[self.parent[at]]]] = 0
         holds = out > 0
-        for d in range(int(self.depth.max(initial=0)), 0, -1):
-            at = np.flatnonzero((self.depth == d) & holds)
+        for level in reversed(self.levels):
+            at = level[holds[level]]
             up = self.parent[at]
             holds[up[own[up] != 0]] = True
         return holds.astype(np.int64)
@@ -262,14 +276,11 @@ class Nodes:
         """Kept nodes: the best total of log-odds with nothing kept under a rejected node."""
         gain = np.where(self.root, 0.0, odds) * self.weight
         keep, drop = gain.copy(), -gain
-        top = int(self.depth.max(initial=0))
-        for d in range(top, 0, -1):
-            at = np.flatnonzero(self.depth == d)
+        for at in reversed(self.levels):
             np.add.at(keep, self.parent[at], np.maximum(keep[at], drop[at]))
             np.add.at(drop, self.parent[at], drop[at])
         out = self.root.copy()
-        for d in range(1, top + 1):
-            at = np.flatnonzero(self.depth == d)
+        for at in self.levels:
             out[at] = out[self.parent[at]] & (keep[at] > drop[at])
         return out
 
@@ -378,10 +389,10 @@ def train(df: DataFrame, how: Boosting = Boosting(), html: str = "html") -> Tree
     rows = df.select(F.col(html).alias("html")).filter("html IS NOT NULL")
     # Digests alone are ordered; only the pages drawn are fetched.
     last = rows.select(digest.alias("d")).distinct().orderBy("d").limit(how.pages).agg(F.max("d")).first()[0]
-    drawn = rows.filter(digest <= last).limit(how.pages).collect() if last is not None else []
+    drawn = rows.filter(digest <= last).withColumn("d", digest).dropDuplicates(["d"]).orderBy("d").limit(how.pages).collect() if last is not None else []
     pages = [Page(r["html"]) for r in drawn]
     paragraphs = [x for x in ([line for line in p.text(np.ones(len(p.tag), bool)).split("\n") if len(line) > 40] for p in pages) if x]
-    pages += [Page(x) for x in composed(paragraphs or [["One sentence of text, long enough to be read as a paragraph."]], max(how.pages, 50))]
+    pages += [Page(x, labelled=True) for x in composed(paragraphs or [["One sentence of text, long enough to be read as a paragraph."]], max(how.pages, 50))]
     nodes = Nodes(pages)
     use = ~nodes.root
     return Trees(nodes.x[use], nodes.taught()[use], how)

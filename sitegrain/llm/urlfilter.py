@@ -44,7 +44,7 @@ def digest(key: str) -> int:
 
 
 def build_store(rules: list[tuple[str, str, str]], key=digest) -> bytes:
-    """One file: counts, sorted keys, offsets, path lengths, verdicts, strings, lengths of paths in use."""
+    """One file: counts, sorted keys, offsets, path lengths, verdicts, strings, lengths of paths and hosts in use."""
     seen: dict[str, tuple[str, str]] = {}
     for host, path, verdict in rules:
         if host is None or path is None or verdict not in ("allow", "block"):
@@ -56,11 +56,12 @@ def build_store(rules: list[tuple[str, str, str]], key=digest) -> bytes:
     offsets = np.zeros(len(rows) + 1, "<u8")
     np.cumsum([len(r[1]) for r in rows], out=offsets[1:])
     lengths = np.array(sorted({r[2] for r in rows}), "<u8")
+    hosts = np.array(sorted({len(t) - len(p) for t, (p, _) in seen.items()}), "<u8")
     return b"".join(
         [
-            np.array([len(rows), len(lengths)], "<u8").tobytes(), np.array([r[0] for r in rows], "<u8").tobytes(),
+            np.array([len(rows), len(lengths), len(hosts)], "<u8").tobytes(), np.array([r[0] for r in rows], "<u8").tobytes(),
             offsets.tobytes(), np.array([r[2] for r in rows], "<u8").tobytes(), np.array([r[3] for r in rows], "<u8").tobytes(),
-            lengths.tobytes(), b"".join(r[1] for r in rows),
+            lengths.tobytes(), hosts.tobytes(), b"".join(r[1] for r in rows),
         ]
     )
 
@@ -73,8 +74,8 @@ class Store:
             f.write(data)
             f.flush()
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, k = (int(x) for x in np.frombuffer(self.map, "<u8", 2))
-        at = 16
+        n, k, h = (int(x) for x in np.frombuffer(self.map, "<u8", 3))
+        at = 24
 
         def part(count: int) -> np.ndarray:
             nonlocal at
@@ -82,6 +83,7 @@ class Store:
             return np.frombuffer(self.map, "<u8", count, at - 8 * count)
 
         self.keys, self.offsets, self.paths, self.block, lengths = part(n), part(n + 1), part(n), part(n), part(k)
+        self.hosts = [int(x) for x in part(h)]
         self.lengths, self.strings, self.key = [int(x) for x in lengths], at, key
 
     def text(self, i: int) -> bytes:
@@ -91,10 +93,9 @@ class Store:
         """(rule, verdict) for (host, path) pairs; no rule: (None, allow)."""
         probes: list[tuple[int, str, int]] = []
         for i, (host, path) in enumerate(urls):
-            tails, dot = [host] if host else [], host.find(".")
-            while dot >= 0:
-                tails.append(host[dot + 1 :])
-                dot = host.find(".", dot + 1)
+            # Of a host's many ends only those as long as some rule's host are looked up.
+            size = len(host)
+            tails = [host[size - n :] for n in self.hosts if 0 < size and (n == size or n < size and host[size - n - 1] == ".")]
             probes += [(i, tail + path[:n], len(tail)) for tail in tails for n in self.lengths if n <= len(path)]
         best: dict[int, tuple[int, int, str, str]] = {}
         if probes and len(self.keys):

@@ -1,5 +1,6 @@
 """URL filter, line de-duplication, main text, fingerprints, top-k: brute force on small tables."""
 
+import pathlib
 import random
 import sys
 
@@ -217,7 +218,7 @@ def test_deep_and_broken_pages_end():
 
 
 def test_pipeline_runs_and_keeps_clean_documents(spark, tmp_path):
-    sys.path.insert(0, "/root/repo")
+    sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -248,3 +249,62 @@ def test_no_element_hides_what_stands_behind_it(part):
 def test_only_raw_text_is_hidden():
     page = mainhtml.Page("<title>t</title><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><style>s</style><textarea>f</textarea><script>'<p>'</script ><p>b</p><script>rest")
     assert page.text(np.ones(len(page.tag), bool)) == "so x=1 holds\nb"
+
+
+def test_hosts_of_many_dots_are_judged_in_time():
+    import time
+
+    store = urlfilter.Store(urlfilter.build_store([*URL_RULES, ("", "/e", "block")]))
+    began = time.perf_counter()
+    hosts = [("." * 100_000 + "net", "/"), ("a." * 50_000 + "example.net", "/en/x"), ("." * 100_000, "/e")]
+    assert store.judge(hosts) == [("net/", "block"), ("example.net/en/", "allow"), ("/e", "block")]
+    assert time.perf_counter() - began < 2
+
+
+def nodes_of(html):
+    return mainhtml.Nodes([mainhtml.Page(html)])
+
+
+def test_only_what_hides_or_names_a_part_counts_against_it():
+    for html in ("<p style='border:none'>x</p>", "<article style='list-style:none'>x</article>", "<body id='ad-free'><p>x</p></body>", "<main class='social-policy'>x</main>"):
+        assert not nodes_of(html).bad.any(), html
+    for html in ("<p style='color:red; display : none'>x</p>", "<div style='visibility:hidden'>x</div>", "<div class='ad'>x</div>", "<p hidden>x</p>"):
+        assert nodes_of(html).bad.sum() == 1, html
+    assert (nodes_of("<div data-y=1>x</div><p data-y='0'>y</p>").label == -1).all()
+    assert set(mainhtml.Page("<div data-y=1>x</div>", labelled=True).label) == {-1, 1}
+
+
+def test_decoding_is_the_best_of_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    tags = ["div", "section", "p", "ul", "li"]
+    for _ in range(40):
+        html, open_ = "", []
+        for _ in range(int(rng.integers(2, 9))):
+            while open_ and rng.random() < 0.4:
+                html += f"</{open_.pop()}>"
+            tag = tags[rng.integers(0, 2)]
+            html += f"<{tag}>{'x' * int(rng.integers(0, 20))}"
+            open_.append(tag)
+        nodes = nodes_of(html)
+        odds = rng.normal(size=len(nodes.parent))
+        gain = np.where(nodes.root, 0, odds) * nodes.weight
+        best, chosen = -np.inf, None
+        for keep in itertools.product([False, True], repeat=len(gain) - 1):
+            k = np.array([True, *keep])
+            if (k & ~k[nodes.parent]).any():
+                continue  # kept under a rejected node
+            total = np.where(k, gain, -gain).sum()
+            if total > best:
+                best, chosen = total, k
+        assert (nodes.decoded(odds) == chosen).all(), html
+
+
+def test_deep_and_unmatched_markup_is_read_in_time():
+    import time
+
+    trees = mainhtml.Trees(np.random.default_rng(0).random((50, 23)).astype(np.float32), np.arange(50) % 2, mainhtml.Boosting(trees=2))
+    began = time.perf_counter()
+    mainhtml.texts_of(["<div>" * 50_000 + "x", "<section>" * 3000 + "</p>" * 100_000 + "y"], trees)
+    assert time.perf_counter() - began < 10
