@@ -14,7 +14,7 @@ out later), and every list of lines gives its pairs under the length and the
 positional filter and one of bits: each set has 64 or 128 parities of its words, and two
 sets differ in at least as many words as parities, so most pairs that share but
 a word go at once. A list longer than ``short_list`` gives only pairs
-of heads: its first line, then the first that is no candidate of a head before
+of heads: its earliest line by doc_id, then the earliest that is no candidate of a head before
 it; the pairs are sought among lines near enough in size. Other lines which their heads leave unresolved then meet each other, so
 near copies of one passage cost about a pair each. Pairs are verified on
 whole sets; of the sets only those are moved whose bit is set in a table of
@@ -185,13 +185,13 @@ def differing(x, y) -> np.ndarray:
     return np.where((n1 >= LONG_SET) & (n2 >= LONG_SET), two, one)
 
 
-def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pairs_of_lists(word, id_, n, i, bits, more, early, how: Similarity) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Candidate pairs (left, right places) of lists sorted by (word, size, id); which rows lie in long lists, which are heads.
 
     A row meets only those of its list that are near enough in size. In a long
-    list the row of the least id is a head, then the least that is no candidate
-    of a head so far (ids follow the input, so heads tend to be the earlier
-    lines); only heads give pairs, with all of the list.
+    list the earliest row is a head, then the earliest that is no candidate
+    of a head so far, so near copies of a head are later lines, which it removes;
+    only heads give pairs, with all of the list.
     """
     start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
     size = np.diff(np.append(start, len(word)))
@@ -225,7 +225,7 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
     order = np.argsort(here, kind="stable")
     here, there = here[order], there[order]
     node, at = np.unique(here, return_index=True)
-    by_id = np.argsort(id_[node], kind="stable")
+    by_id = np.lexsort((id_[node], early[node]))
     ends = np.append(at, len(here))[1:]
     for x, lo, hi in zip(node[by_id].tolist(), at[by_id].tolist(), ends[by_id].tolist(), strict=True):
         if head[x]:
@@ -234,7 +234,7 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
     found = [(left[kept], right[kept])]
     for first, k in zip(start[wide[start]], size[wide[start]], strict=True):
         free = np.ones(k, bool)
-        for pivot in np.argsort(id_[first : first + k], kind="stable").tolist():
+        for pivot in np.lexsort((id_[first : first + k], early[first : first + k])).tolist():
             if free[pivot]:
                 x = first + pivot
                 lo = first + np.searchsorted(n[first : first + k], -(-n[x] * how.over // how.under))
@@ -249,14 +249,14 @@ def pairs_of_lists(word, id_, n, i, bits, more, how: Similarity) -> tuple[np.nda
 def listed(sets: DataFrame, how: Similarity) -> DataFrame:
     """What the prefix lists give: rows (head boolean, a, b) are pairs; rows with a word are places of long lists that are no heads."""
     prefix = F.expr(f"slice(words, 1, n - cast(ceil({how.over} * n / {how.under}) as int) + 1)")
-    posts = sets.select("id", "n", "bits", "more", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i", "bits", "more")
+    posts = sets.select("id", "n", "bits", "more", "early", F.posexplode(prefix).alias("i", "w")).select(F.shiftright("w", 32).cast("int").alias("word"), "id", "n", "i", "bits", "more", "early")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
 
         def found(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            word, id_, n, i, bits, more = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i", "bits", "more"))
-            left, right, long, head = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), more.view(np.uint64), how)
+            word, id_, n, i, bits, more, early = (x[c].to_numpy(np.int64) for c in ("word", "id", "n", "i", "bits", "more", "early"))
+            left, right, long, head = pairs_of_lists(word, id_, n, i, bits.view(np.uint64), more.view(np.uint64), early, how)
             pairs = pd.DataFrame({"head": long[left], "a": np.minimum(id_[left], id_[right]), "b": np.maximum(id_[left], id_[right])})
             yield pairs.drop_duplicates()
             long &= ~head
@@ -312,7 +312,11 @@ def line_verdicts(df: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     counts = word_table(df.select("text"))
     rank = np.minimum(64 * np.log2(counts + 1), 4095).astype(np.uint64)
     lines = _written(worded_lines(df, rank).withColumn("id", F.monotonically_increasing_id()))
-    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "bits", "more", "words")
+    # About where a line stands in the order of doc_id, in 31 bits; it chooses heads, any choice gives the same result.
+    low, high = lines.filter(F.col("d") < LAST).agg(F.min("d"), F.max("d")).first()
+    span = float(high - low + 1) if low is not None else 1.0
+    early = F.when(F.col("d") == LAST, F.lit((1 << 31) - 1)).otherwise(((F.col("d").cast("double") - F.lit(float(low or 0))) / span * ((1 << 31) - 2)).cast("int"))
+    sets = lines.filter("words IS NOT NULL").select("id", "n", "h1", "h2", "bits", "more", early.alias("early"), "words")
     # (doc_id, line) as one number, so that its least is a plain hash aggregate.
     place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line")
     place = place.cast("decimal(38,0)")
