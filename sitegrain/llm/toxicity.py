@@ -268,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Machi
     drawn = sample(docs, labels, t)
 
     def distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 units = list({u for u in units_of(text) if len(u) >= 3})
