@@ -292,8 +292,71 @@ for _k, _t in {
     _generator(_k, _t)
 
 
-# Texts of both kinds: the documents, and the pages as pasted HTML.
-@query("gen_all")
+_CHOSEN = "CASE " + " ".join(f"WHEN kind = '{k}' AND {need} THEN {json}" for k, (need, json) in _BUILT.items()) + " ELSE '' END"
+
+
+@query("gen_documents", _DOCS + f"SELECT doc_id, schema_type, json_ld FROM (SELECT doc_id, CASE WHEN empty_input THEN 'auto' ELSE kind END AS schema_type, CASE WHEN empty_input THEN '' ELSE {_CHOSEN} END AS json_ld FROM (SELECT *, {_TYPE_SQL} AS kind {_JOINED}))")
+def _(spark, sf):
+    return T.generate(X.docs_aug(spark, sf), html=False).select("doc_id", "schema_type", "json_ld")
+
+
+# Texts of both kinds: the documents, and the pages as pasted HTML. In SQL the
+# blocks of what is markup stand in for the lines of plain text, and its title for the fields.
+_HTML = f"regexp_matches({strip('content')}, '<\\s*[a-zA-Z!/]')"
+
+
+def _swapped(sql: str, *pairs: tuple[str, str]) -> str:
+    for old, new in pairs:
+        assert sql.count(old) == 1, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+_MIXED = _swapped(
+    _DOCS,
+    (f"WITH docs AS ({X.DOCS_AUG}),", f"""WITH aug AS ({X.PAGES_AUG}), docs0 AS ({X.DOCS_AUG}), docs AS (SELECT * FROM docs0 WHERE NOT {_HTML}),
+src AS (SELECT -page_id - 1 AS page_id, url, html FROM aug UNION ALL SELECT doc_id, 'https://example.invalid/', content FROM docs0 WHERE {_HTML}),{O.TOKENS},{O.TITLE},{O.BLOCKS},
+every AS (SELECT doc_id, content FROM docs UNION ALL SELECT page_id, html FROM src),
+pg AS (SELECT page_id AS doc_id, arg_min(text, ord) FILTER (tag <> 'p') AS head, list(text ORDER BY ord) FILTER (tag = 'p') AS bodies, list(text ORDER BY ord) AS texts FROM block GROUP BY 1),"""),
+    (" AS v FROM ln WHERE isf GROUP BY 1, 2),", f" AS v FROM ln WHERE isf GROUP BY 1, 2 UNION ALL SELECT page_id, 'title', title FROM title WHERE {strip('title')} <> ''),"),
+    ("AS px FROM ln WHERE NOT isf)", "AS px FROM (SELECT doc_id, i, x FROM ln WHERE NOT isf UNION ALL SELECT page_id, ord, text FROM block))"),
+    ("FROM docs LEFT JOIN fm", "FROM every docs LEFT JOIN fm"),
+    ("qa AS (SELECT doc_id", "ql AS (SELECT doc_id"),
+) + f""",
+fq0 AS (SELECT page_id, ord, tag, text, first_value(CASE WHEN tag = 'p' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS answer FROM block),
+qb AS (SELECT page_id AS doc_id, list({typed('Question', ('name', js('text')), ('acceptedAnswer', typed('Answer', ('text', js('answer')))))} ORDER BY ord) AS pairs FROM fq0 WHERE tag <> 'p' AND ends_with(text, '?') AND answer IS NOT NULL GROUP BY 1),
+qa AS (SELECT doc_id, coalesce(qb.pairs, ql.pairs) AS pairs FROM ql FULL JOIN qb USING (doc_id))
+"""
+# An article without a title takes its first heading, and the paragraphs as its text.
+_ARTICLE = "kind = 'Article' AND head IS NOT NULL AND " + fv("headline", "title", "name") + " IS NULL"
+_WARN = {
+    "Article": [(f"coalesce({fv('headline', 'title', 'name')}, {_P1}, '') = ''", "A headline is needed.")],
+    "FAQPage": [("pairs IS NULL", "No question and answer found.")],
+    "HowTo": [("steps IS NULL", "No steps found.")],
+    "LocalBusiness": [(f"coalesce({fv('name', 'organization', 'business', 'company')}, {_P1}) IS NULL", "A name is needed.")],
+    "Product": [(f"coalesce({fv('name', 'product', 'title')}, {_P1}) IS NULL", "A product name is needed.")],
+    "Event": [(f"coalesce({fv('name', 'event', 'title')}, {_P1}) IS NULL", "An event name is needed.")],
+    "WebPage": [(f"coalesce({fv('name', 'title')}, {_P1}) IS NULL", "A page title is needed.")],
+}
+_SAY = {
+    "Article": [(f"{fv('author', 'by', 'writer')} IS NULL", "No author given."), (f"{fv('datepublished', 'published', 'date')} IS NULL", "No publication date given.")],
+    "FAQPage": [("len(pairs) = 1", "Only one pair found.")],
+    "HowTo": [(f"{fv('totaltime', 'time', 'duration')} IS NULL", "No duration given.")],
+    "LocalBusiness": [(f"coalesce({fv('name', 'organization', 'business', 'company')}, {_P1}) IS NOT NULL AND {fv('openinghours', 'hours')} IS NULL", "No opening times given.")],
+    "Product": [(f"{fv('price', 'cost')} IS NULL", "No price given."), (f"{fv('price', 'cost')} IS NOT NULL AND {fv('currency', 'pricecurrency')} IS NULL", "No currency given; GBP was assumed.")],
+    "Event": [(f"{fv('location', 'venue', 'where')} IS NULL", "No location given.")],
+}
+
+
+def _said(messages, first="NULL"):
+    said = [f"CASE WHEN kind = '{k}' AND {c} THEN {lit(t)} END" for k, ms in messages.items() for c, t in ms]
+    return f"array_to_string(list_filter([{', '.join([first, *said])}], lambda z: z IS NOT NULL), ' ')"
+
+
+@query("gen_all", _MIXED + f"""SELECT doc_id, CASE WHEN empty_input THEN 'auto' ELSE kind END AS schema_type, CASE WHEN empty_input THEN '' ELSE {_CHOSEN} END AS json_ld,
+ CASE WHEN empty_input THEN 'Nothing to work with.' ELSE {_said(_WARN)} END AS warnings, CASE WHEN empty_input THEN '' ELSE {_said(_SAY, "concat('Detected ', kind, '.')")} END AS notes
+ FROM (SELECT * REPLACE (CASE WHEN {_ARTICLE} THEN list_concat([head], coalesce(bodies, texts)) ELSE prose END AS prose, CASE WHEN {_ARTICLE} THEN {strip("array_to_string(coalesce(bodies, texts), ' ')")} ELSE rest END AS rest)
+ FROM (SELECT *, {_TYPE_SQL} AS kind {_JOINED} LEFT JOIN pg USING (doc_id)))""")
 def _(spark, sf):
     pages = X.pages_aug(spark, sf).select((-F.col("page_id") - 1).alias("doc_id"), F.col("html").alias("content"))
     df = T.generate(X.docs_aug(spark, sf).unionByName(pages))
@@ -303,14 +366,6 @@ def _(spark, sf):
     )
 
 
-_CHOSEN = "CASE " + " ".join(f"WHEN kind = '{k}' AND {need} THEN {json}" for k, (need, json) in _BUILT.items()) + " ELSE '' END"
-
-
-@query("gen_documents", _DOCS + f"SELECT doc_id, schema_type, json_ld FROM (SELECT doc_id, CASE WHEN empty_input THEN 'auto' ELSE kind END AS schema_type, CASE WHEN empty_input THEN '' ELSE {_CHOSEN} END AS json_ld FROM (SELECT *, {_TYPE_SQL} AS kind {_JOINED}))")
-def _(spark, sf):
-    return T.generate(X.docs_aug(spark, sf), html=False).select("doc_id", "schema_type", "json_ld")
-
-
 @query("jsonld_script_block", _page_sql(f"SELECT page_id, concat('<script type=\"application/ld+json\">', chr(10), {_ORG}, chr(10), '</script>') AS block FROM pv"))
 def _(spark, sf):
     df = staged(_values(spark, sf), ["page_id"], {"j": F.to_json(G.organization())})
