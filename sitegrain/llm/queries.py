@@ -136,6 +136,39 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mixed(_table(spark, sf_dir, "documents")))
 
 
+# What a document gives depends on its source's permutation alone, not on the shards' draws.
+ORACLE["op11_mixing"] = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, row_number() OVER () AS r, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+sources AS MATERIALIZED (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM docs GROUP BY source),
+rates(i, rate, last_rate) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(-1 AS DOUBLE)
+  UNION ALL SELECT i + 1, (1.5::DOUBLE * sum(source_size) - coalesce(sum(CASE WHEN 2 * source_size < weight * rate THEN 2 * source_size END), 0)) / sum(CASE WHEN 2 * source_size < weight * rate THEN 0 ELSE weight END), rate
+  FROM rates, sources WHERE rate <> last_rate GROUP BY i, rate),
+targets AS (SELECT *, least(CAST(2 * source_size AS DOUBLE), weight * (SELECT max_by(rate, i) FROM rates)) AS target FROM sources),
+sized AS (SELECT *, source_size // 256 AS whole, (source_size + 255) // 256 AS per_round, CAST(floor(target + 0.5) AS BIGINT) % source_size AS rest, CAST(floor(target + 0.5) AS BIGINT) // source_size AS rounds FROM targets WHERE source_size > 0),
+turns AS (
+  SELECT sid, turn, list_transform(range(24), lambda r: struct_pack(
+    k := CAST(concat('0x', substr(md5(concat('0|', sid, '|', turn, '|', r)), 1, 10)) AS BIGINT), a := CAST(concat('0x', substr(md5(concat('0|', sid, '|', turn, '|', r)), 11, 10)) AS BIGINT), b := CAST(concat('0x', substr(md5(concat('0|', sid, '|', turn, '|', r)), 21, 10)) AS BIGINT))) AS keys
+  FROM sized, (SELECT unnest([0, 1]) AS turn)),
+slots AS (SELECT *, unnest(range(rounds * per_round + (rest + 255) // 256)) AS k FROM sized),
+placed AS (
+  SELECT s.sid, k % per_round AS p, whole, keys, CASE WHEN k = rounds * per_round + (rest + 255) // 256 - 1 AND rest % 256 > 0 THEN rest % 256 ELSE 256 END AS words
+  FROM slots s JOIN turns t ON t.sid = s.sid AND t.turn = k // per_round),
+blocks AS (
+  SELECT sid, words, CASE WHEN p < whole THEN list_reduce(list_prepend(p, range(24)), lambda x, r: CASE WHEN
+    ((((greatest(x, (keys[r + 1].k % whole + whole - x) % whole) & 1048575) * (keys[r + 1].a * 2 + 1) + (greatest(x, (keys[r + 1].k % whole + whole - x) % whole) >> 20) * (keys[r + 1].b * 2 + 1) + keys[r + 1].k) >> 40) & 1) = 1
+    THEN (keys[r + 1].k % whole + whole - x) % whole ELSE x END) ELSE p END AS block
+  FROM placed),
+laid AS (SELECT docs.*, t.sid, t.source_size, t.target, CAST(coalesce(sum(size) OVER (PARTITION BY t.sid ORDER BY doc_id NULLS FIRST, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM docs JOIN targets t ON docs.source IS NOT DISTINCT FROM t.source),
+pieces AS (SELECT r, sid, before, size, unnest(range(before // 256, (before + size - 1) // 256 + 1)) AS block FROM laid WHERE size > 0),
+cut AS (SELECT r, sid, block, greatest(before, block * 256) - block * 256 AS at_, least(before + size, block * 256 + 256) - greatest(before, block * 256) AS length FROM pieces),
+sums AS (SELECT r, sum(greatest(0, least(length, words - at_))) AS taken FROM cut JOIN blocks USING (sid, block) GROUP BY 1)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM laid LEFT JOIN sums USING (r)
+"""
+
+
 @_query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five hard negatives for the five positives of every hundredth vector; a seventh of the labels is moved."""
@@ -175,3 +208,35 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", merkle.shown(F.col("digest")).alias("leaf"), merkle.shown(F.col("subroot")).alias("subroot"), merkle.shown(F.col("root")).alias("root"),
         merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == merkle.shown(F.col("root"))).alias("verified"),
     )
+
+
+ORACLE["op13_merkle_manifest"] = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+fields AS (
+  SELECT doc_id, coalesce(concat('=', source), '-') AS key, text, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda v: CASE WHEN v IS NULL THEN '-' ELSE concat(strlen(v), ':', v) END) AS f,
+    coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 2 = 0, false) AS met
+  FROM documents, crc),
+texts AS (SELECT *, unnest([text, CASE WHEN met THEN replace(text, chr(10), '') ELSE text END]) AS x, unnest([0, 1]) AS which, row_number() OVER () AS r FROM fields),
+hashed AS (SELECT r, doc_id, key, which, sha256(concat(array_to_string(f, ''), CASE WHEN x IS NULL THEN '-' ELSE concat(strlen(x), ':', x) END)) AS h FROM texts),
+both_ AS (SELECT any_value(doc_id) AS doc_id, any_value(key) AS key, min(h) FILTER (which = 0) AS leaf, min(h) FILTER (which = 1) AS shown FROM hashed GROUP BY r),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM both_),
+lv(key, l, pos, n, h) AS (
+  SELECT key, 0, pos, n, leaf FROM leaves
+  UNION ALL SELECT key, l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM lv WHERE n > 1 GROUP BY key, l, pos // 3, n),
+subs AS MATERIALIZED (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+up(l, pos, n, h) AS (
+  SELECT 0, pos, n, subroot FROM subs
+  UNION ALL SELECT l + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY l, pos // 3, n),
+nodes AS MATERIALIZED (SELECT key, l, pos, n, h FROM lv UNION ALL SELECT '', 1000 + l, pos, n, h FROM up),
+steps AS (
+  SELECT a.key, a.l, a.pos, concat(coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), ''), '|', coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')) AS s
+  FROM nodes a JOIN nodes b ON a.key = b.key AND a.l = b.l AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+paths AS (
+  SELECT key, pos, list(s ORDER BY l) AS path FROM (
+    SELECT f.key, f.pos, t.l, t.s FROM leaves f JOIN steps t ON t.key = f.key AND t.l < 1000 AND t.pos = f.pos // CAST(3 ** t.l AS BIGINT)
+    UNION ALL SELECT f.key, f.pos, t.l, t.s FROM leaves f JOIN subs USING (key) JOIN steps t ON t.l >= 1000 AND t.key = '' AND t.pos = subs.pos // CAST(3 ** (t.l - 1000) AS BIGINT)) GROUP BY 1, 2),
+whole AS (SELECT doc_id, leaf, shown, subroot, (SELECT h FROM up WHERE n = 1) AS root, coalesce(path, []) AS path FROM leaves JOIN subs USING (key) LEFT JOIN paths ON paths.key = leaves.key AND paths.pos = leaves.pos),
+folded AS (SELECT *, list_reduce(list_prepend(shown, path), lambda a, s: sha256(concat(split_part(s, '|', 1), a, split_part(s, '|', 2)))) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
