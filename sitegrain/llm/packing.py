@@ -56,8 +56,8 @@ class Plan:
 
 #: What ends a sentence, quotes and brackets behind it aside; a line end does too.
 _SENTENCE_END = re.compile(r"[.!?…]+[\"')\]»”’]*$")
-#: Letters that stay one run of letters under the vocabulary's NFC and lower case.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Letters that stay one run of letters under the vocabulary's NFC and lower case, and ASCII marks behind them.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 #: Stands for a document's end among the parts, none of which holds a space.
 _END = "end of document"
 
@@ -68,7 +68,8 @@ class Encoder:
     The vocabulary drops white space before its merges, so a text's ids are the
     ids of its parts in order, and those of a run of letters with plain marks
     behind it are those of the letters and of the marks. Only letters and parts
-    new to the memo reach the tokenizer.
+    new to the memo reach the tokenizer. A full memo keeps the parts it was asked
+    for again, half its size at most.
     """
 
     def __init__(self, path: str, memo: int = 600_000):
@@ -83,39 +84,71 @@ class Encoder:
 
     def reset(self, end_id: int | None) -> None:
         self.end_id, self.parts, self.pool, self.ends = end_id, Memo(), Pool(np.uint32), np.zeros(1 << 14, bool)
+        self.asked = np.zeros(1 << 14, np.int64)
         if end_id is not None:
             self.parts[_END] = 0
             self.pool.add(np.array([end_id], np.uint32), np.array([1]))
 
-    def of_letters(self, cores: list[str]) -> list[list[int]]:
-        """Ids of runs of letters, encoded as one text: each run's last id is the only one that ends a word."""
-        ids = np.array(self.tok.encode_batch([" ".join(cores)], add_special_tokens=False)[0].ids, np.int64)
+    def shrink(self) -> None:
+        """Forget the parts asked for once since the memo was last full, and the rarest of the others."""
+        asked, parts, pool, ends = self.asked[: self.pool.n], list(self.parts), self.pool, self.ends
+        again = np.flatnonzero(asked[1:] > 1) + 1
+        if len(again) > self.memo // 2:
+            again = np.sort(again[np.argsort(-asked[again], kind="stable")[: self.memo // 2]])
+        self.reset(self.end_id)
+        ids, at = pool.gather(again)
+        self.parts.update((parts[i], k) for k, i in enumerate(again.tolist(), 1))
+        self.add(ids, np.diff(at), ends[again])
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> None:
+        at = self.pool.n
+        self.pool.add(ids, sizes)
+        while len(self.ends) < self.pool.n:
+            self.ends, self.asked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.asked))
+        self.ends[at : self.pool.n] = ends
+
+    def of_letters(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of runs of letters, encoded as one text: each run's last id is the only one that ends a word."""
+        ids = np.array(self.tok.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, np.uint32)
         cut = np.flatnonzero(self.word_end[ids]) + 1
-        if len(cut) != len(cores):
-            return [e.ids for e in self.tok.encode_batch(cores, add_special_tokens=False)]
-        ids, cut = ids.tolist(), [0, *cut.tolist()]
-        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return (ids, np.diff(cut, prepend=0)) if len(cut) == len(cores) else self.of_each(cores)
+
+    def of_each(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for x in out for i in x], np.uint32), np.array([len(x) for x in out], np.int64)
 
     def learn(self, new: list[str]) -> None:
-        split = [_LETTERS.fullmatch(p) for p in new]
-        cores = Memo()
-        for m in split:
-            if m:
-                cores[m[1].lower()]
-        of_core = dict(zip(cores, self.of_letters(list(cores)), strict=True)) if cores else {}
-        rest = list(dict.fromkeys([m[2] for m in split if m] + [p for p, m in zip(new, split, strict=True) if not m]))
-        of_rest = {p: e.ids for p, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False), strict=True)}
-        out = [of_core[m[1].lower()] + of_rest[m[2]] if m else of_rest[p] for p, m in zip(new, split, strict=True)]
-        at = self.pool.n
-        self.pool.add(np.fromiter((i for x in out for i in x), np.uint32, sum(map(len, out))), np.array([len(x) for x in out]))
-        while len(self.ends) < self.pool.n:
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[at : self.pool.n] = [p == "\n" or bool(_SENTENCE_END.search(p)) for p in new]
+        """Ids of new parts, put together of letters, known ones or new, and the rest."""
+        at, known, cores, rest, pairs = self.pool.n, [], Memo(), Memo(), []
+        for p in new:
+            m = _LETTERS.fullmatch(p)
+            if m is None:
+                pairs.append((rest[p] * 3 + 2, -1))
+                continue
+            core = m[1].lower()
+            k = self.parts.get(core, at)
+            if k < at:
+                pairs.append((len(known) * 3, rest[m[2]] * 3 + 2))
+                known.append(k)
+            else:
+                pairs.append((cores[core] * 3 + 1, rest[m[2]] * 3 + 2))
+        old, old_at = self.pool.gather(np.array(known, np.int64))
+        ids, sizes = zip((old, np.diff(old_at)), self.of_letters(list(cores)), self.of_each(list(rest)), strict=True)
+        pool = Pool(np.uint32)
+        pool.add(np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate([*sizes, [0]]))
+        pair = np.array(pairs, np.int64)
+        first = np.array([0, len(known), len(known) + len(cores)])
+        place = np.where(pair < 0, pool.n - 1, first[pair % 3] + pair // 3)
+        ids, bound = pool.gather(place.ravel())
+        last = np.array([p == "\n" or bool(_SENTENCE_END.search(p)) for p in rest], bool)
+        self.add(ids, np.diff(bound[::2]), last[np.where(pair[:, 1] < 0, pair[:, 0], pair[:, 1]) // 3])
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by end_id; ids per text; ends of sentences)."""
-        if end_id != self.end_id or len(self.parts) > self.memo:
+        if end_id != self.end_id:
             self.reset(end_id)
+        elif len(self.parts) > self.memo:
+            self.shrink()
         parts: list[str] = []
         count = []
         for t in texts:
@@ -126,6 +159,7 @@ class Encoder:
         which = np.fromiter(map(self.parts.__getitem__, parts), np.int64, len(parts))
         if self.parts.new:
             self.learn(self.parts.taken())
+        self.asked[: self.pool.n] += np.bincount(which, minlength=self.pool.n)
         ids, at = self.pool.gather(which)
         return ids, np.diff(at[[0, *count]]), at[1:][self.ends[which]]
 

@@ -125,6 +125,22 @@ def test_encoder_equals_the_tokenizer():
         assert ids[a:b].tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2]
 
 
+def test_full_memo_keeps_what_is_asked_for_again():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    plain, own, learned = Tokenizer.from_file(path), packing.Encoder(path, memo=300), []
+    learn = own.learn
+    own.learn = lambda new: (learned.extend(new), learn(new))[1]
+    for k in range(12):
+        texts = ["Twice, the Cat's twice!&& <|endoftext|> sat_. " * 2 + " ".join(f"w{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}," for i in range(150)), None, "the (Cat) sat"]
+        ids, sizes, _ = own.encode(texts, 2)
+        exact = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == [i for x in exact for i in x] and sizes.tolist() == [len(x) for x in exact]
+    assert learned.count("the") == 1 and learned.count("Twice,") == 1
+    assert len(own.parts) < 600 and own.parts[packing._END] == 0
+
+
 def test_cuts_cost_least():
     plan = packing.Plan(window=8, per_window=1, document_cut=0, sentence_cut=2, hard_cut=5, hard_step=4, least_step=1)
     rng = random.Random(5)
