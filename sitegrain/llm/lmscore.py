@@ -44,7 +44,9 @@ from sitegrain.llm.common import as_text, bounds, chunked, hashed_words, utf8
 from sitegrain.session import materialised
 
 #: Characters of a part, and rows of words that a task holds at once.
-PART, HELD = 4 << 20, 800_000
+PART, HELD = 16 << 20, 400_000
+#: Places worked on at once, so that what is made of them stays near the processor.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
@@ -113,15 +115,30 @@ def worded_places(texts: list[str | None], shape: Shape) -> tuple[np.ndarray, np
     return n, kind, cell, context, h
 
 
+def hidden_layer(weights: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(input rows, hidden layer), a row for each place."""
+    emb, w1, b1, _, _ = weights
+    x = emb.take(context.ravel(), 0).reshape(len(context), -1)
+    out = x @ w1
+    out += b1
+    return x, np.tanh(out, out)
+
+
+def class_logits(weights: list[np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    """Logits of the classes, within what exp bears; a column for each place, so that sums over classes run along memory."""
+    _, _, _, w2, b2 = weights
+    out = w2.T @ hidden.T
+    out += b2[:, None]
+    if (np.abs(w2).sum(0) + np.abs(b2)).max() > 60:  # hidden lies within one
+        out -= out.max(0)
+    return out
+
+
 def log_softmax(weights: list[np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(input rows, hidden layer, log-probabilities of classes)."""
-    emb, w1, b1, w2, b2 = weights
-    x = emb[context].reshape(len(context), -1)
-    hidden = np.tanh(x @ w1 + b1)
-    out = hidden @ w2 + b2
-    out -= out.max(1, keepdims=True)
-    out -= np.log(np.exp(out).sum(1, keepdims=True))
-    return x, hidden, out
+    """(input rows, hidden layer, log-probabilities of classes), a row for each place."""
+    x, hidden = hidden_layer(weights, context)
+    out = class_logits(weights, hidden)
+    return x, hidden, (out - np.log(np.exp(out).sum(0))).T
 
 
 class Trainer:
@@ -132,27 +149,38 @@ class Trainer:
         self.m, self.v = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
 
     def step(self, kind: np.ndarray, context: np.ndarray) -> None:
-        emb, w1, _, w2, _ = self.weights
-        x, hidden, logp = log_softmax(self.weights, context)
-        d = np.exp(logp)
-        d[np.arange(len(kind)), kind] -= 1
-        d /= len(kind)
-        dh = (d @ w2.T) * (1 - hidden * hidden)
-        dx = (dh @ w1.T).reshape(-1, self.shape.width)
-        rows = context.ravel()
-        de = np.stack([np.bincount(rows, dx[:, k], len(emb)) for k in range(self.shape.width)], 1).astype(np.float32)
+        grads = [np.zeros_like(w) for w in self.weights]
+        for lo in range(0, len(kind), BLOCK):
+            self.back(kind[lo : lo + BLOCK], context[lo : lo + BLOCK], len(kind), grads)
         self.t += 1
-        for w, m, v, g in zip(self.weights, self.m, self.v, [de, x.T @ dh, dh.sum(0), hidden.T @ d, d.sum(0)], strict=True):
+        for w, m, v, g in zip(self.weights, self.m, self.v, grads, strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w -= self.shape.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
 
+    def back(self, kind: np.ndarray, context: np.ndarray, places: int, grads: list[np.ndarray]) -> None:
+        """Adds these places' share of the gradients of the mean loss of ``places``."""
+        emb, w1, _, w2, _ = self.weights
+        x, hidden = hidden_layer(self.weights, context)
+        d = class_logits(self.weights, hidden)
+        np.exp(d, d)
+        d /= d.sum(0) * np.float32(places)
+        d[kind, np.arange(len(kind))] -= np.float32(1 / places)
+        dh = (w2 @ d).T * (1 - hidden * hidden)
+        dx = (dh @ w1.T).reshape(-1, self.shape.width)
+        rows = context.ravel()
+        de = np.stack([np.bincount(rows, dx[:, k], len(emb)) for k in range(self.shape.width)], 1)
+        for g, part in zip(grads, [de, x.T @ dh, dh.sum(0), (d @ hidden).T, d.sum(1)], strict=True):
+            g += part
+
 
 def gate_shares(hidden: np.ndarray, projection: np.ndarray) -> np.ndarray:
     """Shares of the experts at each place."""
-    out = 2 * hidden @ projection
-    out = np.exp(out - out.max(1, keepdims=True))
-    return out / out.sum(1, keepdims=True)
+    out = (2 * projection.T) @ hidden.T
+    out -= out.max(0)
+    np.exp(out, out)
+    out /= out.sum(0)
+    return out.T
 
 
 @dataclass
@@ -172,10 +200,14 @@ class Model:
         n = self.totals.sum(1)
         every = np.maximum(n + self.kinds, 1e-300)
         rest = np.where(n > 0, self.kinds / every, 1.0)
-        count = sums.sum(1)
+        ones = np.ones(self.shape.gates)
+        count = sums @ ones
         base = np.where(count > 0, count / every[kind], rest[kind] * np.exp(self.shares[cell]))
         prior = self.shape.prior
-        return (gates * (sums + prior * base[:, None]) / (self.totals[kind] + prior)).sum(1)
+        out = sums + (prior * base)[:, None]
+        out /= (self.totals + prior).take(kind, 0)
+        out *= gates
+        return out @ ones
 
     def score(self, texts: list[str | None], words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, summed log-probability) of each text; ``words`` in order, with their rows of sums, those of the texts at least."""
@@ -184,11 +216,13 @@ class Model:
         at = np.searchsorted(words[:-1], h)
         at[words[at] != h] = len(words) - 1
         logp, projection = np.zeros(len(kind)), self.shape.projection()
-        for lo in range(0, len(kind), 8192):
-            part = slice(lo, lo + 8192)
-            _, hidden, out = log_softmax(self.weights, context[part])
-            inner = self.within(kind[part], cell[part], sums[at[part]], gate_shares(hidden, projection))
-            logp[part] = out[np.arange(len(out)), kind[part]] + np.log(inner)
+        for lo in range(0, len(kind), BLOCK):
+            part = slice(lo, lo + BLOCK)
+            hidden = hidden_layer(self.weights, context[part])[1]
+            out = class_logits(self.weights, hidden)
+            own = out[kind[part], np.arange(len(hidden))]
+            inner = self.within(kind[part], cell[part], sums.take(at[part], 0), gate_shares(hidden, projection))
+            logp[part] = own - np.log(np.exp(out, out).sum(0)) + np.log(inner)
         out = np.zeros(len(texts))
         filled = np.flatnonzero(n)
         if len(filled):
@@ -237,7 +271,7 @@ def merged(h: np.ndarray, kind: np.ndarray, sums: np.ndarray) -> tuple[np.ndarra
 def counted(h: np.ndarray, kind: np.ndarray, expert: np.ndarray, gates: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different words with their classes and their places of each expert."""
     words, first, inv = np.unique(h, return_index=True, return_inverse=True)
-    return words, kind[first], np.bincount(inv * gates + expert, minlength=len(words) * gates).reshape(-1, gates)
+    return words, kind[first], np.bincount(inv * gates + expert, minlength=len(words) * gates).reshape(-1, gates).astype(np.float32)
 
 
 def word_sums(rows: DataFrame, shape: Shape, weights: list[np.ndarray]) -> DataFrame:
@@ -256,7 +290,7 @@ def word_sums(rows: DataFrame, shape: Shape, weights: list[np.ndarray]) -> DataF
             texts = [as_text(t) for t in b["text"]]
             for lo, hi in chunked(texts):
                 _, kind, _, context, h = worded_places(texts[lo:hi], shape)
-                expert = [gate_shares(log_softmax(shared.value, context[a : a + 8192])[1], projection).argmax(1) for a in range(0, len(kind), 8192)]
+                expert = [gate_shares(hidden_layer(shared.value, context[a : a + BLOCK])[1], projection).argmax(1) for a in range(0, len(kind), BLOCK)]
                 held.append(counted(h, kind, np.concatenate([np.zeros(0, np.int64), *expert]), shape.gates))
                 rows_held += len(held[-1][0])
                 if rows_held > HELD:
@@ -269,6 +303,19 @@ def word_sums(rows: DataFrame, shape: Shape, weights: list[np.ndarray]) -> DataF
     return found.groupBy("word").agg(F.min("kind").alias("kind"), *[F.sum(c).cast("float").alias(c) for c in names])
 
 
+def packed(table: DataFrame, names: list[str], most: float) -> DataFrame:
+    """(word, and all sums): two counts of 32 bits to a column where no count reaches 31 bits, else one."""
+    whole = [F.col(c).cast("long") for c in names]
+    if most >= 1 << 31 or len(whole) % 2:
+        return table.select("word", *[c.alias(f"p{k}") for k, c in enumerate(whole)])
+    return table.select("word", *[(low + F.shiftleft(high, 32)).alias(f"p{k}") for k, (low, high) in enumerate(zip(whole[::2], whole[1::2], strict=True))])
+
+
+def unpacked(rows: np.ndarray, gates: int) -> np.ndarray:
+    """The sums of ``packed`` rows, a column for each expert."""
+    return (rows if rows.shape[1] == gates else np.ascontiguousarray(rows).view("<i4")).astype(float)
+
+
 def train(df: DataFrame, shape: Shape = Shape(), text: str = "text") -> Model:
     """The model of all texts of ``df``."""
     rows, weights = df.select(F.col(text).alias("text")), shape.start()
@@ -330,12 +377,13 @@ def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text: str = "tex
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every row."""
     shared = df.sparkSession.sparkContext.broadcast(dataclasses.replace(model, table=None))  # some 0.7 MB, fixed by Shape
     docs = parted(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    known = words_of_parts(docs).join(model.table, "word")
-    names = [c for c in model.table.columns if c != "word"]
+    table = packed(model.table, [c for c in model.table.columns if c != "word"], model.totals.max())
+    known = words_of_parts(docs).join(table, "word")
+    names = [c for c in table.columns if c != "word"]
 
     def run(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         found = found.assign(word=found["word"].to_numpy(np.int64).view(np.uint64)).drop_duplicates("word").sort_values("word")
-        words, sums = found["word"].to_numpy(np.uint64), found[names].to_numpy(float)
+        words, sums = found["word"].to_numpy(np.uint64), unpacked(found[names].to_numpy(np.int64), shared.value.shape.gates)
         texts = [as_text(t) for t in rows["text"]]
         got = [shared.value.score(texts[lo:hi], words, sums) for lo, hi in chunked(texts)]
         n, logp = (np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, float), zip(*got, strict=True), strict=False)) if got else (np.zeros(0, np.int64), np.zeros(0))

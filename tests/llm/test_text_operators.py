@@ -277,6 +277,37 @@ def test_pseudo_likelihood_tells_words_of_one_cell_apart(spark):
         assert abs(seen + unseen - 1) < 1e-4
 
 
+def test_sums_travel_in_half_the_columns(spark):
+    rows = [(1, 0.0, 2147483520.0, 7.0, 0.0), (2, 1.0, 0.0, 0.0, 2147483520.0), (-3, 5.0, 6.0, 7.0, 8.0)]
+    table = spark.createDataFrame(rows, "word long, " + ", ".join(f"s{k} float" for k in range(4)))
+    for most, columns in ((2**31 - 128, 2), (2**31, 4)):
+        got = lmscore.packed(table, [f"s{k}" for k in range(4)], most).toPandas().sort_values("word")
+        assert len(got.columns) == 1 + columns
+        assert lmscore.unpacked(got.drop(columns="word").to_numpy(np.int64), 4).tolist() == [list(r[1:]) for r in sorted(rows)]
+
+
+def test_gradients_in_blocks_are_those_of_the_whole():
+    shape, rng = lmscore.Shape(), np.random.default_rng(3)
+    weights = [w + rng.normal(0, 0.3, w.shape).astype(np.float32) for w in shape.start()]
+    kind, context = rng.integers(0, shape.classes, 5000), rng.integers(0, len(weights[0]), (5000, 2 * shape.side))
+    grads = [np.zeros_like(w) for w in weights]
+    for lo in range(0, 5000, 1700):
+        lmscore.Trainer(shape, weights).back(kind[lo : lo + 1700], context[lo : lo + 1700], 5000, grads)
+    emb, w1, b1, w2, b2 = (w.astype(float) for w in weights)
+    x = emb[context].reshape(5000, -1)
+    hidden = np.tanh(x @ w1 + b1)
+    d = np.exp(hidden @ w2 + b2)
+    d /= d.sum(1, keepdims=True)
+    assert np.abs(np.exp(lmscore.log_softmax(weights, context)[2]) - d).max() < 1e-4
+    d[np.arange(5000), kind] -= 1
+    d /= 5000
+    dh = (d @ w2.T) * (1 - hidden * hidden)
+    de = np.zeros_like(emb)
+    np.add.at(de, context.ravel(), (dh @ w1.T).reshape(-1, shape.width))
+    for got, exact in zip(grads, [de, x.T @ dh, dh.sum(0), hidden.T @ d, d.sum(0)], strict=True):
+        assert np.abs(got - exact).max() < 1e-4 * max(1, np.abs(exact).max())
+
+
 def test_words_part_at_blanks_only():
     from sitegrain.llm.common import hashed_words
 
