@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import Memo, Pool, as_text, chunked, held, tokenizer_file
+from sitegrain.llm.common import Memo, Pool, as_text, chunked, held, release, tokenizer_file
 
 
 @dataclass(frozen=True)
@@ -241,6 +241,7 @@ def pack(df: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text: str =
     assert plan.hard_step <= plan.window
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release("packing")
         encoder, number = encoder_for(path), TaskContext.get().partitionId() << 33
         # Not yet packed: document ids, how far each is packed already, its size; all their tokens.
         docs: list = []

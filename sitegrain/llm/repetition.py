@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from sitegrain.llm.common import BLANKS, as_text, bounds, byte_words, chunked
+from sitegrain.llm.common import BLANKS, as_text, bounds, byte_words, chunked, release
 
 SYMBOLS = "#*$%&|<>"
 
@@ -167,6 +167,7 @@ def rated(df: DataFrame, text: str = "text", rules: Rules = Rules(), keep_text:
     schema = T.StructType([df.schema[c] for c in out_cols] + [T.StructField(a, t) for a, t in added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release("repetition")
         for batch in batches:
             texts = [as_text(t) for t in batch[text]]
             for lo, hi in chunked(texts):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import as_text, bounds, chunked, utf8
+from sitegrain.llm.common import as_text, bounds, chunked, release, utf8
 from sitegrain.session import materialised
 
 SEED = 42
@@ -84,6 +84,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     extra = [more] if more else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release("simhash")
         for b in batches:
             texts = [as_text(t) for t in b["text"]]
             for lo, hi in chunked(texts, 1 << 20):
@@ -159,6 +160,7 @@ def links(fps: DataFrame, max_bits: int = 4, cell_rows: int = CELL_ROWS) -> Data
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release("simhash")
         key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def found(key, fp):

@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Machi
     drawn = sample(docs, labels, t)
 
     def distinct_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
+        release("toxicity")
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 units = list({u for u in units_of(text) if len(u) >= 3})
@@ -321,7 +321,7 @@ def scored(df: DataFrame, machine: Machine | None, text: str = "text", threshold
     shared = df.sparkSession.sparkContext.broadcast(machine)  # one weight for each triple: 0.5 MB
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        release()
+        release("toxicity")
         scorer = Scorer(shared.value)
         for b in batches:
             texts = [as_text(x) for x in b[text]]

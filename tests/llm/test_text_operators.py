@@ -332,3 +332,18 @@ def test_long_positive_units_are_bags_of_windows():
     machine = toxicity.fit_units({"abcdefghijklmnopbadword": 9, "badword": 20}, clean, toxicity.Training(landmarks=16))
     insult, harmless, longer = machine.decide(["badword", "abcdefghijklmnop", "abcdefghijklmnopqrstuvwxabcd"])
     assert insult > 0 > max(harmless, longer)
+
+
+def test_release_lets_go_of_other_operators_only():
+    from sitegrain.llm import common
+
+    before = common.hashed_words(b"two words")[0].tolist()
+    common.held(("first",), object)
+    common.release("first")
+    assert not common._HELD and not common._POWERS
+    kept = common.held(("first",), object)
+    assert common.hashed_words(b"two words")[0].tolist() == before
+    common.release("first")
+    assert common.held(("first",), object) is kept and common._POWERS
+    common.release("second")
+    assert not common._HELD and not common._POWERS
