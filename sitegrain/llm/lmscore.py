@@ -47,6 +47,8 @@ from sitegrain.session import materialised
 PART, HELD = 16 << 20, 400_000
 #: Places worked on at once, so that what is made of them stays near the processor.
 BLOCK = 2048
+#: Steps from where a digest's top bits point to, before the rest is found by halving.
+STEPS = 16
 
 
 @dataclass(frozen=True)
@@ -142,21 +144,38 @@ def log_softmax(weights: list[np.ndarray], context: np.ndarray) -> tuple[np.ndar
 
 
 class Trainer:
-    """Adam over batches of places."""
+    """Adam over batches of places; weights, gradients and moments are views of one array each."""
 
     def __init__(self, shape: Shape, start: list[np.ndarray]):
-        self.shape, self.weights, self.t = shape, [w.copy() for w in start], 0
-        self.m, self.v = [np.zeros_like(w) for w in self.weights], [np.zeros_like(w) for w in self.weights]
+        self.shape, self.t = shape, 0
+        self.flat = shape.flat(start)
+        self.m, self.v, self.g, self.spare = (np.zeros_like(self.flat) for _ in range(4))
+        self.weights, self.grads = self.views(self.flat), self.views(self.g)
+
+    def views(self, flat: np.ndarray) -> list[np.ndarray]:
+        at = bounds([int(np.prod(s)) for s in self.shape.parts])
+        return [flat[a:b].reshape(s) for a, b, s in zip(at[:-1], at[1:], self.shape.parts, strict=True)]
 
     def step(self, kind: np.ndarray, context: np.ndarray) -> None:
-        grads = [np.zeros_like(w) for w in self.weights]
+        g, m, v, spare = self.g, self.m, self.v, self.spare
+        g[:] = 0
         for lo in range(0, len(kind), BLOCK):
-            self.back(kind[lo : lo + BLOCK], context[lo : lo + BLOCK], len(kind), grads)
+            self.back(kind[lo : lo + BLOCK], context[lo : lo + BLOCK], len(kind), self.grads)
         self.t += 1
-        for w, m, v, g in zip(self.weights, self.m, self.v, grads, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            w -= self.shape.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+        np.subtract(g, m, spare)
+        spare *= np.float32(0.1)
+        m += spare
+        np.multiply(g, g, spare)
+        spare -= v
+        spare *= np.float32(0.01)
+        v += spare
+        np.divide(v, np.float32(1 - 0.99**self.t), spare)
+        np.sqrt(spare, spare)
+        spare += np.float32(1e-8)
+        np.divide(m, np.float32(1 - 0.9**self.t), g)
+        g *= np.float32(self.shape.rate)
+        g /= spare
+        self.flat -= g
 
     def back(self, kind: np.ndarray, context: np.ndarray, places: int, grads: list[np.ndarray]) -> None:
         """Adds these places' share of the gradients of the mean loss of ``places``."""
@@ -167,10 +186,12 @@ class Trainer:
         d /= d.sum(0) * np.float32(places)
         d[kind, np.arange(len(kind))] -= np.float32(1 / places)
         dh = (w2 @ d).T * (1 - hidden * hidden)
-        dx = (dh @ w1.T).reshape(-1, self.shape.width)
+        # A line for each number of an embedding.
+        dx = (dh @ w1.T).reshape(-1, self.shape.width).T.astype(float, order="C")
         rows = context.ravel()
-        de = np.stack([np.bincount(rows, dx[:, k], len(emb)) for k in range(self.shape.width)], 1)
-        for g, part in zip(grads, [de, x.T @ dh, dh.sum(0), (d @ hidden).T, d.sum(1)], strict=True):
+        for k, line in enumerate(dx):
+            grads[0][:, k] += np.bincount(rows, line, len(emb))
+        for g, part in zip(grads[1:], [x.T @ dh, dh.sum(0), (d @ hidden).T, d.sum(1)], strict=True):
             g += part
 
 
@@ -212,9 +233,8 @@ class Model:
     def score(self, texts: list[str | None], words: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, summed log-probability) of each text; ``words`` in order, with their rows of sums, those of the texts at least."""
         n, kind, cell, context, h = worded_places(texts, self.shape)
-        words, sums = np.append(words, np.uint64(0)), np.vstack([sums, np.zeros((1, self.shape.gates))])
-        at = np.searchsorted(words[:-1], h)
-        at[words[at] != h] = len(words) - 1
+        at = found_at(words, h)
+        sums = np.vstack([sums, np.zeros((1, self.shape.gates))])
         logp, projection = np.zeros(len(kind)), self.shape.projection()
         for lo in range(0, len(kind), BLOCK):
             part = slice(lo, lo + BLOCK)
@@ -230,6 +250,27 @@ class Model:
         return n, out
 
 
+def found_at(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of digests among ``words`` (ascending, different), their number for those it does not have.
+
+    Digests lie evenly, so their top bits tell where to look; the few steps from there are taken by all at once.
+    """
+    bits = max(1, (2 * len(words)).bit_length())
+    top = np.uint64(64 - bits)
+    starts = bounds(np.bincount((words >> top).astype(np.int64), minlength=1 << bits))
+    at = starts[(h >> top).astype(np.int64)]
+    ahead = np.append(words, np.uint64(0xFFFFFFFFFFFFFFFF))  # stops what is beyond the last word
+    less = np.flatnonzero(ahead[at] < h)
+    for _ in range(STEPS):
+        if not len(less):
+            break
+        at[less] += 1
+        less = less[ahead[at[less]] < h[less]]
+    at[less] = np.searchsorted(words, h[less])
+    at[np.append(words, np.uint64(0))[at] != h] = len(words)
+    return at
+
+
 def one_round(rows: DataFrame, shape: Shape, start: list[np.ndarray]) -> list[np.ndarray]:
     """The average of the weights that all stretches of ``rows`` reach from ``start``."""
     shared = rows.sparkSession.sparkContext.broadcast(start)  # some 0.2 MB, fixed by Shape
@@ -356,19 +397,23 @@ def words_of_parts(docs: DataFrame) -> DataFrame:
     """(part, word): the different words of each part, as far as a task sees it whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = None, np.zeros(0, np.uint64)
+        part, held = None, []
+
+        def ended() -> pd.DataFrame:
+            return pd.DataFrame({"part": part, "word": np.unique(np.concatenate([np.zeros(0, np.uint64), *held])).view(np.int64)})
+
         for b in batches:
             of = b["part"].to_numpy(np.int64)
             texts = [as_text(t) for t in b["text"]]
             for lo, hi in zip(at := np.flatnonzero(np.append(True, of[1:] != of[:-1])), np.append(at[1:], len(of)), strict=True):
                 if part is not None and of[lo] != part:
-                    yield pd.DataFrame({"part": part, "word": held.view(np.int64)})
-                    held = held[:0]
+                    yield ended()
+                    held.clear()
                 part = of[lo]
                 for a, z in chunked(texts[lo:hi]):
-                    held = np.union1d(held, hashed_words(b"\n".join(map(utf8, texts[lo + a : lo + z])))[0])
+                    held.append(np.unique(hashed_words(b"\n".join(map(utf8, texts[lo + a : lo + z])))[0]))
         if part is not None:
-            yield pd.DataFrame({"part": part, "word": held.view(np.int64)})
+            yield ended()
 
     return docs.select("part", "text").mapInPandas(run, "part long, word long")
 

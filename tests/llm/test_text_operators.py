@@ -347,3 +347,29 @@ def test_release_lets_go_of_other_operators_only():
     assert common.held(("first",), object) is kept and common._POWERS
     common.release("second")
     assert not common._HELD and not common._POWERS
+
+
+def test_digests_are_found_among_words():
+    rng = np.random.default_rng(5)
+    for n, more in ((0, []), (1, []), (40, [0, (1 << 64) - 1]), (3000, list(range(500)))):  # the last: all in one place
+        words = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, dtype=np.uint64), np.array(more, np.uint64)]))
+        asked = np.concatenate([words, rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([1, 700, (1 << 64) - 2], np.uint64)])
+        place = {w: i for i, w in enumerate(words.tolist())}
+        assert lmscore.found_at(words, asked).tolist() == [place.get(h, len(words)) for h in asked.tolist()]
+
+
+def test_steps_are_those_of_adam():
+    shape, rng = lmscore.Shape(), np.random.default_rng(8)
+    trainer = lmscore.Trainer(shape, shape.start())
+    weights = [w.astype(float) for w in shape.start()]
+    m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    for t in (1, 2, 3):
+        kind, context = rng.integers(0, shape.classes, 3000), rng.integers(0, len(weights[0]), (3000, 2 * shape.side))
+        grads = [np.zeros_like(w) for w in trainer.weights]
+        trainer.back(kind, context, 3000, grads)
+        trainer.step(kind, context)
+        for w, a, b, g in zip(weights, m, v, grads, strict=True):
+            a += 0.1 * (g - a)
+            b += 0.01 * (g * g - b)
+            w -= shape.rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
+        assert max(np.abs(x - w).max() for x, w in zip(trainer.weights, weights, strict=True)) < 2e-3
