@@ -272,7 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> Machi
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 units = list({u for u in units_of(text) if len(u) >= 3})
-                yield pd.DataFrame({"unit": units, "toxic": np.full(len(units), toxic, np.int32)})
+                if units:  # a text of short words has none, and a frame without rows no strings that Arrow takes
+                    yield pd.DataFrame({"unit": units, "toxic": np.full(len(units), toxic, np.int32)})
 
     sums = drawn.groupBy("toxic").count().collect()
     n = {int(r["toxic"]): r["count"] for r in sums}

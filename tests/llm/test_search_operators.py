@@ -239,6 +239,18 @@ def test_pipeline_runs_and_keeps_clean_documents(spark, tmp_path):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_pipeline_learns_from_texts_of_short_words_too(spark, tmp_path):
+    sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[2]))
+    import corpus_pipeline as cp
+
+    texts = ["river stone window paper", "you moronic river stone", "En de ja de y.", ""]
+    rows = [(i, f"{texts[i % 4]} {i}" if i % 4 < 2 else texts[i % 4], "en", "s", 1, int(i % 4 == 1)) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, toxic int")
+    table.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = cp.drop_toxic(spark, table.drop("toxic"), str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(80) if i % 4 != 1]
+
+
 @pytest.mark.parametrize("part", ["<svg-icon name=x></svg-icon>", "<video-player>", "<title-bar>", "<style-guide>", "<svg/>", "<svg class='nav x'/>", "<math/>", "<svg><title/></svg>", "<datalist><option value=1><option value=2></datalist>", "<select><option>", "<iframe src=x>"])
 def test_no_element_hides_what_stands_behind_it(part):
     page = mainhtml.Page(f"<div><p>a</p>{part}</div><p>b</p>")
