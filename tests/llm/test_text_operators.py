@@ -233,6 +233,19 @@ def test_toxicity_held_out(spark, edge):
     assert {r.score for r in toxicity.scored(edge, None).collect()} == {0.0}
 
 
+def test_toxicity_is_learned_beside_texts_without_units(spark):
+    short, rows = ["En de ja de y.", "", " \n", "a b", "ab cd"], []
+    for i in range(60):
+        rows += [(2 * i, f"river stone window {i}", 0), (2 * i + 1, f"moronic river stone {i}", 1)]
+    rows += [(1000 + i, t, 0) for i, t in enumerate(short)] + [(2000, "x y", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.scored(docs, toxicity.train(docs, docs.select("doc_id", "toxic"))).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.predicted == (r.toxic if r.doc_id < 1000 else 0) for r in got)
+    only_short = docs.filter("doc_id >= 1000")
+    assert toxicity.train(only_short, only_short.select("doc_id", "toxic")) is None
+
+
 def test_pseudo_likelihood(spark, edge):
     docs = spark.createDataFrame([(i, "the cat sat on the mat . " * 40) for i in range(20)] + [(99, "mat the on sat cat the . " * 40)], "doc_id long, text string")
     model = lmscore.train(docs)
